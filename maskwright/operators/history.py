@@ -15,13 +15,13 @@ def safe_findings(findings: DataFrame) -> DataFrame:
 
 def scan_summary(findings: DataFrame, coverage: DataFrame, partial: bool = False) -> DataFrame:
     """One row: files scanned and not scanned, redactions, partial flag."""
-    files = coverage.agg(
-        F.count_if(F.col("status") != "unscanned").alias("files_scanned"),
-        F.count_if(F.col("status") == "unscanned").alias("files_unscanned"),
+    counted = coverage.selectExpr(
+        "if(status = 'unscanned', 0L, 1L) as files_scanned", "if(status = 'unscanned', 1L, 0L) as files_unscanned",
+        "0L as total_redactions",
+    ).unionAll(findings.selectExpr("0L", "0L", "1L"))
+    return counted.groupBy().sum().toDF("files_scanned", "files_unscanned", "total_redactions").withColumn(
+        "partial", F.lit(partial)
     )
-    total = findings.agg(F.count(F.lit(1)).alias("total_redactions"))
-    # both sides are a single row
-    return files.join(F.broadcast(total), how="cross").withColumn("partial", F.lit(partial))
 
 
 def list_scans(scans: DataFrame) -> DataFrame:
