@@ -1,0 +1,10 @@
+"""Queries over the given tables with SQL for DuckDB that must agree."""
+
+from importlib import import_module
+
+MODULES = ("detection",)
+
+
+def all_checks() -> None:
+    for name in MODULES:
+        import_module(f"checks.{name}")

@@ -95,5 +95,11 @@ def with_result(table: DataFrame, expression: Sql) -> DataFrame:
 
 
 def findings(scanned: DataFrame, *keep: str) -> DataFrame:
-    """One row per finding of a ``result`` column, next to the kept columns."""
-    return scanned.select(*keep, F.explode("result.hits").alias("h")).select(*keep, "h.*")
+    """One row per finding of a ``result`` column, next to the kept columns.
+
+    The outer form is on purpose: for the inner one Catalyst adds a filter on the
+    array below the explode, and the detectors would run twice.
+    """
+    return (
+        scanned.select(*keep, F.explode_outer("result.hits").alias("h")).where("h is not null").select(*keep, "h.*")
+    )

@@ -13,9 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
+from ..functions.text import q
 
 PAIR_KEYS = ("language", "file", "task")
 DIMS = tuple(fv.DIMENSIONS)
@@ -134,7 +136,7 @@ def signed_ranks(deltas: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) for a standard normal Z; runs on one row per test."""
     return z.map(lambda x: None if x is None or np.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
@@ -353,8 +355,6 @@ def invalid_scores(scores: DataFrame) -> DataFrame:
 
 def keyword_sweep(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
     """(word, n_texts, n_hits) over a text column, in one pass for all words."""
-    from ..functions.text import q
-
     words = words or fv.SWEEP_WORDS
     count = lambda w: f"(length(low) - length(replace(low, {q(w)}, ''))) div {len(w)}"
     entries = ", ".join(f"{q(w)}, {count(w)}" for w in words)

@@ -11,7 +11,7 @@ from ..operators import ignores as ign
 from ..operators import tokens as tok
 from ..operators.hits import Context, findings
 from ..session import materialize, new_folder
-from .scan import sanitize_masked, scan, with_kind
+from .scan import sanitize_masked, scan
 
 _OUT = "path string, kind string, reason string, text string, copied boolean"
 
@@ -26,13 +26,15 @@ class Sanitized:
     tokens: DataFrame | None = None
 
 
-def sanitize(files: DataFrame, ctx: Context) -> Sanitized:
-    """Sanitize a corpus.
+def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -> Sanitized:
+    """Sanitize a corpus, leaving ignored findings as they are.
 
     Mask mode is one pass over the rows without any exchange.  Token mode stores
     the files that have findings (usually few), numbers the values seen in them,
     and puts the numbers in; the other files pass through untouched.
     """
+    if ignores is not None:
+        files, ctx = ign.attach(files, ignores), Context(ctx.rules, ctx.tokens, "ignores")
     if not ctx.tokens:
         return Sanitized(sanitize_masked(files, ctx), findings(scan(files, ctx), "path"))
     scanned = scan(files, ctx)
@@ -86,10 +88,7 @@ def unredacted_by_ignores(files: DataFrame, ignores: DataFrame, ctx: Context) ->
 def stage(spark: SparkSession, files: DataFrame, ignores: DataFrame, excluded: DataFrame, rules: DataFrame, ctx: Context) -> Stage:
     """Compute the output into a staging folder; the target is not touched."""
     folder = new_folder(spark, "stage")
-    scanned = scan_with_ignores(files, ignores, ctx)
-    scanned.selectExpr(
-        "path", "kind", "reason", "result.out as text", "reason is not null as copied"
-    ).write.parquet(folder)
+    sanitize(files, ctx, ignores).files.write.parquet(folder)
     state = ign.state_fingerprint(ignores, excluded, rules)
     return Stage(folder, state, unredacted_by_ignores(files, ignores, ctx))
 
@@ -101,4 +100,4 @@ def apply_stage(spark: SparkSession, staged: Stage, state_now: DataFrame, output
     spark.read.schema(_OUT).parquet(staged.folder).write.mode("error").parquet(output)
 
 
-__all__ = ["Sanitized", "Stage", "apply_stage", "sanitize", "scan_with_ignores", "stage", "unredacted_by_ignores", "with_kind"]
+__all__ = ["Sanitized", "Stage", "apply_stage", "sanitize", "scan_with_ignores", "stage", "unredacted_by_ignores"]
