@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detection",)
+MODULES = ("detection", "sources", "tokens", "history", "accuracy", "paired", "streams")
 
 
 def all_checks() -> None:

@@ -76,7 +76,8 @@ from {supplier}
 
 # one small file per line, so that a file stays small however much data there is
 LINE_FILES = f"""
-select concat('tree', cast(line_no % 7 as string), '/d', cast(line_no % 50 as string), '/n', cast(line_no as string), '_', regexp_extract(path, '[^/]*$', 0)) as path,
+select concat('tree', cast(line_no % 7 as string), '/d', cast(line_no % 50 as string), '/n', cast(line_no as string),
+ case when path like '%.env' then '/.env' else concat('_', regexp_extract(path, '[^/]*$', 0)) end) as path,
  concat('top of file', chr(10), line, chr(10)) as text, 2 as line_no, path as old_path, line
 from (({CFG_LINES}) union all ({SHAPE_LINES}) union all ({CODE_LINES})) all_lines
 """
@@ -105,11 +106,11 @@ select concat('c', cast(line_no as string)) as id, case line_no % 31 when 0 then
  case line_no % 4 when 0 then 'see ***REDACTED*** end' else cast(null as string) end as expected_output_line,
  case when line_no % 14 = 3 then concat('g', cast(line_no % 5 as string)) else cast(null as string) end as value_group,
  case when line_no % 14 in (2, 3) then 'URL' when line_no % 14 in (6, 7, 8, 9) then 'ACCESS_TOKEN' else cast(null as string) end as expected_placeholder_category
-from (select concat('n', cast(line_no as string), '_', regexp_extract(path, '[^/]*$', 0)) as path, line_no, line from ({SHAPE_LINES}) s0) s1
+from (select concat('n', cast(line_no as string), case line_no % 2 when 0 then '_f.txt' else '/.env' end) as path, line_no, line from ({SHAPE_LINES}) s0) s1
 """
 
 CASE_FILES = f"""
-select concat('n', cast(line_no as string), '_', regexp_extract(path, '[^/]*$', 0)) as path,
+select concat('n', cast(line_no as string), case line_no % 2 when 0 then '_f.txt' else '/.env' end) as path,
  concat('top of file', chr(10), line, chr(10)) as text, line from ({SHAPE_LINES}) s0
 """
 

@@ -40,23 +40,25 @@ def _scan_lines(text: Sql, early: Sql, line_result) -> Sql:
     return let(tx.each(f"split({text}, '\\n', -1)", line_result), build)
 
 
-def scan_text(text: Sql, path: Sql, kind: Sql, ctx: Context) -> Sql:
-    """Result for one file.  A file of no kind gets the fallback detectors."""
-    narrow = ctx.narrow(*ctx.rules.fallback)
-    config = _scan_lines(text, f"cast(array() as {HITS_TYPE})", lambda l: config_line(l, path, ctx))
-    code = let(
-        concat_for_kind(text, kind, ctx),
-        lambda r: _scan_lines(f"{r}.out", f"{r}.hits", lambda l: code_line(l, kind, ctx)),
-    )
-    other = let(
-        key_blocks(text, ctx),
-        lambda r: _scan_lines(f"{r}.out", f"{r}.hits", lambda l: shape_line(l, narrow, is_fallback=True)),
+def whole_text_result(ctx: Context) -> Sql:
+    """Findings that span lines: concatenations in source code, key blocks in files
+    of no kind."""
+    return (
+        f"case when reason is not null or kind = 'config' then {result('text')}"
+        f" when kind is not null then {concat_for_kind('text', 'kind', ctx)} else {key_blocks('text', ctx)} end"
     )
+
+
+def line_results(ctx: Context) -> Sql:
+    """Line detectors on the text that the whole-text detectors left."""
+    narrow = ctx.narrow(*ctx.rules.fallback)
+    config = _scan_lines("early.out", "early.hits", lambda l: config_line(l, "path", ctx))
+    code = _scan_lines("early.out", "early.hits", lambda l: code_line(l, "kind", ctx))
+    other = _scan_lines("early.out", "early.hits", lambda l: shape_line(l, narrow, is_fallback=True))
     return (
-        f"case when {kind} = 'config' then {config}"
-        f" when {kind} is not null then {code}"
-        f" when {may_match(text, narrow.rules)} then {other}"
-        f" else {result(text)} end"
+        f"case when reason is not null then early when kind = 'config' then {config}"
+        f" when kind is not null then {code}"
+        f" when {may_match('early.out', narrow.rules)} then {other} else early end"
     )
 
 
@@ -75,13 +77,26 @@ def scan(files: DataFrame, ctx: Context) -> DataFrame:
     Unscanned files keep their text and have no findings.  If the context names
     an ignore column, ``files`` must carry it (see ``ignores.attach``).
     """
-    scanned = f"if(reason is null, {scan_text('text', 'path', 'kind', ctx)}, {result('text')})"
     keep = [c for c in files.columns if c not in ("text", "length", "content")]
-    return with_kind(files).withColumn("result", F.expr(scanned)).select(
-        *keep, "kind", "reason", "text", "result"
+    return (
+        with_kind(files)
+        .withColumn("early", F.expr(whole_text_result(ctx)))
+        .withColumn("result", F.expr(line_results(ctx)))
+        .select(*keep, "kind", "reason", "text", "result")
     )
 
 
+def rows_where(scanned: DataFrame, test: Sql, **columns: Sql) -> DataFrame:
+    """Rows of a scan that pass a test on its result.
+
+    A plain filter would be pushed below the projection and run the detectors a
+    second time; a generator is a barrier for that.
+    """
+    fields = ", ".join(f"{e} as {n}" for n, e in columns.items())
+    first = next(iter(columns))
+    return scanned.selectExpr(f"inline_outer(if({test}, array(struct({fields})), null))").where(f"{first} is not null")
+
+
 def scan_findings(files: DataFrame, ctx: Context) -> DataFrame:
     """One row per finding of the whole corpus."""
     return findings(scan(files, ctx), "path")

@@ -11,7 +11,7 @@ from ..operators import ignores as ign
 from ..operators import tokens as tok
 from ..operators.hits import Context, findings
 from ..session import materialize, new_folder
-from .scan import sanitize_masked, scan
+from .scan import rows_where, sanitize_masked, scan
 
 _OUT = "path string, kind string, reason string, text string, copied boolean"
 
@@ -39,7 +39,7 @@ def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -
         return Sanitized(sanitize_masked(files, ctx), findings(scan(files, ctx), "path"))
     scanned = scan(files, ctx)
     hit = materialize(
-        scanned.where("size(result.hits) > 0").selectExpr("path", "kind", "result.out as text", "result.hits as hits"),
+        rows_where(scanned, "size(result.hits) > 0", path="path", kind="kind", text="result.out", hits="result.hits"),
         "hit-files",
     )
     found = hit.select("path", F.explode("hits").alias("h")).select("path", "h.*")
@@ -47,8 +47,8 @@ def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -
     changed = tok.resolve(hit.select("path", "kind", "text"), "path", ["text"], numbers).selectExpr(
         "path", "kind", "cast(null as string) as reason", "text", "false as copied"
     )
-    clean = scanned.where("size(result.hits) = 0").selectExpr(
-        "path", "kind", "reason", "text", "reason is not null as copied"
+    clean = rows_where(
+        scanned, "size(result.hits) = 0", path="path", kind="kind", reason="reason", text="text", copied="reason is not null"
     )
     return Sanitized(changed.unionByName(clean), _resolved(found, numbers), numbers)
 

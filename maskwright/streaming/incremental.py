@@ -10,9 +10,9 @@ from ..plans.scan import scan
 from ..session import new_folder
 
 
-def read_new(spark: SparkSession, folder: str, schema, fmt: str = "parquet") -> DataFrame:
+def read_new(spark: SparkSession, folder: str, schema, fmt: str = "parquet", names: str = "*") -> DataFrame:
     """Files of a folder as a stream; those seen before are not read again."""
-    return spark.readStream.schema(schema).format(fmt).load(folder)
+    return spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", names).load(folder)
 
 
 def scan_stream(files: DataFrame, ctx: Context) -> DataFrame:
