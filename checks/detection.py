@@ -10,6 +10,7 @@ from maskwright.operators import blocks, code, config, keys, paths, shapes
 from maskwright.operators.hits import findings, mask_context, token_context
 from maskwright.plans.scan import scan, scan_findings
 from maskwright.rules import default_rules
+from maskwright.sources.corpus import spread
 
 from . import carriers, duck
 from .registry import (
@@ -536,7 +537,7 @@ DOC_FOUND = " union all ".join(
 def doc_tree(spark, folder):
     from .registry import as_files
 
-    return as_files(spark.sql(DOC_TREE.format(docs="{docs}"), docs=table(spark, folder, "documents")))
+    return as_files(spark.sql(DOC_TREE.format(docs="{docs}"), docs=spread(table(spark, folder, "documents"))))
 
 
 @query("scan_documents", DOC_FOUND)

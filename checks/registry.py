@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.sources.corpus import explode_lines, from_table
+from maskwright.sources.corpus import explode_lines, from_table, spread
 
 from . import carriers
 
@@ -33,7 +33,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def carrier(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    return spark.sql(carriers.for_spark(sql, folder))
+    return spread(spark.sql(carriers.for_spark(sql, folder)))
 
 
 def cfg_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,12 +68,12 @@ def tree_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_files(spark: SparkSession, folder: str) -> DataFrame:
     return from_table(
-        table(spark, folder, "documents"), "concat(source, '/', lang, '/doc_', cast(doc_id as string), '.txt')", "text"
+        spread(table(spark, folder, "documents")), "concat(source, '/', lang, '/doc_', cast(doc_id as string), '.txt')", "text"
     )
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    return from_table(table(spark, folder, "pages"), "concat('page_', cast(page_id as string), '.html')", "html")
+    return from_table(spread(table(spark, folder, "pages")), "concat('page_', cast(page_id as string), '.html')", "html")
 
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -157,7 +157,8 @@ def literal_fold(start: Sql, lang: str, ctx: Context) -> Sql:
 
 
 def has_word(line: Sql) -> Sql:
-    return tx.like(line, f"(?iUd){_WORDS}")
+    """Cheap necessary condition: a quote, and one of the words."""
+    return f"({tx.like(line, '["`' + chr(39) + ']')} and {tx.like(line, f'(?iUd){_WORDS}')})"
 
 
 def code_line(line: Sql, kind: Sql, ctx: Context) -> Sql:

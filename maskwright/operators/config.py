@@ -61,7 +61,8 @@ def extract_setting(line: Sql) -> Sql:
         let(setting_as(line, s), lambda x: f"if({tx.like(f'{x}.value', OPENER)}, null, {x})")
         for s in SETTING_SHAPES
     ]
-    return f"coalesce({', '.join(leaves)})"
+    # every shape has one of these characters
+    return f"if({tx.like(line, '[:=<]')}, coalesce({', '.join(leaves)}), null)"
 
 
 def settings_of_shape(lines: DataFrame, shape: SettingShape) -> DataFrame:

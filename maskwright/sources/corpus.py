@@ -23,6 +23,18 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.selectExpr(f"{relative} as path", "length", "content")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table of few files.
+
+    A row group is read by one task, so a small table would leave most cores idle
+    during detection; its rows are dealt out to as many tasks as there are cores.
+    A table with at least as many files as cores is left as it is, so nothing is
+    exchanged at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def normalise_newlines(text: Sql) -> Sql:
     return f"regexp_replace({text}, '\\r\\n?', '\\n')"
 
