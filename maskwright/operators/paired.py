@@ -151,7 +151,7 @@ def wilcoxon(counts: DataFrame, *by: str) -> DataFrame:
     """
     keys = [*by, "dimension"]
     ranks = rank_table(counts, *by)
-    signed = counts.where("delta <> 0").withColumn("size", F.abs("delta")).join(F.broadcast(ranks), [*keys, "size"])
+    signed = counts.where("delta <> 0").withColumn("size", F.abs("delta")).join(ranks, [*keys, "size"])
     sums = signed.groupBy(*keys).agg(
         F.sum(F.expr("if(delta > 0, n * avg_rank, 0D)")).alias("w_plus"),
         F.sum(F.expr("if(delta < 0, n * avg_rank, 0D)")).alias("w_minus"),
