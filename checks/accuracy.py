@@ -13,7 +13,7 @@ from maskwright.plans.scan import scan
 
 from . import carriers, duck
 from .detection import GO_CHAINS, GO_FILES, JAVA_FILES, MASKED, PY_FILES, RULES, TOKENS
-from .registry import as_files, block_files, carrier, plain_marks, query, table
+from .registry import as_files, block_files, carrier, query, table
 
 # ---- labelled lines --------------------------------------------------------
 
@@ -279,5 +279,3 @@ def dangling_labels(spark, folder):
     lengths = case_files(spark, folder).selectExpr("path as file", "2 as n_lines")
     return acc.dangling_labels(cases(spark, folder), lengths)
 
-
-__all__ = ["plain_marks"]

@@ -14,7 +14,7 @@ from maskwright.sources.corpus import spread
 
 from . import carriers, duck
 from .registry import (
-    block_files, carrier, cfg_lines, code_lines, doc_files, doc_lines, line_files, plain_marks, query, shape_lines,
+    as_files, block_files, carrier, cfg_lines, code_lines, doc_lines, line_files, plain_marks, query, shape_lines,
     table, text_lines, tree_files,
 )
 
@@ -426,8 +426,6 @@ def concat_verdicts(spark, folder):
 
 def _masked_chain(pattern_list, files):
     span = "([\"''])[^\"''\\n]*([\"''])"
-    body = "case " + " ".join(f"when regexp_matches(text, {duck.dq(p)}) then regexp_extract(text, {duck.dq(p)}, 2) end" for p in pattern_list[:1])
-    del body
     return f"select path, regexp_replace(text, '{span}', '\\1{fv.MASK}\\2', 'g') as out from ({duck.judged(files, pattern_list)})"
 
 
@@ -535,8 +533,6 @@ DOC_FOUND = " union all ".join(
 
 
 def doc_tree(spark, folder):
-    from .registry import as_files
-
     return as_files(spark.sql(DOC_TREE.format(docs="{docs}"), docs=spread(table(spark, folder, "documents"))))
 
 
@@ -545,10 +541,6 @@ def scan_documents(spark, folder):
     return scan_findings(doc_tree(spark, folder), MASKED).withColumnRenamed("line", "line_no").select(*FOUND)
 
 
-def _doc_line_results(lines, kind_test, out_sql):
-    return out_sql(_OF_KIND.format(lines=lines, test=kind_test))
-
-
 FLAGSHIP = f"""select source, lang, rule, count(*) as n_findings, count(distinct value_hash) as n_values from
  (select split_part(path, '/', 1) as source, split_part(path, '/', 2) as lang, rule, sha256(value) as value_hash from ({duck.shape_findings(duck.DOC_LINES)})) group by all"""
 
@@ -579,5 +571,3 @@ TREE_OUT = " union all ".join([
 def sanitize_masked(spark, folder):
     return scan(line_files(spark, folder), MASKED).selectExpr("path", "result.out as text")
 
-
-__all__ = ["CODE_AND_TEXT", "CONFIG_FILES", "MASKED", "RULES", "TOKENS", "TREE_FOUND", "doc_files"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from maskwright.sources.corpus import explode_lines, from_table, spread
 
@@ -92,5 +91,3 @@ def plain_marks(column: str) -> str:
     """Text with the digits of token markers made equal."""
     return f"regexp_replace({column}, '_[0-9]{{40}}', '_N')"
 
-
-__all__ = ["F", "ORACLE", "QUERIES", "query"]

@@ -18,8 +18,7 @@ from maskwright.sources import corpus, evaluation, sinks
 from . import carriers, duck
 from .detection import MASKED, RULES, TREE_OUT
 from .registry import (
-    as_files, carrier, cfg_lines, code_lines, doc_files, doc_lines, line_files, page_files, query, shape_lines, table,
-    text_lines,
+    carrier, cfg_lines, code_lines, doc_files, line_files, page_files, query, table, text_lines,
 )
 
 # ---- corpus ----------------------------------------------------------------
@@ -189,7 +188,17 @@ def scores_read(spark, folder):
     )
 
 
-@query("results_sink")
+RESULTS = (
+    "with o as (select cast(line_no % 3 as string) as category, case when line_no % 2 = 0 then case when line_no % 3 <> 1 then 'TP' else 'FN' end"
+    f" when line_no % 3 <> 1 then 'FP' else 'TN' end as outcome from {duck.CODE}),"
+    " d as (select 'overall' as dimension, '(all)' as value, outcome from o union all select 'language', 'l', outcome from o"
+    " union all select 'file_type', 't', outcome from o union all select 'category', category, outcome from o)"
+    " select dimension, value, count(*) filter (outcome = 'TP') as tp, count(*) filter (outcome = 'FP') as fp, count(*) filter (outcome = 'FN') as fn,"
+    " count(*) filter (outcome = 'TN') as tn, count(*) as case_count from d group by all"
+)
+
+
+@query("results_sink", RESULTS)
 def results_sink(spark, folder):
     """Accuracy table of labelled code lines, as JSON lines."""
     lines = code_lines(spark, folder).selectExpr(
@@ -199,17 +208,3 @@ def results_sink(spark, folder):
     out = new_folder(spark, "results")
     sinks.write_results(prf_by(label_outcomes(lines, found)), out)
     return spark.read.schema("dimension string, value string, tp long, fp long, fn long, tn long, case_count long").json(out)
-
-
-from .registry import ORACLE  # noqa: E402
-
-ORACLE["results_sink"] = (
-    "with o as (select cast(line_no % 3 as string) as category, case when line_no % 2 = 0 then case when line_no % 3 <> 1 then 'TP' else 'FN' end"
-    f" when line_no % 3 <> 1 then 'FP' else 'TN' end as outcome from {duck.CODE}),"
-    " d as (select 'overall' as dimension, '(all)' as value, outcome from o union all select 'language', 'l', outcome from o"
-    " union all select 'file_type', 't', outcome from o union all select 'category', category, outcome from o)"
-    " select dimension, value, count(*) filter (outcome = 'TP') as tp, count(*) filter (outcome = 'FP') as fp, count(*) filter (outcome = 'FN') as fn,"
-    " count(*) filter (outcome = 'TN') as tn, count(*) as case_count from d group by all"
-)
-
-__all__ = ["as_files", "doc_lines", "shape_lines"]

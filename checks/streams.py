@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from maskwright import fixed_values as fv
 from maskwright.operators.hits import findings
 from maskwright.plans.scan import scan
 from maskwright.sources.corpus import from_table
 from maskwright.streaming.incremental import drain, read_new, scan_stream, scan_stream_ignoring
 
-from . import duck
 from .detection import DOC_FOUND, DOC_TREE, MASKED, doc_tree
 from .registry import query, table
 
@@ -40,5 +36,3 @@ def stream_scan_ignoring(spark, folder):
     stream = scan_stream_ignoring(arriving(spark, folder), ignores, MASKED).select("path", "line", "rule")
     return spark.read.parquet(drain(stream, "stream-ignoring"))
 
-
-__all__ = ["F", "duck", "fv"]

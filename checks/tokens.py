@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from maskwright import fixed_values as fv
 from maskwright.operators import tokens as tok
 from maskwright.operators.code import detect_code_lines
@@ -123,5 +121,3 @@ def token_findings(spark, folder):
     found = sanitize(files, TOKENS).findings
     return found.selectExpr("path", "line", "category", "regexp_extract(replace(replace(after, '&lt;', '<'), '&gt;', '>'), '<[A-Z_]+_[0-9]+>', 0) as token")
 
-
-__all__ = ["F"]

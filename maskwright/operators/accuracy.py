@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.text import Sql, q
 from .paths import extension

@@ -94,13 +94,39 @@ def segment_ok(before: Sql, word: Sql, after: Sql) -> Sql:
 
 
 _PARTS = ("head", "word", "mid", "literal", "close")
+_FOUND = "array<struct<" + ",".join(f"{p}:string" for p in _PARTS) + ">>"
 
 
-def literal_matches(line: Sql, rule: LiteralRule) -> Sql:
-    """All matches in order, as array<struct(head, word, mid, literal, close)>."""
-    groups = ", ".join(tx.extract_all(line, rule.regex, g) for g in range(1, 6))
-    fields = ",".join(f"{p}:string" for p in _PARTS)
-    return f"cast(arrays_zip({groups}) as array<struct<{fields}>>)"
+def cut(line: Sql, rule: LiteralRule) -> Sql:
+    """The line taken apart: struct(between, found), found holding the groups of
+    each match and between the texts around the matches.
+
+    The pattern is costly, so it runs once: a replacement writes marks around the
+    groups, and the rest is cheap splitting at the marks.
+    """
+    groups = tx.GROUP.join(f"${g}" for g in range(1, 6))
+
+    def named(g: Sql) -> Sql:
+        fields = ", ".join(f"'{p}', get({g}, {i})" for i, p in enumerate(_PARTS))
+        return f"named_struct({fields})"
+
+    def pieces(p: Sql) -> Sql:
+        # between and match alternate
+        between = tx.each(f"sequence(0, size({p}) - 1, 2)", lambda i: f"get({p}, {i})")
+        found = tx.each(
+            f"sequence(1, size({p}) - 2, 2)", lambda i: let(f"split(get({p}, {i}), {q(tx.GROUP)}, -1)", named)
+        )
+        return f"named_struct('between', {between}, 'found', cast({found} as {_FOUND}))"
+
+    def fast(m: Sql) -> Sql:
+        nothing = f"named_struct('between', array({line}), 'found', cast(array() as {_FOUND}))"
+        return f"if({m} = {line}, {nothing}, {let(f'split({m}, {q(tx.EDGE)}, -1)', pieces)})"
+
+    extracts = ", ".join(tx.extract_all(line, rule.regex, g) for g in range(1, 6))
+    slow = (
+        f"named_struct('between', split({line}, {q(rule.regex)}, -1), 'found', cast(arrays_zip({extracts}) as {_FOUND}))"
+    )
+    return f"if({tx.marked(line)}, {slow}, {let(tx.sub(line, rule.regex, tx.EDGE + groups + tx.EDGE), fast)})"
 
 
 def first_valid(found: Sql) -> Sql:
@@ -110,13 +136,13 @@ def first_valid(found: Sql) -> Sql:
     return f"(cast(array_position({flags}, true) as int) - 1)"
 
 
-def splice_literal(line: Sql, rule: LiteralRule, found: Sql, at: Sql, new: Sql) -> Sql:
-    """The line with only the literal of match number ``at`` replaced."""
+def splice_literal(parts: Sql, at: Sql, new: Sql) -> Sql:
+    """The line again, with only the literal of match number ``at`` replaced."""
     texts = tx.each_at(
-        found,
+        f"{parts}.found",
         lambda m, i: f"concat({m}.head, {m}.word, {m}.mid, if({i} = {at}, {new}, {m}.literal), {m}.close)",
     )
-    return tx.splice_all(line, rule.regex, texts)
+    return tx.weave(f"{parts}.between", texts)
 
 
 def literal_fold(start: Sql, lang: str, ctx: Context) -> Sql:
@@ -124,17 +150,14 @@ def literal_fold(start: Sql, lang: str, ctx: Context) -> Sql:
     part: the name already is suspicious."""
 
     def step(ordinal: int, rule: LiteralRule):
-        def fire(acc: Sql, found: Sql, at: Sql, match: Sql) -> Sql:
+        def fire(acc: Sql, parts: Sql, at: Sql, match: Sql) -> Sql:
             literal = f"{match}.literal"
             suppress, changed = ctx.ignore_state(q(fv.CODE_RULE), q(fv.CODE_KEY), literal)
             new = let(
                 keys.keyword_category(f"{match}.word"),
                 lambda category: mini_add(
                     acc,
-                    let(
-                        ctx.replacement(category, literal),
-                        lambda n: splice_literal(f"{acc}.out", rule, found, at, n),
-                    ),
+                    let(ctx.replacement(category, literal), lambda n: splice_literal(parts, at, n)),
                     ordinal + LITERAL_ORDINAL, category, literal, changed,
                     f"array({literal})" if ctx.tokens else "null",
                 ),
@@ -142,14 +165,13 @@ def literal_fold(start: Sql, lang: str, ctx: Context) -> Sql:
             return f"if({match} is null or {tx.is_blank(literal)} or {suppress}, {acc}, {new})"
 
         def apply(acc: Sql) -> Sql:
-            chosen = let(
-                literal_matches(f"{acc}.out", rule),
-                lambda found: let(
-                    first_valid(found),
-                    lambda at: let(f"get({found}, {at})", lambda m: fire(acc, found, at, m)),
-                ),
-            )
-            return f"if({tx.like(f'{acc}.out', rule.regex)}, {chosen}, {acc})"
+            def chosen(parts: Sql) -> Sql:
+                return let(
+                    first_valid(f"{parts}.found"),
+                    lambda at: let(f"get({parts}.found, {at})", lambda m: fire(acc, parts, at, m)),
+                )
+
+            return let(cut(f"{acc}.out", rule), chosen)
 
         return apply
 

@@ -46,13 +46,18 @@ OPENER = r"(?U)\A[\s\x1c-\x1f]*(?:\{|\[|[|>][+-]?\d*)[\s\x1c-\x1f]*\z"
 
 
 def setting_as(line: Sql, shape: SettingShape) -> Sql:
-    """The setting of a line in one shape, null if the line has another form."""
-    part = lambda group: tx.extract(line, shape.pattern, group)
-    return let(
-        part(1),
-        lambda head: f"if({head} = '', null, named_struct('shape', {q(shape.name)}, 'head', {head},"
-        f" 'key', {part(2)}, 'value', {part(3)}, 'tail', {part(4)}))",
+    """The setting of a line in one shape, null if the line has another form.  The
+    pattern covers the whole line; it runs once and writes marks between the
+    groups."""
+    named = lambda p: (
+        f"named_struct('shape', {q(shape.name)}, 'head', {p(1)}, 'key', {p(2)}, 'value', {p(3)}, 'tail', {p(4)})"
+    )
+    fast = let(
+        f"split({tx.sub(line, shape.pattern, tx.EDGE.join(f'${g}' for g in range(1, 5)))}, {q(tx.EDGE)}, -1)",
+        lambda g: f"if(size({g}) < 4, null, {named(lambda n: f'get({g}, {n - 1})')})",
     )
+    slow = f"if({tx.like(line, shape.pattern)}, {named(lambda n: tx.extract(line, shape.pattern, n))}, null)"
+    return f"if({tx.marked(line)}, {slow}, {fast})"
 
 
 def extract_setting(line: Sql) -> Sql:

@@ -9,7 +9,7 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.text import Sql, let, q
 from ..rules import RuleSet, ValueRule
-from .hits import LINE, NO_HITS, Context, hit, result, with_result
+from .hits import LINE, Context, hit, result, with_result
 from .paths import extension
 
 # A text without the sign of a rule cannot match the rule.  A sign is one rare
@@ -73,7 +73,10 @@ def category_of(rule_name: Sql, rules: RuleSet) -> Sql:
 
 def allowlist_text(text: Sql, rule: ValueRule) -> Sql:
     """What the allow-list is compared with for the first match of a rule."""
-    return tx.extract(text, rule.regex, rule.allowlist_group)
+    groups = [tx.extract(text, rule.regex, g) for g in rule.allowlist_groups]
+    if len(groups) < 2:
+        return groups[0] if groups else tx.extract(text, rule.regex)
+    return f"coalesce({', '.join(f'nullif({g}, {q(str())})' for g in groups)}, '')"
 
 
 def mask_all(text: Sql, rule: ValueRule) -> Sql:
@@ -123,7 +126,7 @@ def shape_fold(
 
         def fire(acc: Sql, first: Sql) -> Sql:
             suppress, changed = ctx.ignore_state(name, "null", first)
-            checked = allowlist_text(f"{acc}.out", rule) if rule.allowlist_group else first
+            checked = allowlist_text(f"{acc}.out", rule) if rule.allowlist_groups else first
             skip = [tx.is_dummy(checked, ctx.rules.allowlist)]
             if is_code:
                 skip.append(ctx.already_redacted(first))
@@ -206,9 +209,3 @@ def detect_fallback(lines: DataFrame, ctx: Context) -> DataFrame:
         lines.where(may_match("line", narrow.rules)), shape_line("line", narrow, is_fallback=True)
     )
 
-
-__all__ = [
-    "NO_HITS", "allowlist_text", "category_of", "detect_fallback", "detect_shapes", "finish", "first_rule",
-    "is_xml_file", "lines_with_shape", "mask_all", "matches", "may_match", "mini_add", "mini_start",
-    "shape_fold", "shape_line",
-]

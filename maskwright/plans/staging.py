@@ -99,5 +99,3 @@ def apply_stage(spark: SparkSession, staged: Stage, state_now: DataFrame, output
         raise RuntimeError("the preview is out of date: ignores, exclusions or rules have changed")
     spark.read.schema(_OUT).parquet(staged.folder).write.mode("error").parquet(output)
 
-
-__all__ = ["Sanitized", "Stage", "apply_stage", "sanitize", "scan_with_ignores", "stage", "unredacted_by_ignores"]

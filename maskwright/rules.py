@@ -36,9 +36,19 @@ class ValueRule:
         return CASELESS + self.pattern
 
     @property
-    def allowlist_group(self) -> int:
-        """Group whose text is compared with the allow-list (0 = whole match)."""
-        return 1 if re.compile(self.pattern).groups else 0
+    def allowlist_groups(self) -> tuple[int, ...]:
+        """Groups whose text is compared with the allow-list: the one that closes
+        last counts if it took part in the match, else the one before it.  Empty
+        for patterns without groups, where the whole match counts."""
+        closing, opened, number = [], [], 0
+        for mark in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((\?(?!<[A-Za-z]))?|\)", self.pattern):
+            if mark[0].startswith("("):
+                plain = mark[1] is None
+                number += plain
+                opened.append(number if plain else 0)
+            elif mark[0] == ")":
+                closing.append(opened.pop())
+        return tuple(g for g in reversed(closing) if g)
 
 
 @dataclass(frozen=True)

@@ -36,7 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def normalise_newlines(text: Sql) -> Sql:
-    return f"regexp_replace({text}, '\\r\\n?', '\\n')"
+    return f"if(contains({text}, '\\r'), regexp_replace({text}, '\\r\\n?', '\\n'), {text})"
 
 
 def valid_text(content: Sql) -> Sql:

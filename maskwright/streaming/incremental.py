@@ -38,5 +38,3 @@ def drain(found: DataFrame, label: str, output: str | None = None, checkpoint: s
     query.awaitTermination()
     return output
 
-
-__all__: list[str] = ["drain", "read_new", "scan_stream", "scan_stream_ignoring"]

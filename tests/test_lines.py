@@ -37,6 +37,7 @@ CONFIG = [
     ("a.ini", "# see 10.20.30.40", f"# see {MASK}", "ipv4_address"),
     ("a.ini", "h=Bearer YOUR_BEARER_TOKEN_HERE", None, None),
     ("a.ini", "http://x.y/z", None, None),  # reads as key `http`
+    ("a.ini", "password=x\x01y\x02z", f"password={MASK}", "key_name_match"),
     (".env", "export X=mail me@example.org", f"export X=mail {MASK}", "email_address"),
 ]
 
@@ -78,6 +79,7 @@ CODE = [
     ("f.dart", "final t = loggedIn ? token : 'guest';", None, None),
     ("f.dart", "final apiKey = '''triple''';", None, None),
     ("f.dart", "if (token == 'abc') {}", None, None),
+    ("a.java", 'String q = "\x01"; String token = "a\x02b";', "a\x02b", "ACCESS_TOKEN"),
     ("a.java", f'foo("{MASK} 10.1.2.3")', None, None),
 ]
 
