@@ -10,6 +10,7 @@ from maskwright.operators.hits import findings
 from maskwright.operators.blocks import concat_for_kind
 from maskwright.operators.paths import classify
 from maskwright.plans.scan import scan
+from maskwright.session import materialize
 
 from . import carriers, duck
 from .detection import GO_CHAINS, GO_FILES, JAVA_FILES, MASKED, PY_FILES, RULES, TOKENS
@@ -22,16 +23,21 @@ def cases(spark, folder):
     return carrier(spark, folder, carriers.CASES)
 
 
-def case_files(spark, folder):
+def case_texts(spark, folder):
     return as_files(carrier(spark, folder, carriers.CASE_FILES))
 
 
-def found_in(files, ctx=MASKED):
-    return findings(scan(files, ctx), "path").withColumnRenamed("path", "file")
+def case_files(spark, folder, ctx=MASKED):
+    """The labelled files scanned, once for all that a check needs of them."""
+    return materialize(scan(case_texts(spark, folder), ctx).select("path", "text", "result"), "cases")
 
 
-def sanitized(files, ctx=MASKED):
-    return scan(files, ctx).selectExpr("path as file", "result.out as text")
+def found_in(scanned):
+    return findings(scanned, "path").withColumnRenamed("path", "file")
+
+
+def sanitized(scanned):
+    return scanned.selectExpr("path as file", "result.out as text")
 
 
 _L = f"(select path, 2 as line_no, line from {duck.CASE_FILES})"
@@ -50,8 +56,9 @@ OUTCOMES = (
 )
 
 
-def outcomes(spark, folder):
-    return acc.label_outcomes(cases(spark, folder), found_in(case_files(spark, folder)))
+def outcomes(spark, folder, files=None):
+    files = case_files(spark, folder) if files is None else files
+    return acc.label_outcomes(cases(spark, folder), found_in(files))
 
 
 @query("label_outcomes", f"select id, file, line, outcome from {OUTCOMES}")
@@ -113,7 +120,7 @@ _SPAN = (
 def span_check(spark, folder):
     files = case_files(spark, folder)
     found = found_in(files)
-    return acc.span_check(outcomes(spark, folder), found, sanitized(files)).select("id", "file", "line", "span_ok")
+    return acc.span_check(outcomes(spark, folder, files), found, sanitized(files)).select("id", "file", "line", "span_ok")
 
 
 # odd cases get their text repeated on another line, so that some values leak
@@ -130,7 +137,7 @@ def leaks_mask_mode(spark, folder):
     files = case_files(spark, folder)
     old = carrier(spark, folder, carriers.CASE_FILES).selectExpr("path as file", "line as old_line")
     leaky = sanitized(files).join(old, "file").withColumn("text", F.expr(_LEAKY)).drop("old_line")
-    return acc.leaks_mask(outcomes(spark, folder), found_in(files), leaky).select("id", "file", "line", "span_ok", "leaked")
+    return acc.leaks_mask(outcomes(spark, folder, files), found_in(files), leaky).select("id", "file", "line", "span_ok", "leaked")
 
 
 @query(
@@ -140,14 +147,14 @@ def leaks_mask_mode(spark, folder):
     f" from {duck.CASE_FILES}) x on x.file = f.file where not contains(f.value, '{fv.MASK}')",
 )
 def leaks_token_mode(spark, folder):
-    files = case_files(spark, folder)
-    found = found_in(files, TOKENS).where("not regexp_like(value, '_[0-9]{40}')")
+    files = case_files(spark, folder, TOKENS)
+    found = found_in(files).where("not regexp_like(value, '_[0-9]{40}')")
     original = files.selectExpr("path as file", "text")
     old = carrier(spark, folder, carriers.CASE_FILES).selectExpr("path as file", "line as old_line")
-    leaky = sanitized(files, TOKENS).join(old, "file").withColumn(
+    leaky = sanitized(files).join(old, "file").withColumn(
         "text", F.expr("if(octet_length(file) % 5 = 0, concat(text, old_line), text)")
     )
-    return acc.leaks_token(outcomes(spark, folder), found, original, leaky).select("file", "line", "rule", "leaked")
+    return acc.leaks_token(outcomes(spark, folder, files), found, original, leaky).select("file", "line", "rule", "leaked")
 
 
 _GROUPED = (
@@ -166,7 +173,8 @@ def faked(found):
     f"select value_group, count(distinct after) as n_tokens, count(distinct after) <= 1 as consistent from {_GROUPED} group by all",
 )
 def token_consistency(spark, folder):
-    return acc.consistency(outcomes(spark, folder), faked(found_in(case_files(spark, folder))))
+    files = case_files(spark, folder)
+    return acc.consistency(outcomes(spark, folder, files), faked(found_in(files)))
 
 
 _OWNED = (
@@ -180,10 +188,11 @@ _OWNED = (
     f"select category, token, count(distinct original_value) as n_values from {_OWNED} where token <> '' group by all having count(distinct original_value) > 1",
 )
 def token_distinctness(spark, folder):
-    found = found_in(case_files(spark, folder)).where(f"not contains(value, '{fv.MASK}')").withColumn(
+    files = case_files(spark, folder)
+    found = found_in(files).where(f"not contains(value, '{fv.MASK}')").withColumn(
         "after", F.expr("if(length(value) % 4 = 0, '', concat('<T_', cast(length(value) % 3 as string), '>'))")
     )
-    return acc.distinctness(outcomes(spark, folder), found)
+    return acc.distinctness(outcomes(spark, folder, files), found)
 
 
 # ---- multi-line values -----------------------------------------------------
@@ -213,17 +222,16 @@ def multiline_token_consistency(spark, folder):
 @query("run_diff", "select file, rule, 'second' as only_in, 1 as surplus from " + FOUND + " where rule like '%github_token'")
 def run_diff(spark, folder):
     """Two runs, the first without one rule: the difference is that rule."""
-    files = case_files(spark, folder)
     fewer = MASKED.narrow(*[r.name for r in RULES.values if r.name != "github_token"])
-    first = findings(scan(files, fewer), "path").selectExpr("path as file", "rule")
-    return acc.run_diff(first, found_in(files).select("file", "rule"))
+    first, second = (found_in(case_files(spark, folder, c)).select("file", "rule") for c in (fewer, MASKED))
+    return acc.run_diff(first, second)
 
 
 @query("mode_parity", f"select file, line, rule, cast(1 as bigint) as surplus, 'first' as only_in from {FOUND} where false")
 def mode_parity(spark, folder):
     """Mask and token mode find the same places."""
-    files = case_files(spark, folder)
-    return acc.mode_parity(found_in(files), found_in(files, TOKENS))
+    masked, tokens = (found_in(case_files(spark, folder, c)) for c in (MASKED, TOKENS))
+    return acc.mode_parity(masked, tokens)
 
 
 # ---- format and fingerprints -----------------------------------------------
@@ -276,6 +284,6 @@ def fingerprint_audit(spark, folder):
     f"select id, file, line, case when starts_with(file, 'gone/') then 'file_absent' else 'line_out_of_range' end as problem from {duck.CASES} where starts_with(file, 'gone/') or line > 2",
 )
 def dangling_labels(spark, folder):
-    lengths = case_files(spark, folder).selectExpr("path as file", "2 as n_lines")
+    lengths = case_texts(spark, folder).selectExpr("path as file", "2 as n_lines")
     return acc.dangling_labels(cases(spark, folder), lengths)
 

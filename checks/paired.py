@@ -285,7 +285,14 @@ def keyword_sweep(spark, folder):
     return paired.keyword_sweep(texts, _WORDS)
 
 
-@query("inference_table")
+@query(
+    "inference_table",
+    "select t.dimension, t.n_pairs, coalesce(m, 0) as n_nonzero, w_plus, w_minus, least(w_plus, w_minus) as statistic, round(z, 9) as z, round(p, 6) as p_value,"
+    " round(effect, 9) as effect, round(holm_p, 6) as holm_p, median, mean, ci_lower, ci_upper, holm_p < 0.05 as significant"
+    f" from {_TESTED} t left join (select dimension as d2, holm_p from {_HOLM}) h on h.d2 = t.dimension join (select dimension as d3, ci_lower, ci_upper from {_BOOT}) b on b.d3 = t.dimension"
+    f" join (select dimension as d4, median(delta) as median, round(avg(delta), 9) as mean from {LONG} group by all) s on s.d4 = t.dimension",
+)
 def inference_table(spark, folder):
     """The confirmatory table as a whole, with the bootstrap interval."""
-    return rounded(paired.inference(deltas(spark, folder)), "z", "effect", "mean")
+    table = paired.inference(deltas(spark, folder))
+    return rounded(rounded(table, "z", "effect", "mean"), "p_value", "holm_p", digits=6)

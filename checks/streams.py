@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from maskwright.operators.hits import findings
 from maskwright.plans.scan import scan
+from maskwright.session import materialize
 from maskwright.sources.corpus import from_table
 from maskwright.streaming.incremental import drain, read_new, scan_stream, scan_stream_ignoring
 
@@ -33,6 +34,7 @@ def stream_scan_ignoring(spark, folder):
     """With a static ignore list for half of the files."""
     found = findings(scan(doc_tree(spark, folder), MASKED), "path").where("octet_length(path) % 2 = 0")
     ignores = found.selectExpr("path as file", "key", "rule", "sha2(value, 256) as value_hash").distinct()
+    ignores = materialize(ignores, "ignores")
     stream = scan_stream_ignoring(arriving(spark, folder), ignores, MASKED).select("path", "line", "rule")
     return spark.read.parquet(drain(stream, "stream-ignoring"))
 

@@ -10,6 +10,7 @@ from maskwright.operators.hits import findings
 from maskwright.operators.shapes import detect_shapes
 from maskwright.plans.staging import sanitize
 from maskwright.rules import value_rule_table
+from maskwright.session import materialize
 
 from . import duck
 from .detection import MASKED, RULES, TOKENS
@@ -69,8 +70,8 @@ ASSIGNED = f"(select v.path, v.line_no as line, v.category, t.token from {VALUES
 
 
 def assigned(spark, folder):
-    uses = tok.token_uses(found_values(spark, folder))
-    return tok.assign_tokens(uses, tok.number_tokens(uses).drop("category"))
+    uses = materialize(tok.token_uses(found_values(spark, folder)), "uses")
+    return tok.assign_tokens(uses, materialize(tok.number_tokens(uses).drop("category"), "numbers"))
 
 
 @query("assign_tokens", f"select path, line, category, token from {ASSIGNED}")
