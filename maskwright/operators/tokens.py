@@ -22,8 +22,8 @@ HOT_TOKENS = 200
 def categorize(findings: DataFrame, rule_categories: DataFrame) -> DataFrame:
     """Add the category of each finding's rule; unknown rules get the default.
     ``rule_categories(rule, category)`` has one row per rule."""
-    table = F.broadcast(rule_categories.select("rule", F.col("category").alias("known")))
-    return findings.join(table, "rule", "left").withColumn(
+    known = rule_categories.select("rule", F.col("category").alias("known"))
+    return findings.join(known, "rule", "left").withColumn(
         "category", F.coalesce("known", F.lit(fv.DEFAULT_CATEGORY))
     ).drop("known")
 
@@ -59,7 +59,7 @@ def number_tokens(uses: DataFrame, key: str = "mark") -> DataFrame:
         first.repartitionByRange(width, "category", "first").withColumn("part", F.spark_partition_id()),
         "tokens",
     )
-    # at most `width` rows per category
+    # at most `width` rows per category, so the table of offsets may be broadcast
     before = Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("category", "part").agg(F.count(F.lit(1)).alias("n_here"))

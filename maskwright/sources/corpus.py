@@ -32,7 +32,8 @@ def spread(df: DataFrame) -> DataFrame:
     exchanged at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    n_files = len(df._jdf.inputFiles())  # counted in the JVM, no list of names comes over
+    return df.repartition(cores) if n_files < cores else df
 
 
 def normalise_newlines(text: Sql) -> Sql:
@@ -69,10 +70,14 @@ def from_table(df: DataFrame, path_expr: Sql, text_col: str) -> DataFrame:
 
 def explode_lines(files: DataFrame) -> DataFrame:
     """``files(path, text)`` to (path, line_no, line, eol).  A final newline ends
-    the last line; it does not start another."""
+    the last line; it does not start another.
+
+    The outer explode keeps Catalyst from adding a filter that splits the text a
+    second time; a null text has no line and drops out in the filter here.
+    """
     return (
         files.selectExpr("path", "split(text, '\\n', -1) as pieces")
-        .selectExpr("path", "size(pieces) as n", "posexplode(pieces) as (pos, line)")
+        .selectExpr("path", "size(pieces) as n", "posexplode_outer(pieces) as (pos, line)")
         .where("not (pos = n - 1 and line = '')")
         .selectExpr("path", "pos + 1 as line_no", "line", "if(pos < n - 1, '\\n', '') as eol")
     )
