@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +28,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_linked_secrets", oracles.secrets_sql())
+def linked_secrets_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import linked_secrets as s
+
+    found = s.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("strong", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(s.listed("strong"), 256).alias("base_sha256"), s.listed("spans").alias("spans"),
+    )
+
+
+@query("op10_winnowing", oracles.WINNOWING)
+def winnowing_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import winnowing
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = winnowing.hits(docs, table(spark, folder, "benchmark"))
+    return found.selectExpr(
+        "doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(items, ','), 256) as items_sha256", "n_hit > 0 as contaminated"
+    )
+
+
 @query("op3_quality_votes")
 def quality_votes_query(spark: SparkSession, folder: str) -> DataFrame:
     from . import quality_votes
