@@ -51,6 +51,13 @@ def winnowing_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op2_suffix_dedup")
+def suffix_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("kept")
+
+
 @query("op3_quality_votes")
 def quality_votes_query(spark: SparkSession, folder: str) -> DataFrame:
     from . import quality_votes
