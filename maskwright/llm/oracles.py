@@ -60,3 +60,44 @@ named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
     sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from words w left join hit h on h.doc_id = w.doc_id left join named m on m.doc_id = w.doc_id"""
+
+
+WARC = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first from p where strlen(h) >= 100 group by h)
+select page_id, cast(strlen(p.h) as bigint) as payload_bytes, sha256(p.h) as payload_digest,
+    case when first is null or first is not distinct from page_id then 'response' else 'revisit' end as record_type,
+    case when first is distinct from page_id then first end as refers_to
+from p left join f on f.h = p.h"""
+
+
+def url_sql(rules) -> str:
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    return f"""
+with rules(rhost, rpath, verdict) as (values {values}),
+u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+d as (select distinct host, path from u),
+fits as (select host, path, rhost || rpath as rule, verdict,
+        row_number() over (partition by host, path order by length(rhost || rpath) desc, length(rhost) desc, verdict desc) as k
+    from d, rules where (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+select page_id, u.host, u.path, rule, coalesce(verdict, 'allow') as verdict
+from u left join fits on fits.host = u.host and fits.path = u.path and k = 1"""
+
+
+PERSPECTIVES = r"""
+with t as (select conv_id, turn, coalesce(cast(floor(turn / 64) as bigint), -1) as part,
+        replace(coalesce(role, 'unknown'), '<|', '< |') as speaker, replace(coalesce(text, ''), '<|', '< |') as said from conversations),
+p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
+r as (select t.conv_id, perspective, part, turn, speaker, said, speaker = perspective as own,
+        case when speaker = 'system' then '<|system|>' || chr(10) when speaker = perspective then '<|assistant|>' || chr(10)
+             else '<|user name=' || speaker || '|>' || chr(10) end as head,
+        said || chr(10) || '<|end|>' || chr(10) as body
+    from t join p on p.conv_id is not distinct from t.conv_id),
+o as (select *, coalesce(sum(length(head) + length(body)) over w, 0) as before from r
+    window w as (partition by conv_id, perspective, part order by turn nulls first, speaker, said rows between unbounded preceding and 1 preceding))
+select conv_id, perspective, part, count(*) as n_turns, cast(sum(length(head) + length(body)) as bigint) as n_chars,
+    cast(coalesce(sum(length(body)) filter (own), 0) as bigint) as n_mask_chars,
+    coalesce(string_agg((before + length(head))::bigint || ':' || (before + length(head) + length(body))::bigint, ',' order by turn nulls first, speaker, said) filter (own), '') as mask,
+    sha256(string_agg(head || body, '' order by turn nulls first, speaker, said)) as rendered_sha256
+from o group by conv_id, perspective, part"""

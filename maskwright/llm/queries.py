@@ -90,3 +90,45 @@ def pieces_query(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("pieces", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
         F.char_length(F.coalesce("row.text", F.lit(""))).cast("bigint").alias("n_chars"), same.alias("round_trip"),
     )
+
+
+@query("op4_warc", oracles.WARC)
+def warc_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import storage, warc
+
+    where = storage.new_folder(spark, "warc")
+    archives = warc.write_archives(table(spark, folder, "pages"), where)
+    return warc.read_archives(archives, where, split_bytes=4 << 20, with_payload=False).drop("url", "payload")
+
+
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query("op7_url_rules", oracles.url_sql(URL_RULES))
+def url_rules_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import url_rules
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judged(table(spark, folder, "pages"), rules)
+
+
+@query("op8_language")
+def language_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(f"not ({language.held_out()}) and lang is not null and text is not null"))
+    found = language.predicted(docs, model)
+    return found.selectExpr("doc_id", f"{language.held_out()} as held_out", "lang_pred", "round(score, 9) as score")
+
+
+@query("op9_perspectives", oracles.PERSPECTIVES)
+def perspectives_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import perspectives
+
+    found = perspectives.rotated(table(spark, folder, "conversations"))
+    return found.selectExpr(
+        "conv_id", "perspective", "part", "n_turns", "cast(char_length(rendered) as bigint) as n_chars",
+        "cast(aggregate(mask, 0, (a, m) -> a + m.end - m.start) as bigint) as n_mask_chars",
+        "array_join(transform(mask, m -> concat(m.start, ':', m.end)), ',') as mask", "sha2(rendered, 256) as rendered_sha256",
+    )
