@@ -285,8 +285,9 @@ def near_duplicates(
     docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text",
     cluster_rows: int = 4000, cluster_shingles: int = 4_000_000, block: int = 256,
 ) -> DataFrame:
-    """(doc_id, same, n_shingles, component_id) for every row of ``docs``; ``same`` is
-    ``xxhash64`` of the text and tells rows of one id apart."""
+    """(doc_id, same, n_shingles, class, component_id) for every row of ``docs``; ``same``
+    is ``xxhash64`` of the text and tells rows of one id apart, ``class`` numbers the
+    class and is null without a set."""
     spark = docs.sparkSession
     source = docs.selectExpr(f"`{id_column}` as doc_id", f"xxhash64(`{text}`) as same", f"`{text}` as text")
     signed = source.mapInArrow(
@@ -335,24 +336,28 @@ def near_duplicates(
     return (
         signed.drop("bands", "node")
         .join(named.drop("lowest").join(lowest, "class"), keys, "left")
-        .selectExpr("doc_id", "same", "n_shingles", "coalesce(component_id, doc_id) as component_id")
+        .selectExpr("doc_id", "same", "n_shingles", "class", "coalesce(component_id, doc_id) as component_id")
     )
 
 
 def _with_texts(members: DataFrame, source: DataFrame) -> DataFrame:
+    """Texts of the members.  Always by a merge join: members are a share of the corpus."""
     m = members.selectExpr("cluster", "node", "doc_id as m_id", "same as m_same")
     return source.join(m, F.expr("same = m_same and doc_id <=> m_id")).select("cluster", "node", "text")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their class, all columns as they were.  Of
-    repeated rows and of rows with one id in one class, a single row stays (the one whose
-    text comes first); rows without an id stay unless their class has an id."""
-    found = near_duplicates(docs, id_column=id_column, text=text, **options)
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(F.min("same").alias("same")).select("doc_id", "same")
-    kept = storage.stored(kept, "kept")
-    rows = docs.select(F.struct("*").alias("row")).join(kept, F.expr(f"xxhash64(row.`{text}`) = same and row.`{id_column}` <=> doc_id"))
-    repeated = found.groupBy("doc_id").count().where("count > 1").take(1)
-    if repeated:
-        rows = rows.dropDuplicates(["doc_id", "same"])
+    """The rows of ``docs`` without all but one of each class, all columns as they were.
+    The smallest id stays, rows without an id only if the class has none; among rows of
+    one id the text with the smallest hash, once.  Rows without a set all stay."""
+    found = storage.stored(near_duplicates(docs, id_column=id_column, text=text, **options), "classes-by-row")
+    best = found.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("best"))
+    kept = best.select("best.doc_id", "best.same", F.lit(True).alias("in_class")).unionByName(
+        found.where("class is null").select("doc_id", "same", F.lit(False).alias("in_class")).distinct()
+    )
+    rows = docs.select(F.struct("*").alias("row")).join(
+        kept, F.expr(f"xxhash64(row.`{text}`) = same and row.`{id_column}` <=> doc_id")
+    )
+    if found.where("class is not null").groupBy("doc_id", "same").count().where("count > 1").take(1):
+        rows = rows.where("in_class").dropDuplicates(["doc_id", "same"]).unionByName(rows.where("not in_class"))
     return rows.select("row.*")

@@ -315,7 +315,7 @@ def repeated_ranges(source: DataFrame, most_segments: int) -> DataFrame:
     """(id, tie, start, n): runs of repeated windows of ``source(id, tie, text)``."""
     found = storage.stored(_collapsed(source.mapInArrow(_cut, SEGMENT), most_segments), "collapsed")
     open_ranges = found.where(f"kind <> {REMOVED}").groupBy("id", "tie").agg(F.collect_list(F.struct("kind", "route", "start", "n")).alias("ranges"))
-    pieces = source.join(open_ranges.hint("merge"), ["id", "tie"]).dropDuplicates(["id", "tie"]).withColumn("bytes", F.expr("cast(text as binary)"))
+    pieces = source.join(open_ranges.hint("merge"), ["id", "tie"]).withColumn("bytes", F.expr("cast(text as binary)"))
     pieces = pieces.select("id", "tie", F.expr(
         f"inline(transform(ranges, r -> struct(r.kind, r.route, r.start, r.n, substring(bytes, cast(r.start + 1 as int), cast(r.n + {LENGTH - 1} as int)) as body)))"
     )).toDF("id", "tie", "kind", "route", "start", "n", "body")
@@ -338,7 +338,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     lowest = -(1 << 63)
     tie = "0L" if unique else f"coalesce(xxhash64(`{text}`), 0L)"
     source = docs.selectExpr(f"`{id_column}` as doc_id", f"coalesce(cast(`{id_column}` as bigint), {lowest + 1}L - 1L) as id", f"{tie} as tie", f"coalesce(`{text}`, '') as text")
-    ranges = storage.stored(repeated_ranges(source.select("id", "tie", "text"), most_segments), "repeated")
+    once = source.select("id", "tie", "text")
+    ranges = storage.stored(repeated_ranges(once if unique else once.dropDuplicates(["id", "tie"]), most_segments), "repeated")
     grouped = ranges.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     joined = source.join(grouped.hint("merge"), ["id", "tie"], "left").select(
         "doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start: bigint, n: bigint>>")).alias("ranges")
