@@ -342,7 +342,7 @@ def near_duplicates(
 
 def _with_texts(members: DataFrame, source: DataFrame) -> DataFrame:
     """Texts of the members.  Always by a merge join: members are a share of the corpus."""
-    m = members.selectExpr("cluster", "node", "doc_id as m_id", "same as m_same")
+    m = members.selectExpr("cluster", "node", "doc_id as m_id", "same as m_same").hint("merge")
     return source.join(m, F.expr("same = m_same and doc_id <=> m_id")).select("cluster", "node", "text")
 
 
@@ -356,7 +356,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         found.where("class is null").select("doc_id", "same", F.lit(False).alias("in_class")).distinct()
     )
     rows = docs.select(F.struct("*").alias("row")).join(
-        kept, F.expr(f"xxhash64(row.`{text}`) = same and row.`{id_column}` <=> doc_id")
+        kept.hint("merge"), F.expr(f"xxhash64(row.`{text}`) = same and row.`{id_column}` <=> doc_id")
     )
     if found.where("class is not null").groupBy("doc_id", "same").count().where("count > 1").take(1):
         rows = rows.where("in_class").dropDuplicates(["doc_id", "same"]).unionByName(rows.where("not in_class"))
