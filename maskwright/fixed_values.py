@@ -89,6 +89,32 @@ CODE_KEYWORDS = [
     ("auth", "ACCESS_TOKEN"),
 ]
 
+# --- fixed values: code patterns per language, as the rules file has them ---
+# The one group of each is the literal; (?i) is implied.
+CODE_PATTERNS = {
+    "java": [
+        ("java", r'(?:String|final\s+String)\s+\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*\s*=\s*"([^"]*)"'),
+    ],
+    "python": [
+        ("python_assign", r"""\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*\s*=\s*["']([^"']*)["']"""),
+        ("python_getenv", r"""(?:os\.getenv|os\.environ\.get)\(\s*["'][^"']*(?:password|secret|token|apikey|api_key|key|credential|auth)[^"']*["']\s*,\s*["']([^"']*)["']\s*\)"""),
+    ],
+    "javascript": [
+        ("javascript", r"""(?:const|let|var)\s+\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*\s*(?::\s*[^=;\n]+?)?\s*=\s*[`"'](.*?)[`"']"""),
+    ],
+    "go": [
+        ("go", r'\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*\s*:?=\s*"([^"]*)"'),
+    ],
+    "csharp": [
+        ("csharp", r'(?:string|var)\s+\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*\s*=\s*"([^"]*)"'),
+    ],
+    "dart": [
+        ("dart_assign", r"""(?<!\w)(?:(?:const|final|var|late|static)\s+)*(?:[A-Za-z_][\w.]*(?:<[^=;\n]*>)?\??\s+)?\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*\s*=\s*(?:r["']|["'](?!(?:\$\w+|\$\{[^}\n]*\})+["']))((?:(?<=")[^"\n]+(?=")|(?<=')[^'\n]+(?=')))["']"""),
+        ("dart_named", r"""(?:^|[(,])\s*\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*\s*:\s*(?:r["']|["'](?!(?:\$\w+|\$\{[^}\n]*\})+["']))((?:(?<=")[^"\n]+(?=")|(?<=')[^'\n]+(?=')))["']"""),
+        ("dart_map", r"""["']\w*(?:password|secret|token|apikey|api_key|key|credential|auth)\w*["']\s*:\s*(?:r["']|["'](?!(?:\$\w+|\$\{[^}\n]*\})+["']))((?:(?<=")[^"\n]+(?=")|(?<=')[^'\n]+(?=')))["']"""),
+    ],
+}
+
 # --- fixed values: dummy words that are never secrets by shape -------------
 ALLOWLIST = [
     "changeme", "change_me", "your_api_key_here", "your-api-key-here",

@@ -2,80 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.text import Sql, let, q
+from ..rules import WORDS, LiteralRule
 from . import keys
 from .hits import Context, result, with_result
 from .paths import classify
 from .shapes import finish, may_match, mini_add, mini_start, shape_fold
 
-_WORDS = "|".join(word for word, _ in fv.CODE_KEYWORDS)
-
-
-@dataclass(frozen=True)
-class LiteralRule:
-    """A literal after a suspicious name.
-
-    ``lead`` and ``link`` are what stands before the name and between name and
-    literal; ``around`` is the run of name characters on both sides of the word.
-    Groups of the full pattern: 1 all before the word, 2 the word, 3 all between
-    word and literal, 4 the literal, 5 the closing part.
-    """
-
-    name: str
-    lead: str
-    link: str
-    literal: str
-    close: str
-    around: str = r"\w*"
-
-    @property
-    def regex(self) -> str:
-        return (
-            f"(?iUd)({self.lead}{self.around})({_WORDS})({self.around}{self.link})"
-            f"({self.literal})({self.close})"
-        )
-
-
-# --- fixed values: how each language writes an assignment of a literal ------
-_DART_OPEN = r"""(?:r["']|["'](?!(?:\$\w+|\$\{[^}\n]*\})+["']))"""
-_DART_TEXT = r"""(?:(?<=")[^"\n]+(?=")|(?<=')[^'\n]+(?='))"""
-_DART_CLOSE = r"""["']"""
-LITERAL_RULES: dict[str, tuple[LiteralRule, ...]] = {
-    "java": (
-        LiteralRule("java", r"(?:String|final\s+String)\s+", r'\s*=\s*"', r'[^"]*', '"'),
-    ),
-    "python": (
-        LiteralRule("python_assign", "", r"""\s*=\s*["']""", r"""[^"']*""", r"""["']"""),
-        LiteralRule(
-            "python_getenv", r"""(?:os\.getenv|os\.environ\.get)\(\s*["']""", r"""["']\s*,\s*["']""",
-            r"""[^"']*""", r"""["']\s*\)""", around=r"""[^"']*""",
-        ),
-    ),
-    "javascript": (
-        LiteralRule(
-            "javascript", r"(?:const|let|var)\s+", r"""\s*(?::\s*[^=;\n]+?)?\s*=\s*[`"']""", r".*?", r"""[`"']""",
-        ),
-    ),
-    "go": (LiteralRule("go", "", r'\s*:?=\s*"', r'[^"]*', '"'),),
-    "csharp": (LiteralRule("csharp", r"(?:string|var)\s+", r'\s*=\s*"', r'[^"]*', '"'),),
-    "dart": (
-        LiteralRule(
-            "dart_assign",
-            r"(?<!\w)(?:(?:const|final|var|late|static)\s+)*(?:[A-Za-z_][\w.]*(?:<[^=;\n]*>)?\??\s+)?",
-            r"\s*=\s*" + _DART_OPEN, _DART_TEXT, _DART_CLOSE,
-        ),
-        LiteralRule("dart_named", r"(?:^|[(,])\s*", r"\s*:\s*" + _DART_OPEN, _DART_TEXT, _DART_CLOSE),
-        LiteralRule("dart_map", r"""["']""", r"""["']\s*:\s*""" + _DART_OPEN, _DART_TEXT, _DART_CLOSE),
-    ),
-}
-LANGUAGES = tuple(LITERAL_RULES)
+LANGUAGES = tuple(fv.CODE_PATTERNS)
 LITERAL_ORDINAL = -100  # literal rules come before the value rules
 
 # The word between two marks is a whole part of the name: on each side comes the
@@ -132,7 +71,7 @@ def cut(line: Sql, rule: LiteralRule) -> Sql:
 def first_valid(found: Sql) -> Sql:
     """Position (from 0) of the first match whose word is a real name part, -1 if
     there is none."""
-    flags = tx.each(found, lambda m: segment_ok(f"{m}.head", f"{m}.word", f"{m}.mid"))
+    flags = tx.each(found, lambda m: f"({m}.word = '' or {segment_ok(f'{m}.head', f'{m}.word', f'{m}.mid')})")
     return f"(cast(array_position({flags}, true) as int) - 1)"
 
 
@@ -175,12 +114,15 @@ def literal_fold(start: Sql, lang: str, ctx: Context) -> Sql:
 
         return apply
 
-    return tx.fold(start, [step(ordinal, rule) for ordinal, rule in enumerate(LITERAL_RULES[lang])])
+    return tx.fold(start, [step(ordinal, rule) for ordinal, rule in enumerate(dict(ctx.rules.code).get(lang, ()))])
 
 
-def has_word(line: Sql) -> Sql:
-    """Cheap necessary condition: a quote, and one of the words."""
-    return f"({tx.like(line, '["`' + chr(39) + ']')} and {tx.like(line, f'(?iUd){_WORDS}')})"
+def has_word(line: Sql, ctx: Context) -> Sql:
+    """Cheap necessary condition: a quote, and one of the words.  Rules that do not ask
+    for a word leave no such condition."""
+    if not all(rule.word for _, own in ctx.rules.code for rule in own):
+        return "true"
+    return f"({tx.like(line, '["`' + chr(39) + ']')} and {tx.like(line, f'(?iUd){WORDS}')})"
 
 
 def code_line(line: Sql, kind: Sql, ctx: Context) -> Sql:
@@ -192,9 +134,9 @@ def code_line(line: Sql, kind: Sql, ctx: Context) -> Sql:
 
     def literals(acc: Sql) -> Sql:
         cases = " ".join(
-            f"when {kind} = {q(f'code:{lang}')} then {literal_fold(acc, lang, ctx)}" for lang in LANGUAGES
+            f"when {kind} = {q(f'code:{lang}')} then {literal_fold(acc, lang, ctx)}" for lang, own in ctx.rules.code if own
         )
-        return f"case when not {has_word(f'{acc}.out')} then {acc} {cases} else {acc} end"
+        return f"case when not {has_word(f'{acc}.out', ctx)} then {acc} {cases} else {acc} end"
 
     def shapes(acc: Sql) -> Sql:
         return f"if({may_match(f'{acc}.out', ctx.rules)}, {shape_fold(acc, ctx, is_code=True)}, {acc})"
@@ -211,4 +153,4 @@ def detect_code_lines(lines: DataFrame, ctx: Context) -> DataFrame:
 def detect_literals(lines: DataFrame, lang: str, ctx: Context) -> DataFrame:
     """Only the literal rules of one language."""
     folded = literal_fold(mini_start("line"), lang, ctx)
-    return with_result(lines.where(has_word("line")), finish(folded, ctx))
+    return with_result(lines.where(has_word("line", ctx)), finish(folded, ctx))
