@@ -5,6 +5,10 @@ cases: see ``sources.evaluation``.  findings(file, line, key, rule, value, after
 
 from __future__ import annotations
 
+import json
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,26 +77,48 @@ def _caught(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("outcome = 'TP'")
 
 
+def _beside_text(rows: DataFrame, texts: DataFrame, computed: dict[str, Sql], shared: Sql | None = None) -> DataFrame:
+    """Rows of a file, gathered, next to the file's text, which moves once however many
+    rows there are.  ``computed`` are expressions of a row ``c``, of the columns of
+    ``texts`` and of ``s``, the value of ``shared`` for the file."""
+    columns = [c for c in rows.columns if c != "file"]
+    gathered = rows.groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("cs"))
+    fields = ", ".join([f"'{x}', c.`{x}`" for x in columns] + [f"'{n}', {e}" for n, e in computed.items()])
+    each = f"transform(cs, c -> named_struct({fields}))"
+    if shared is not None:
+        each = f"get(transform(array({shared}), s -> {each}), 0)"
+    return gathered.join(texts, "file").selectExpr("file", f"inline({each})")
+
+
+_LINES = "split(text, '\\n', -1)"
+_OUT_LINE = "coalesce(get(s, c.line - 1), '')"
+_SPAN_OK = (
+    f"if(c.expected_output_line is not null, {_OUT_LINE} = c.expected_output_line,"
+    f" not exists(c.found_values, v -> contains({_OUT_LINE}, v)))"
+)
+
+
+def _caught_with_values(outcomes: DataFrame, findings: DataFrame) -> DataFrame:
+    values = findings.groupBy("file", "line").agg(F.collect_set("value").alias("found_values"))
+    return _caught(outcomes).join(values, ["file", "line"])
+
+
 def span_check(outcomes: DataFrame, findings: DataFrame, sanitized: DataFrame) -> DataFrame:
     """For each caught case: is the output line the expected one or, where none is
     given, free of every value found on it?  ``sanitized(file, text)``."""
-    values = findings.groupBy("file", "line").agg(F.collect_set("value").alias("found_values"))
-    out_line = "coalesce(get(split(text, '\\n', -1), line - 1), '')"
-    clean = f"if(expected_output_line is not null, out_line = expected_output_line, not exists(found_values, v -> contains(out_line, v)))"
-    return (
-        _caught(outcomes).join(sanitized.select("file", "text"), "file").join(values, ["file", "line"])
-        .withColumn("out_line", F.expr(out_line)).withColumn("span_ok", F.expr(clean)).drop("found_values")
-    )
+    computed = {"out_line": _OUT_LINE, "span_ok": _SPAN_OK}
+    return _beside_text(_caught_with_values(outcomes, findings), sanitized.select("file", "text"), computed, _LINES).drop("found_values")
 
 
-def leaks_mask(outcomes: DataFrame, findings: DataFrame, sanitized: DataFrame) -> DataFrame:
-    """Add ``leaked``: the original value (if long enough to be telling) still
-    occurs in the file.  A case's own line does not count once it was verified
-    against its expected text."""
-    others = "array_join(filter(split(text, '\\n', -1), (l, i) -> i <> line - 1), '\\n')"
-    space = f"if(expected_output_line is not null and span_ok, {others}, text)"
-    leaked = f"coalesce(length(original_value) >= {MIN_LEAK_LENGTH} and contains({space}, original_value), false)"
-    return span_check(outcomes, findings, sanitized).withColumn("leaked", F.expr(leaked)).drop("text", "out_line")
+def leaks_mask(outcomes: DataFrame, findings: DataFrame, sanitized: DataFrame, min_length: int = MIN_LEAK_LENGTH) -> DataFrame:
+    """Add ``span_ok`` and ``leaked``: the original value still occurs in the file.
+    Values shorter than ``min_length`` are taken to occur by chance and do not count.  A
+    case's own line does not count once it was verified against its expected text."""
+    others = "array_join(filter(s, (l, i) -> i <> c.line - 1), '\\n')"
+    space = f"if(c.expected_output_line is not null and {_SPAN_OK}, {others}, text)"
+    leaked = f"coalesce(length(c.original_value) >= {min_length} and contains({space}, c.original_value), false)"
+    computed = {"span_ok": _SPAN_OK, "leaked": leaked}
+    return _beside_text(_caught_with_values(outcomes, findings), sanitized.select("file", "text"), computed, _LINES).drop("found_values")
 
 
 def occurrences(text: Sql, value: Sql) -> Sql:
@@ -103,15 +129,9 @@ def leaks_token(outcomes: DataFrame, findings: DataFrame, original: DataFrame, s
     """Findings on caught lines whose value occurs in the output as often as in
     the input.  Counts are compared, since a value may also be part of its key."""
     texts = original.selectExpr("file", "text as before_text").join(sanitized.selectExpr("file", "text as after_text"), "file")
-    return (
-        findings.where("value <> ''")
-        .join(_caught(outcomes).select("file", "line").distinct(), ["file", "line"], "left_semi")
-        .join(texts, "file")
-        .withColumn("n_before", F.expr(occurrences("before_text", "value")))
-        .withColumn("n_after", F.expr(occurrences("after_text", "value")))
-        .withColumn("leaked", F.expr("n_after >= n_before"))
-        .drop("before_text", "after_text")
-    )
+    rows = findings.where("value <> ''").join(_caught(outcomes).select("file", "line").distinct(), ["file", "line"], "left_semi")
+    computed = {"n_before": occurrences("before_text", "c.value"), "n_after": occurrences("after_text", "c.value")}
+    return _beside_text(rows, texts, computed).withColumn("leaked", F.expr("n_after >= n_before"))
 
 
 def _group_findings(outcomes: DataFrame, findings: DataFrame) -> DataFrame:
@@ -210,26 +230,45 @@ def balanced(text: Sql) -> Sql:
     )
 
 
+def parses(kind: Sql, text: Sql):
+    """Whether a text is one whole JSON or XML document for Python's parsers, which take
+    repeated keys and NaN, and any size."""
+
+    @F.pandas_udf("boolean")
+    def parsed(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(kind, text):
+            try:
+                if kind == "json":
+                    json.loads(text or "")
+                elif kind == "xml":
+                    ElementTree.fromstring(text or "")
+                else:
+                    return None
+            except (ValueError, RecursionError, ElementTree.ParseError):
+                return False
+            return True
+
+        return pd.Series([one(k, t) for k, t in zip(kinds, texts)], dtype=object)
+
+    return parsed(F.expr(kind), F.expr(text))
+
+
 def check_format(files: DataFrame) -> DataFrame:
     """``files(path, text)`` to (path, status): a real parse for JSON and XML, a
-    balance test for brace languages, not applicable for the rest."""
-    status = lambda test, good, bad: f"if({test}, '{good}', '{bad}')"
-    return files.withColumn("ext", F.expr(extension("path"))).select(
+    balance test for brace languages, not applicable for the rest.  Only texts of the
+    first two go to Python."""
+    ext = extension("path")
+    kind = f"case when {tx.one_of(ext, JSON_EXTENSIONS)} then 'json' when {tx.one_of(ext, XML_EXTENSIONS)} then 'xml' end"
+    rows = files.select("path", "text", F.expr(ext).alias("ext"), F.expr(kind).alias("parser"))
+    rows = rows.withColumn("good", parses("parser", "if(parser is null, null, text)"))
+    return rows.selectExpr(
         "path",
-        F.expr(
-            f"case when {tx.one_of('ext', JSON_EXTENSIONS)} then {status('try_parse_json(text) is not null', 'valid', 'invalid')}"
-            f" when {tx.one_of('ext', XML_EXTENSIONS)} then {status(well_formed_xml('text'), 'valid', 'invalid')}"
-            f" when {tx.one_of('ext', BALANCE_EXTENSIONS)} then {status(balanced('text'), 'heuristic_valid', 'heuristic_invalid')}"
-            " else 'not_applicable' end"
-        ).alias("status"),
+        f"case when parser is not null then if(good, 'valid', 'invalid')"
+        f" when {tx.one_of('ext', BALANCE_EXTENSIONS)} then if({balanced('text')}, 'heuristic_valid', 'heuristic_invalid')"
+        " else 'not_applicable' end as status",
     )
 
 
-def well_formed_xml(text: Sql) -> Sql:
-    parsed = f"from_xml({text}, '_corrupt_record string', map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_corrupt_record'))"
-    return f"({parsed}._corrupt_record is null and {tx.like(text, r'(?s)\A\s*<')})"
-
-
 def format_summary(checked: DataFrame) -> DataFrame:
     return checked.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
 

@@ -142,13 +142,20 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or np.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
-def wilcoxon(counts: DataFrame, *by: str) -> DataFrame:
+#: Sign assignments double with every pair.
+MOST_EXACT = 25
+
+
+def wilcoxon(counts: DataFrame, *by: str, method: str = "published") -> DataFrame:
     """W+, W-, statistic, z, p and rank-biserial effect from a delta histogram.
 
     Zeros are dropped; ties get average ranks and correct the variance; there is
-    no continuity correction.  Up to 13 pairs the p-value is the exact one over
-    all sign assignments.  Without a non-zero delta the test is degenerate: null.
+    no continuity correction.  ``method`` is ``normal``, ``exact`` (over all sign
+    assignments, for up to 25 non-zero pairs; null beyond) or ``published``, the rule of
+    the published analysis: exact up to 13 pairs, else normal.  Without a
+    non-zero delta the test is degenerate: null.
     """
+    most_exact = {"published": fv.EXACT_TEST_MAX_PAIRS, "exact": MOST_EXACT, "normal": 0}[method]
     keys = [*by, "dimension"]
     ranks = rank_table(counts, *by)
     signed = counts.where("delta <> 0").withColumn("size", F.abs("delta")).join(ranks, [*keys, "size"])
@@ -160,7 +167,7 @@ def wilcoxon(counts: DataFrame, *by: str) -> DataFrame:
     ties = ranks.groupBy(*keys).agg(
         F.sum(F.expr("cast(ties as double) * ties * ties - ties")).alias("tie_term"),
         F.flatten(F.collect_list(F.expr(
-            f"if(ties <= {fv.EXACT_TEST_MAX_PAIRS}, array_repeat(avg_rank, cast(ties as int)), array())"
+            f"if(ties <= {most_exact}, array_repeat(avg_rank, cast(ties as int)), array())"
         ))).alias("rank_list"),
     )
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_pairs"))
@@ -176,7 +183,8 @@ def wilcoxon(counts: DataFrame, *by: str) -> DataFrame:
         .withColumn("z", F.expr("(statistic - cast(n_nonzero as double) * (n_nonzero + 1) / 4) / sd"))
         .withColumn("p_normal", normal_two_sided("z"))
         .withColumn("p_value", F.expr(
-            f"case when n_nonzero is null then null when n_pairs <= {fv.EXACT_TEST_MAX_PAIRS} then {exact} else p_normal end"
+            f"case when n_nonzero is null then null when {'n_nonzero' if method == 'exact' else 'n_pairs'} <= {most_exact} then {exact}"
+            f" else {'null' if method == 'exact' else 'p_normal'} end"
         ))
         .withColumn("effect", rank_biserial())
         .withColumn("n_nonzero", F.coalesce("n_nonzero", F.lit(0)))
