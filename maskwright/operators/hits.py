@@ -11,6 +11,7 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.text import Sql, q
 from ..rules import RuleSet, default_rules
+from .paths import Limits
 
 # A finding inside its file.  `uses` holds the values that get a token in token
 # mode, in order; `ord` orders the rules of one line.
@@ -31,12 +32,14 @@ class Context:
     """How to scan: the rules, mask or typed tokens, and the file's ignores.
 
     ``ignores`` names a map column (see :func:`ignore_entry`) that holds only the
-    entries of the file at hand, so a lookup costs no join per finding.
+    entries of the file at hand, so a lookup costs no join per finding.  ``limits``
+    says which files of no known kind are passed on unscanned.
     """
 
     rules: RuleSet
     tokens: bool = False
     ignores: Sql | None = None
+    limits: Limits = Limits()
 
     def replacement(self, category: Sql, identity: Sql) -> Sql:
         return tx.marker(category, identity) if self.tokens else q(fv.MASK)

@@ -12,24 +12,34 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .hits import ignore_entry
+from .paths import small
 
 TRIPLE = ("file", "key", "rule")
 
 
+def one_per_place(ignores: DataFrame) -> DataFrame:
+    """One entry per (file, key, rule): the latest if there are times, else the one
+    with the largest hash."""
+    time = [F.col("created_at")] if "created_at" in ignores.columns else []
+    latest = F.max_by("value_hash", F.struct(*time, F.coalesce("value_hash", F.lit(""))))
+    return ignores.groupBy(*TRIPLE).agg(latest.alias("value_hash"))
+
+
 def attach(files: DataFrame, ignores: DataFrame) -> DataFrame:
-    """Add to each file the map of its own ignores, for use inside a scan."""
+    """Add to each file the map of its own ignores, for use inside a scan.  The maps
+    are sent to the files where the list of files is short enough."""
     per_file = (
-        ignores.groupBy(F.col("file").alias("path"), F.expr(ignore_entry("rule", "key")).alias("entry"))
-        .agg(F.max("value_hash").alias("hash"))
-        .groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("entry", "hash"))).alias("ignores"))
+        one_per_place(ignores)
+        .select(F.col("file").alias("path"), F.struct(F.expr(ignore_entry("rule", "key")).alias("entry"), F.col("value_hash").alias("hash")).alias("e"))
+        .groupBy("path").agg(F.map_from_entries(F.collect_list("e")).alias("ignores"))
     )
-    return files.join(per_file, "path", "left")
+    return files.join(small(per_file, "ignore-maps"), "path", "left")
 
 
 def apply_ignores(findings: DataFrame, ignores: DataFrame) -> DataFrame:
     """Drop findings whose value is the ignored one; keep and flag those whose
     ignore has another value hash or none."""
-    listed = ignores.select(
+    listed = one_per_place(ignores).select(
         F.col("file").alias("i_file"), F.col("key").alias("i_key"), F.col("rule").alias("i_rule"),
         F.col("value_hash").alias("i_hash"), F.lit(True).alias("listed"),
     )

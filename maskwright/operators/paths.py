@@ -2,12 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.text import Sql, q
+from ..session import materialize
+
+
+#: Lists of paths up to this length are sent to all executors.
+BROADCAST_PATHS = 500_000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What files of no known kind may be left unscanned for.  By default nothing is
+    left out for its size, and a zero byte anywhere makes a file binary."""
+
+    max_bytes: int | None = None
+    sniff_bytes: int | None = None
+
+
+#: The limits of a quick scan on one machine.
+QUICK = Limits(fv.FALLBACK_MAX_BYTES, fv.BINARY_SNIFF_BYTES)
+
+
+def small(listed: DataFrame, label: str) -> DataFrame:
+    """A stored list of paths that is broadcast if it is short enough.  Beyond that it
+    joins on paths like any table."""
+    stored = materialize(listed, label)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_PATHS else stored
 
 
 def file_name(path: Sql) -> Sql:
@@ -54,15 +81,15 @@ def directories(path: Sql) -> Sql:
 
 def exclude(files: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drop files that are listed in ``excluded(path)`` or lie below a listed
-    directory.  Prefix matching becomes an equality join on ancestors; the file
-    contents take no part in the ancestor explode."""
+    directory.  Prefix matching becomes an equality join on ancestors, on paths alone;
+    the files then meet a list of paths."""
     ancestors = f"explode(concat({directories('path')}, array(path))) as ancestor"
     hit = (
         files.selectExpr("path", ancestors)
         .join(excluded.selectExpr("path as ancestor"), "ancestor", "left_semi")
         .select("path").distinct()
     )
-    return files.join(hit, "path", "left_anti")
+    return files.join(small(hit, "excluded-paths"), "path", "left_anti")
 
 
 def folder_state(paths: DataFrame) -> DataFrame:
@@ -105,41 +132,46 @@ def only_changed(files: DataFrame, manifest: DataFrame | None) -> DataFrame:
     """Files whose content hash is new or differs from ``manifest(path, hash)``.
 
     No manifest means the baseline is unknown, which is an error; a manifest
-    that equals the files gives an empty result.  The output is partial.
+    that equals the files gives an empty result.  The output is partial.  Hashes meet
+    the manifest without the contents.
     """
     if manifest is None:
         raise ValueError("no baseline manifest: a full scan is required")
     old = manifest.selectExpr("path", "hash as old_hash")
-    return (
-        files.join(old, "path", "left").where("not (hash <=> old_hash)").drop("old_hash")
-        .withColumn("partial", F.lit(True))
-    )
+    changed = files.select("path", "hash").join(old, "path", "left").where("not (hash <=> old_hash)").select("path")
+    return files.join(small(changed.distinct(), "changed-paths"), "path", "left_semi").withColumn("partial", F.lit(True))
 
 
-def is_oversize(length: Sql) -> Sql:
-    return f"({length} > {fv.FALLBACK_MAX_BYTES})"
+def is_oversize(length: Sql, max_bytes: int = fv.FALLBACK_MAX_BYTES) -> Sql:
+    return f"({length} > {max_bytes})"
 
 
-def is_binary(path: Sql, content: Sql) -> Sql:
-    """Known binary suffix, or a zero byte near the start of the content."""
-    head = f"substring({content}, 1, {fv.BINARY_SNIFF_BYTES})"
+def is_binary(path: Sql, content: Sql, sniff_bytes: int | None = None) -> Sql:
+    """Known binary suffix, or a zero byte in the content (or in its first bytes)."""
+    head = content if sniff_bytes is None else f"substring({content}, 1, {sniff_bytes})"
     return f"({tx.one_of(extension(path), fv.BINARY_EXTENSIONS)} or position(X'00', {head}) > 0)"
 
 
-def unscanned_reason(path: Sql, length: Sql, content: Sql) -> Sql:
-    """Why a file of no known kind is not scanned: size first, then content."""
-    return f"case when {is_oversize(length)} then 'oversize' when {is_binary(path, content)} then 'binary' end"
+def unscanned_reason(path: Sql, length: Sql, content: Sql, limits: Limits = Limits(), kind: Sql = "null") -> Sql:
+    """Why a file is not scanned: it is too large to load at all, or of no known kind
+    and too large (if there is a limit) or binary."""
+    too_large = f"{content} is null and {length} > 0"
+    size = f"when {is_oversize(length, limits.max_bytes)} then 'oversize'" if limits.max_bytes is not None else ""
+    return (
+        f"case when {too_large} then 'not_loaded' when {kind} is not null then null {size}"
+        f" when {is_binary(path, content, limits.sniff_bytes)} then 'binary' end"
+    )
+
 
+STATUS = "case when reason is not null then 'unscanned' when kind is null then 'fallback' else 'scanned' end as status"
 
-def coverage(files: DataFrame) -> DataFrame:
+
+def coverage(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``files(path, length, content)`` to (path, kind, status, reason)."""
     return (
         files.withColumn("kind", F.expr(classify("path")))
-        .withColumn("reason", F.expr(f"if(kind is null, {unscanned_reason('path', 'length', 'content')}, null)"))
-        .selectExpr(
-            "path", "kind", "reason",
-            "case when reason is not null then 'unscanned' when kind is null then 'fallback' else 'scanned' end as status",
-        )
+        .withColumn("reason", F.expr(unscanned_reason("path", "length", "content", limits, "kind")))
+        .selectExpr("path", "kind", "reason", STATUS)
     )
 
 

@@ -5,52 +5,68 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import paths
 from ..operators.history import scan_summary
 from ..operators.hits import Context
-from ..session import materialize
-from ..sources.corpus import decode_text, read_tree
-from ..sources.sinks import write_sanitized
-from .staging import Sanitized, sanitize
+from ..session import materialize, new_folder, scratch
+from ..sources.corpus import decode_text, list_tree, with_content
+from ..sources.sinks import write_sanitized, write_tree
+from .staging import Sanitized, sanitized, scan_once
 
 
 @dataclass
 class ProjectScan:
-    """What a scan leaves: the written files, findings, coverage and a summary."""
+    """What a scan leaves: the written files, findings without values, coverage and a
+    summary; with a target tree, also the list of its files."""
 
     sanitized: Sanitized
     coverage: DataFrame
     summary: DataFrame
+    written: DataFrame | None = None
 
 
-def select_files(files: DataFrame, excluded: DataFrame | None, manifest: DataFrame | None, changed_only: bool) -> DataFrame:
-    """Files to scan: not below a skipped directory, not excluded, and (if asked)
-    changed since the manifest."""
-    chosen = paths.prune_skip_dirs(files)
+def select_files(listed: DataFrame, input_root: str, excluded: DataFrame | None, manifest: DataFrame | None, changed_only: bool) -> DataFrame:
+    """Files of a listing to scan: not below a skipped directory, not excluded, and (if
+    asked) changed since the manifest.  Only paths take part, and hashes where asked."""
+    chosen = paths.prune_skip_dirs(listed)
     if excluded is not None:
         chosen = paths.exclude(chosen, excluded)
     if changed_only:
-        hashed = chosen.withColumn("hash", F.sha2("content", 256))
-        chosen = paths.only_changed(hashed, manifest).drop("hash", "partial")
+        hashed = with_content(chosen, input_root).selectExpr(
+            "path", "length", "if(content is null, concat('length ', length), sha2(content, 256)) as hash"
+        )
+        chosen = paths.only_changed(materialize(hashed, "hashes"), manifest).drop("hash", "partial")
     return chosen
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Stored for the caller, also after the scratch tables are gone."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def scan_project(
     spark: SparkSession, input_root: str, output: str, ctx: Context, *, ignores: DataFrame | None = None,
-    excluded: DataFrame | None = None, manifest: DataFrame | None = None, changed_only: bool = False,
+    excluded: DataFrame | None = None, manifest: DataFrame | None = None, changed_only: bool = False, tree: str | None = None,
 ) -> ProjectScan:
-    """Scan a tree and write its sanitized copy.
+    """Scan a tree and write its sanitized copy, as a table and (to ``tree``) as files.
 
-    With ``changed_only`` the output holds only the files that changed, so it is
-    partial and no full copy of the tree.
+    Every file is read and scanned once.  With ``changed_only`` the output holds only the
+    files that changed, so it is partial and no full copy of the tree.
     """
-    files = decode_text(select_files(read_tree(spark, input_root), excluded, manifest, changed_only))
-    done = sanitize(files, ctx, ignores)
-    write_sanitized(done.files, output, input_root)
-    found = materialize(done.findings.drop("value", "after", "uses"), "findings")
-    covered = paths.coverage(files)
+    with scratch(spark):
+        listed = select_files(list_tree(spark, input_root), input_root, excluded, manifest, changed_only)
+        cores = spark.sparkContext.defaultParallelism
+        files = decode_text(with_content(listed.repartition(4 * cores, "path"), input_root))
+        scanned = scan_once(files, ctx, ignores)
+        done = sanitized(scanned, ctx.tokens)
+        write_sanitized(done.files, output, input_root)
+        written = _kept(write_tree(done.files, tree, input_root), "written") if tree else None
+        found = _kept(done.findings.drop("value", "after", "uses"), "findings")
+        covered = _kept(scanned.selectExpr("path", "kind", "reason", paths.STATUS), "coverage")
+        numbers = _kept(done.tokens, "tokens") if done.tokens is not None else None
     return ProjectScan(
-        Sanitized(spark.read.parquet(output), found, done.tokens), covered, scan_summary(found, covered, partial=changed_only)
+        Sanitized(spark.read.parquet(output), found, numbers), covered, scan_summary(found, covered, partial=changed_only), written
     )

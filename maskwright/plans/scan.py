@@ -62,27 +62,26 @@ def line_results(ctx: Context) -> Sql:
     )
 
 
-def with_kind(files: DataFrame) -> DataFrame:
-    """Add kind and, for files of no kind, the reason not to scan them."""
-    reason = paths.unscanned_reason("path", "length", "content")
-    return files.withColumn("kind", F.expr(paths.classify("path"))).withColumn(
-        "reason", F.expr(f"if(kind is null, {reason}, null)")
-    )
+def with_kind(files: DataFrame, limits: paths.Limits = paths.Limits()) -> DataFrame:
+    """Add kind and the reason not to scan a file, if there is one."""
+    reason = paths.unscanned_reason("path", "length", "content", limits, "kind")
+    return files.withColumn("kind", F.expr(paths.classify("path"))).withColumn("reason", F.expr(reason))
 
 
 def scan(files: DataFrame, ctx: Context) -> DataFrame:
     """``files(path, text, length, content)`` to
-    (path, kind, reason, text, result<out, hits>).
+    (path, kind, reason, text, result<out, hits>, content).
 
-    Unscanned files keep their text and have no findings.  If the context names
+    Unscanned files keep their text and have no findings; ``content`` is the bytes of
+    such files, to be passed on as they are, and null for all others.  If the context names
     an ignore column, ``files`` must carry it (see ``ignores.attach``).
     """
     keep = [c for c in files.columns if c not in ("text", "length", "content")]
     return (
-        with_kind(files)
+        with_kind(files, ctx.limits)
         .withColumn("early", F.expr(whole_text_result(ctx)))
         .withColumn("result", F.expr(line_results(ctx)))
-        .select(*keep, "kind", "reason", "text", "result")
+        .select(*keep, "kind", "reason", "text", "result", F.expr("if(reason is not null, content, null) as content"))
     )
 
 
@@ -103,8 +102,8 @@ def scan_findings(files: DataFrame, ctx: Context) -> DataFrame:
 
 
 def sanitize_masked(files: DataFrame, ctx: Context) -> DataFrame:
-    """(path, kind, reason, text, copied) with every finding masked: a map-only
-    job."""
+    """(path, kind, reason, text, copied, content) with every finding masked: a
+    map-only job."""
     return scan(files, ctx).selectExpr(
-        "path", "kind", "reason", "result.out as text", "reason is not null as copied"
+        "path", "kind", "reason", "result.out as text", "reason is not null as copied", "content"
     )

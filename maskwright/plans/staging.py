@@ -2,57 +2,75 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ignores as ign
+from ..operators import paths
 from ..operators import tokens as tok
 from ..operators.hits import Context, findings
+from ..rules import rule_state
 from ..session import materialize, new_folder
-from .scan import rows_where, sanitize_masked, scan
+from ..sources.sinks import check_apart
+from .scan import sanitize_masked, scan
 
-_OUT = "path string, kind string, reason string, text string, copied boolean"
+_OUT = "path string, kind string, reason string, text string, copied boolean, content binary"
 
 
 @dataclass
 class Sanitized:
-    """files(path, kind, reason, text, copied), findings, and (in token mode) the
-    token table, which holds marker digits and no values."""
+    """files(path, kind, reason, text, copied, content), findings, and (in token mode)
+    the token table, which holds marker digits and no values.  ``content`` is the bytes
+    of copied files."""
 
     files: DataFrame
     findings: DataFrame
     tokens: DataFrame | None = None
 
 
-def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -> Sanitized:
-    """Sanitize a corpus, leaving ignored findings as they are.
+def scan_once(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -> DataFrame:
+    """The stored result of a scan: (path, kind, reason, text, hits, content).  Whatever
+    is asked of a scan comes from here, so the detectors run once."""
+    if ignores is not None:
+        files, ctx = ign.attach(files, ignores), replace(ctx, ignores="ignores")
+    done = scan(files, ctx).selectExpr("path", "kind", "reason", "result.out as text", "result.hits as hits", "content")
+    return materialize(done, "scanned")
+
+
+def sanitized(scanned: DataFrame, tokens: bool) -> Sanitized:
+    """Files and findings of a stored scan.
 
-    Mask mode is one pass over the rows without any exchange.  Token mode stores
-    the files that have findings (usually few), numbers the values seen in them,
-    and puts the numbers in; the other files pass through untouched.
+    Token mode numbers the values seen in the files that have findings (usually few) and
+    puts the numbers in; the other files pass through untouched.
     """
-    if ignores is not None:
-        files, ctx = ign.attach(files, ignores), Context(ctx.rules, ctx.tokens, "ignores")
-    if not ctx.tokens:
-        return Sanitized(sanitize_masked(files, ctx), findings(scan(files, ctx), "path"))
-    scanned = scan(files, ctx)
-    hit = materialize(
-        rows_where(scanned, "size(result.hits) > 0", path="path", kind="kind", text="result.out", hits="result.hits"),
-        "hit-files",
-    )
-    found = hit.select("path", F.explode("hits").alias("h")).select("path", "h.*")
+    found = scanned.select("path", F.explode("hits").alias("h")).select("path", "h.*")
+    as_file = ("path", "kind", "reason", "text", "reason is not null as copied", "content")
+    if not tokens:
+        return Sanitized(scanned.selectExpr(*as_file), found)
     numbers = materialize(tok.number_tokens(tok.token_uses(found)), "token-numbers")
-    changed = tok.resolve(hit.select("path", "kind", "text"), "path", ["text"], numbers).selectExpr(
-        "path", "kind", "cast(null as string) as reason", "text", "false as copied"
-    )
-    clean = rows_where(
-        scanned, "size(result.hits) = 0", path="path", kind="kind", reason="reason", text="text", copied="reason is not null"
+    hit = scanned.where("size(hits) > 0").select("path", "kind", "text")
+    changed = tok.resolve(hit, "path", ["text"], numbers).selectExpr(
+        "path", "kind", "cast(null as string) as reason", "text", "false as copied", "cast(null as binary) as content"
     )
+    clean = scanned.where("size(hits) = 0").selectExpr(*as_file)
     return Sanitized(changed.unionByName(clean), _resolved(found, numbers), numbers)
 
 
+def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -> Sanitized:
+    """Sanitize a corpus, leaving ignored findings as they are.
+
+    Mask mode is lazy, one pass over the rows without any exchange for either result.
+    Token mode stores the scan and works from that.
+    """
+    if ctx.tokens:
+        return sanitized(scan_once(files, ctx, ignores), True)
+    if ignores is not None:
+        files, ctx = ign.attach(files, ignores), replace(ctx, ignores="ignores")
+    return Sanitized(sanitize_masked(files, ctx), findings(scan(files, ctx), "path"))
+
+
 def _resolved(found: DataFrame, numbers: DataFrame) -> DataFrame:
     """Findings with tokens in place of markers.  Each finding has at most a few
     markers, so the map that comes back per finding is small."""
@@ -70,32 +88,44 @@ class Stage:
     folder: str
     fingerprint: DataFrame
     newly_unredacted: DataFrame
+    input_root: str | None = None
 
 
 def scan_with_ignores(files: DataFrame, ignores: DataFrame, ctx: Context) -> DataFrame:
-    with_map = Context(ctx.rules, ctx.tokens, "ignores")
-    return scan(ign.attach(files, ignores), with_map)
+    return scan(ign.attach(files, ignores), replace(ctx, ignores="ignores"))
 
 
 def unredacted_by_ignores(files: DataFrame, ignores: DataFrame, ctx: Context) -> DataFrame:
     """Places that only the ignore list leaves readable.  Only files that have an
     ignore can differ, so only those are scanned both ways."""
-    touched = files.join(ignores.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
+    listed = paths.small(ignores.select(F.col("file").alias("path")).distinct(), "ignored-files")
+    touched = files.join(listed, "path", "left_semi")
     places = lambda scanned: findings(scanned, "path").withColumnRenamed("path", "file")
     return ign.newly_unredacted(places(scan(touched, ctx)), places(scan_with_ignores(touched, ignores, ctx)))
 
 
-def stage(spark: SparkSession, files: DataFrame, ignores: DataFrame, excluded: DataFrame, rules: DataFrame, ctx: Context) -> Stage:
-    """Compute the output into a staging folder; the target is not touched."""
+def state_of(ignores: DataFrame, excluded: DataFrame, ctx: Context) -> DataFrame:
+    """Fingerprint of all that decides an output besides the files: the ignore list, the
+    exclusions, and the rules and mode that the scan really uses."""
+    return ign.state_fingerprint(ignores, excluded, rule_state(ignores.sparkSession, ctx.rules, ctx.tokens))
+
+
+def stage(
+    spark: SparkSession, files: DataFrame, ignores: DataFrame, excluded: DataFrame, ctx: Context, input_root: str | None = None,
+) -> Stage:
+    """Compute the output of all files that are not excluded into a staging folder; the
+    target is not touched."""
+    chosen = paths.exclude(files, excluded)
     folder = new_folder(spark, "stage")
-    sanitize(files, ctx, ignores).files.write.parquet(folder)
-    state = ign.state_fingerprint(ignores, excluded, rules)
-    return Stage(folder, state, unredacted_by_ignores(files, ignores, ctx))
+    sanitize(chosen, ctx, ignores).files.write.parquet(folder)
+    return Stage(folder, materialize(state_of(ignores, excluded, ctx), "state"), unredacted_by_ignores(chosen, ignores, ctx), input_root)
 
 
 def apply_stage(spark: SparkSession, staged: Stage, state_now: DataFrame, output: str) -> None:
-    """Promote a preview, unless what it was computed from has changed since."""
+    """Promote a preview, unless what it was computed from has changed since, or the
+    target lies in the input."""
+    if staged.input_root is not None:
+        check_apart(spark, output, staged.input_root)
     if ign.is_stale(staged.fingerprint, state_now).first()["stale"]:
         raise RuntimeError("the preview is out of date: ignores, exclusions or rules have changed")
     spark.read.schema(_OUT).parquet(staged.folder).write.mode("error").parquet(output)
-

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +36,41 @@ def shared_folder(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_root.setdefault(context.applicationId, tempfile.mkdtemp(prefix="maskwright-"))
+    if context.applicationId not in _local_root:
+        _local_root[context.applicationId] = tempfile.mkdtemp(prefix="maskwright-")
+    return _local_root[context.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/maskwright/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` stores inside is deleted at the end: such tables may hold
+    values in the clear.  Results that are still read later must be written elsewhere."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for folder in _open.pop():
+            delete(spark, folder)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table once and read it back, so that later steps neither recompute
     it nor depend on its lineage when executors are lost."""
     spark = df.sparkSession
     folder = new_folder(spark, label)
+    if _open:
+        _open[-1].append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

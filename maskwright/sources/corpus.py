@@ -2,38 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Sql
+from ..session import materialize
 
-LINES_PER_CHUNK = 10_000
+#: Files beyond this are passed on without being loaded: a cell of a table holds less.
+LARGEST_CELL = (1 << 31) - (1 << 20)
+BATCH_BYTES = 32 << 20
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: (path relative to root, length, content).
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system and without dots or a final slash."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(path).toUri().normalize().toString().rstrip("/")
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
-    Content is read only if a later step selects it.
-    """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    )
-    below = root.rstrip("/").split("://")[-1].lstrip("/")
-    relative = f"substring(path, locate('/{below}/', path) + {len(below) + 2})"
-    return files.selectExpr(f"{relative} as path", "length", "content")
 
+def file_system(uri: str):
+    """The file system of a URI as tasks see it, and the path in it."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table of few files.
+    return (fs.LocalFileSystem(), unquote(uri[7:])) if uri.startswith("file://") else fs.FileSystem.from_uri(uri)
 
-    A row group is read by one task, so a small table would leave most cores idle
-    during detection; its rows are dealt out to as many tasks as there are cores.
-    A table with at least as many files as cores is left as it is, so nothing is
-    exchanged at scale.
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root``, whatever its name: (path relative to root, length).
+
+    Spark's own listing leaves out names that begin with a dot or an underscore.  The
+    driver lists one level; a task walks each folder of it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n_files = len(df._jdf.inputFiles())  # counted in the JVM, no list of names comes over
-    return df.repartition(cores) if n_files < cores else df
+    from pyarrow import fs
+
+    uri = qualified(spark, root)
+    system, top = file_system(uri)
+    first = system.get_file_info(fs.FileSelector(top))
+    entries = [(i.path[len(top) + 1 :], i.size if i.is_file else None) for i in first]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = file_system(uri)
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                rows = [(path, length)]
+                if length is None:
+                    below = system.get_file_info(fs.FileSelector(f"{top}/{path}", recursive=True))
+                    rows = [(i.path[len(top) + 1 :], i.size) for i in below if i.is_file]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "length"])
+
+    table = spark.createDataFrame(entries, "path string, length bigint")
+    return materialize(table.repartition(max(1, min(len(entries), 1000))).mapInArrow(walk, "path string, length bigint"), "file-list")
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Add the bytes of each listed file; null where it is too large to load."""
+    spark = files.sparkSession
+    uri = qualified(spark, root)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(uri)
+
+        def batch_of(rows):
+            kinds = (pa.string(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "length", "content"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                body = None
+                if length <= LARGEST_CELL:
+                    with system.open_input_stream(f"{top}/{path}", compression=None) as file:
+                        body = file.read()
+                rows.append((path, length, body))
+                held += len(body or b"")
+                if held >= BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return files.select("path", "length").mapInArrow(load, "path string, length bigint, content binary")
+
+
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root``: (path relative to root, length, content)."""
+    cores = spark.sparkContext.defaultParallelism
+    return with_content(list_tree(spark, root).repartition(4 * cores, "path"), root)
 
 
 def normalise_newlines(text: Sql) -> Sql:
@@ -83,14 +145,15 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def rebuild(lines: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
+def rebuild(lines: DataFrame, lines_per_chunk: int | None = None) -> DataFrame:
     """(path, line_no, line, eol) back to text: (path, chunk, text).
 
-    A chunk holds a fixed number of lines, so a file with very many lines is
-    never collected into one task; chunks in order give the file.
+    One text per file, or with ``lines_per_chunk`` one per so many lines, for files
+    whose text would not fit a cell; chunks in order give the file.
     """
+    chunk = "0" if lines_per_chunk is None else f"cast((line_no - 1) div {lines_per_chunk} as int)"
     return (
-        lines.withColumn("chunk", F.expr(f"cast((line_no - 1) div {lines_per_chunk} as int)"))
+        lines.withColumn("chunk", F.expr(chunk))
         .groupBy("path", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat("line", "eol").alias("t")))).alias("ls"))
         .selectExpr("path", "chunk", "array_join(ls.t, '') as text")

@@ -2,28 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import safe_findings
+from ..session import materialize
+from .corpus import file_system, qualified
 
 
-def _inside(path: str, root: str) -> bool:
-    path, root = path.rstrip("/") + "/", root.rstrip("/") + "/"
-    return path.startswith(root)
+def check_apart(spark: SparkSession, output: str, input_root: str) -> None:
+    """The output must lie outside the input tree, however the two are spelled."""
+    out, root = (qualified(spark, x) + "/" for x in (output, input_root))
+    if out.startswith(root) or root.startswith(out):
+        raise ValueError("the output folder must lie outside the input folder")
 
 
 def write_sanitized(staged: DataFrame, output: str, input_root: str) -> None:
-    """Write (path, kind, text, copied), partitioned by kind.  The input tree is
-    never written to."""
-    if _inside(output, input_root) or _inside(input_root, output):
-        raise ValueError("the output folder must lie outside the input folder")
+    """Write (path, kind, text, copied, content), partitioned by kind; ``content`` is
+    the bytes of copied files.  The input tree is never written to."""
+    check_apart(staged.sparkSession, output, input_root)
     (
         staged.withColumn("kind", F.coalesce("kind", F.lit("other")))
         .write.partitionBy("kind").parquet(output)
     )
 
 
+WRITTEN = "path string, length bigint, sha256 string, copied boolean"
+
+
+def write_tree(staged: DataFrame, output: str, input_root: str) -> DataFrame:
+    """Write every file of (path, text, copied, content) to its place below ``output``.
+
+    Copied files keep their bytes; one that was too large to load is copied from the
+    input in pieces.  A file is written under a name of its own and then moved, so a
+    task that runs twice leaves whole files.  Returns (path, length, sha256, copied).
+    """
+    spark = staged.sparkSession
+    check_apart(spark, output, input_root)
+    target, source = qualified(spark, output), qualified(spark, input_root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_system, out_root = file_system(target)
+        in_system, in_root = file_system(source)
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                place = f"{out_root}/{row['path']}"
+                folder = place.rpartition("/")[0]
+                out_system.create_dir(folder, recursive=True)
+                part = f"{folder}/.{uuid.uuid4().hex}.part"
+                digest, length = hashlib.sha256(), 0
+                with out_system.open_output_stream(part, compression=None) as out:
+                    if row["copied"] and row["content"] is None:
+                        with in_system.open_input_stream(f"{in_root}/{row['path']}", compression=None) as big:
+                            while piece := big.read(16 << 20):
+                                out.write(piece)
+                                digest.update(piece)
+                                length += len(piece)
+                    else:
+                        body = row["content"] if row["copied"] else (row["text"] or "").encode()
+                        out.write(body)
+                        digest.update(body)
+                        length = len(body)
+                out_system.move(part, place)
+                done.append((row["path"], length, digest.hexdigest(), row["copied"]))
+            columns = list(zip(*done)) or [[], [], [], []]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "length", "sha256", "copied"])
+
+    return materialize(staged.select("path", "text", "copied", "content").mapInArrow(run, WRITTEN), "written-files")
+
+
 def record_scan(findings: DataFrame, folder: str, project_id: int, scan_id: int, scanned_at: str) -> None:
     """Append the findings of a scan without any value, one partition per project."""
     (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.hits import Context, findings
@@ -22,7 +24,7 @@ def scan_stream(files: DataFrame, ctx: Context) -> DataFrame:
 
 def scan_stream_ignoring(files: DataFrame, ignores: DataFrame, ctx: Context) -> DataFrame:
     """The same with a static ignore list joined to each batch."""
-    return findings(scan(attach(files, ignores), Context(ctx.rules, ctx.tokens, "ignores")), "path")
+    return findings(scan(attach(files, ignores), replace(ctx, ignores="ignores")), "path")
 
 
 def drain(found: DataFrame, label: str, output: str | None = None, checkpoint: str | None = None) -> str:
