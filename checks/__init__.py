@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detection", "sources", "tokens", "history", "accuracy", "paired", "streams")
+MODULES = ("detection", "sources", "tokens", "history", "accuracy", "paired", "streams", "project")
 
 
 def all_checks() -> None:

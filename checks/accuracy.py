@@ -237,12 +237,13 @@ def mode_parity(spark, folder):
 # ---- format and fingerprints -----------------------------------------------
 
 FORMAT_FILES = """select concat('x/', cast(c_custkey as string), case c_custkey % 5 when 0 then '.json' when 1 then '.xml' when 2 then '.java' when 3 then '.go' else '.env' end) as path,
- case c_custkey % 5 when 0 then concat('{{"k": ["', c_name, '"', case when c_custkey % 3 = 0 then '' else ']' end, '}}')
- when 1 then concat('<a b="1"><c>', case c_custkey % 3 when 0 then '<PASSWORD_1>' when 1 then '&lt;PASSWORD_1&gt;' else c_name end, '</c></a>')
+ case c_custkey % 5 when 0 then case c_custkey % 7 when 0 then '{{"a": 1}} x' when 1 then '{{"a": 1, "a": [2]}}' when 2 then '[NaN, -Infinity]' else concat('{{"k": ["', c_name, '"', case when c_custkey % 3 = 0 then '' else ']' end, '}}') end
+ when 1 then case c_custkey % 7 when 0 then '<a/><b/>' when 1 then '<a/> x' else concat('<a b="1"><c>', case c_custkey % 3 when 0 then '<PASSWORD_1>' when 1 then '&lt;PASSWORD_1&gt;' else c_name end, '</c></a>') end
  when 2 then concat('class A {{ String s = "', case c_custkey % 3 when 0 then 'a\\"b]' when 1 then '***REDACTED***' else '{{' end, '"; }}', case when c_custkey % 7 = 0 then '}}' else '' end)
  when 3 then concat('func f() {{ x := "', c_name, case when c_custkey % 4 = 0 then '' else '"' end, ' }}') else 'A=b' end as text, c_custkey as id
  from {customer}"""
-FORMAT_STATUS = """case id % 5 when 0 then case when id % 3 = 0 then 'invalid' else 'valid' end when 1 then case when id % 3 = 0 then 'invalid' else 'valid' end
+FORMAT_STATUS = """case id % 5 when 0 then case when id % 7 = 0 then 'invalid' when id % 7 <= 2 then 'valid' when id % 3 = 0 then 'invalid' else 'valid' end
+ when 1 then case when id % 7 <= 1 then 'invalid' when id % 3 = 0 then 'invalid' else 'valid' end
  when 2 then case when id % 7 = 0 then 'heuristic_invalid' else 'heuristic_valid' end when 3 then case when id % 4 = 0 then 'heuristic_invalid' else 'heuristic_valid' end else 'not_applicable' end"""
 _FORMAT = f"(select path, {FORMAT_STATUS} as status from ({carriers.for_duckdb(FORMAT_FILES)}))"
 

@@ -10,11 +10,10 @@ from maskwright.operators import blocks, code, config, keys, paths, shapes
 from maskwright.operators.hits import findings, mask_context, token_context
 from maskwright.plans.scan import scan, scan_findings
 from maskwright.rules import default_rules
-from maskwright.sources.corpus import spread
 
 from . import carriers, duck
 from .registry import (
-    as_files, block_files, carrier, cfg_lines, code_lines, doc_lines, line_files, plain_marks, query, shape_lines,
+    as_files, block_files, carrier, cfg_lines, code_lines, dealt, doc_lines, line_files, plain_marks, query, shape_lines,
     table, text_lines, tree_files,
 )
 
@@ -123,7 +122,7 @@ def with_bytes(df):
 
 @query("binary_files", f"select path, {BINARY} as is_binary from {VARIED}")
 def binary_files(spark, folder):
-    return with_bytes(varied(spark, folder)).selectExpr("path", f"{paths.is_binary('path', 'content')} as is_binary")
+    return with_bytes(varied(spark, folder)).selectExpr("path", f"{paths.is_binary('path', 'content', fv.BINARY_SNIFF_BYTES)} as is_binary")
 
 
 @query(
@@ -133,7 +132,7 @@ def binary_files(spark, folder):
     f" from (select *, {duck.kind('path')} as kind from {VARIED}))",
 )
 def coverage_labels(spark, folder):
-    return paths.coverage(with_bytes(varied(spark, folder)).withColumn("length", F.expr("length * 100")))
+    return paths.coverage(with_bytes(varied(spark, folder)).withColumn("length", F.expr("length * 100")), paths.QUICK)
 
 
 # ---- values ----------------------------------------------------------------
@@ -533,7 +532,7 @@ DOC_FOUND = " union all ".join(
 
 
 def doc_tree(spark, folder):
-    return as_files(spark.sql(DOC_TREE.format(docs="{docs}"), docs=spread(table(spark, folder, "documents"))))
+    return as_files(spark.sql(DOC_TREE.format(docs="{docs}"), docs=dealt(table(spark, folder, "documents"))))
 
 
 @query("scan_documents", DOC_FOUND)

@@ -53,8 +53,11 @@ KEPT = (
 
 @query("apply_ignores", f"select * from {KEPT}")
 def apply_ignores(spark, folder):
+    """With entries that stand in the list twice."""
     found = cfg_found(spark, folder)
-    return ign.apply_ignores(found, some_ignores(found)).select("file", "line", "key", "rule", "changed")
+    listed = some_ignores(found)
+    twice = listed.unionByName(listed.withColumn("value_hash", F.lit(None).cast("string"))).unionByName(listed)
+    return ign.apply_ignores(found, twice).select("file", "line", "key", "rule", "changed")
 
 
 @query("newly_unredacted", f"select distinct file, key, rule from {CFG_FOUND} except select distinct file, key, rule from {KEPT}")
@@ -147,20 +150,24 @@ def stale_preview(spark, folder):
     ignores = some_ignores(cfg_found(spark, folder))
     state = ign.state_fingerprint(ignores)
     other = ign.state_fingerprint(ignores.where("rule <> 'high_entropy'"))
-    changed = ign.is_stale(state, other).withColumnRenamed("stale", "changed")
-    return changed.join(ign.is_stale(state, ign.state_fingerprint(ignores)).withColumnRenamed("stale", "same"))
+    both = ign.is_stale(state, other).selectExpr("stale as changed", "null as same").unionByName(
+        ign.is_stale(state, ign.state_fingerprint(ignores)).selectExpr("null as changed", "stale as same")
+    )
+    return both.selectExpr("max(changed) as changed", "max(same) as same")
 
 
-@query("stage_and_apply", TREE_OUT)
+@query("stage_and_apply", f"select path, text from ({TREE_OUT}) where strlen(path) % 7 <> 0 and not starts_with(path, 'tree2/')")
 def stage_and_apply(spark, folder):
-    """Preview, promote, read the target: the same as a direct scan."""
+    """Preview, promote, read the target: a direct scan of the files that are not
+    excluded, singly or by folder.  Ignores for other values leave nothing readable."""
     files = line_files(spark, folder)
-    ignores = spark.createDataFrame([], "file string, key string, rule string, value_hash string")
-    excluded = spark.createDataFrame([], "path string")
-    rules = spark.createDataFrame([("default",)], "rule string")
-    staged = staging.stage(spark, files, ignores, excluded, rules, MASKED)
+    found = scan_findings(files, MASKED).where("path like '%.properties'")
+    ignores = materialize(found.selectExpr("path as file", "key", "rule", "sha2('old', 256) as value_hash"), "ignores")
+    names = files.select("path")
+    excluded = names.where("octet_length(path) % 7 = 0").union(spark.sql("select 'tree2' as path"))
+    staged = staging.stage(spark, files, ignores, excluded, MASKED)
     out = new_folder(spark, "applied")
-    staging.apply_stage(spark, staged, ign.state_fingerprint(ignores, excluded, rules), out)
+    staging.apply_stage(spark, staged, staging.state_of(ignores, excluded, MASKED), out)
     return spark.read.parquet(out).select("path", "text")
 
 
@@ -218,7 +225,7 @@ _COVERED = (
     f"select reason, path, count(*) over (partition by reason) as n_files from {_COVERED} where reason is not null",
 )
 def unscanned_by_reason(spark, folder):
-    covered = paths.coverage(with_bytes(varied(spark, folder)).withColumn("length", F.expr("length * 100")))
+    covered = paths.coverage(with_bytes(varied(spark, folder)).withColumn("length", F.expr("length * 100")), paths.QUICK)
     return history.unscanned_by_reason(covered)
 
 

@@ -1,0 +1,124 @@
+"""Checks of whole projects: trees of real files, limits, rule files."""
+
+from __future__ import annotations
+
+import json
+import tempfile
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from maskwright import fixed_values as fv
+from maskwright.operators import paths
+from maskwright.operators.hits import mask_context
+from maskwright.plans.project import scan_project
+from maskwright.plans.scan import scan_findings
+from maskwright.rules import load_rules
+from maskwright.session import new_folder
+from maskwright.sources import corpus, sinks
+
+from .detection import MASKED
+from .registry import as_files, doc_files, query, table
+
+# names that a listing may overlook, bytes that a text reader would change
+TREE = """
+select concat('n', s_suppkey, '/.env') as path, encode(concat('password=pw', s_suppkey, 'x\\n'), 'UTF-8') as content from {supplier}
+union all select concat('.github/n', s_suppkey, '.yml'), encode(concat('name: ', s_name, '\\r\\nlast: 1\\r'), 'UTF-8') from {supplier}
+union all select concat('n', s_suppkey, '/_a.yml'), encode(concat('note: ', s_name), 'UTF-8') from {supplier}
+union all select concat('n', s_suppkey, '/__init__.py'), X'' from {supplier}
+union all select concat('n', s_suppkey, '/_logo.bin'), concat(X'89504E470D0A1A0AFFFE0001', encode(s_name, 'UTF-8')) from {supplier}
+union all select concat('n', s_suppkey, '/late.txt'), concat(encode(repeat('x\\r\\n', 5000), 'UTF-8'), X'00', encode(s_name, 'UTF-8')) from {supplier}
+union all select concat('n', s_suppkey, '/.git/config'), encode('password=hidden', 'UTF-8') from {supplier}
+"""
+
+
+@query(
+    "tree_bytes",
+    f"""select 'n' || s_suppkey || '/.env' as path, sha256('password={fv.MASK}' || chr(10)) as sha256, false as copied from supplier
+ union all select '.github/n' || s_suppkey || '.yml', sha256('name: ' || s_name || chr(10) || 'last: 1' || chr(10)), false from supplier
+ union all select 'n' || s_suppkey || '/_a.yml', sha256('note: ' || s_name), false from supplier
+ union all select 'n' || s_suppkey || '/__init__.py', sha256(''), false from supplier
+ union all select 'n' || s_suppkey || '/_logo.bin', sha256(unhex('89504E470D0A1A0AFFFE0001') || encode(s_name)), true from supplier
+ union all select 'n' || s_suppkey || '/late.txt', sha256(encode(repeat('x' || chr(13) || chr(10), 5000)) || unhex('00') || encode(s_name)), true from supplier""",
+)
+def tree_bytes(spark, folder):
+    """A tree of files written, scanned and written again: every file is there, copied
+    ones byte for byte."""
+    rows = spark.sql(TREE, supplier=table(spark, folder, "supplier"))
+    root, out, tree = (new_folder(spark, x) for x in ("in-tree", "out-table", "out-tree"))
+    sinks.write_tree(rows.selectExpr("path", "cast(null as string) as text", "true as copied", "content"), root, out)
+    return scan_project(spark, root, out, MASKED, tree=tree).written.select("path", "sha256", "copied")
+
+
+@query("late_secrets", "select 'd' || doc_id || '.log' as path, 1 as line, 'fallback:aws_access_key_id' as rule from documents")
+def late_secrets(spark, folder):
+    """A secret in a file of no known kind is found however large the file is."""
+    texts = table(spark, folder, "documents").selectExpr(
+        "concat('d', doc_id, '.log') as path",
+        "concat(regexp_replace(text, '[^a-z]+', ' '), ' AK', 'IA', upper(substr(md5(cast(doc_id as string)), 1, 16)), ' end') as text",
+    )
+    large = as_files(texts).withColumn("length", F.lit(fv.FALLBACK_MAX_BYTES + 1).cast("bigint"))
+    return scan_findings(large, MASKED).select("path", "line", "rule")
+
+
+@query("late_zero_bytes", "select doc_id, doc_id % 2 = 1 as is_binary from documents")
+def late_zero_bytes(spark, folder):
+    """A zero byte at any place makes a file binary."""
+    rows = table(spark, folder, "documents").selectExpr(
+        "doc_id", "'x.dat' as path", "concat(encode(repeat('y', 9000), 'UTF-8'), if(doc_id % 2 = 1, X'00', X''), encode(text, 'UTF-8')) as content"
+    )
+    return rows.selectExpr("doc_id", f"{paths.is_binary('path', 'content')} as is_binary")
+
+
+@query(
+    "rebuild_whole_text",
+    "select concat(source, '/', lang, '/doc_', cast(doc_id as string), '.txt') as path, md5(text) as text_hash from documents where text <> ''",
+)
+def rebuild_whole_text(spark, folder):
+    """One text per file from its lines."""
+    return corpus.rebuild(corpus.explode_lines(doc_files(spark, folder))).selectExpr("path", "md5(text) as text_hash")
+
+
+RULE_FILE = {
+    "value_patterns": [{"name": "supplier_ref", "regex": r"(?i)supplier#(?P<no>[0-9]{9})[[.]?\Z"}],
+    "code_patterns": {"python": [r'(?i)ref_\w+\s*=\s*"([^"]*)"']},
+}
+
+
+@query(
+    "custom_rules",
+    f"""select 's' || s_suppkey || '.py' as path, '{fv.CODE_RULE}' as rule, s_name as value from supplier where s_suppkey % 3 = 0
+ union all select 's' || s_suppkey || '.py', 'supplier_ref', s_name from supplier where s_suppkey % 3 = 1""",
+)
+def custom_rules(spark, folder):
+    """Code and value rules of a rules file, in the spelling of such files."""
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as handle:
+        json.dump(RULE_FILE, handle)
+        handle.flush()
+        rules = load_rules(handle.name)
+    texts = table(spark, folder, "supplier").selectExpr(
+        "concat('s', s_suppkey, '.py') as path",
+        "case s_suppkey % 3 when 0 then concat('ref_id = \"', s_name, '\"') when 1 then concat('see ', s_name) else concat('other_id = \"', s_name, '\"') end as text",
+    )
+    return scan_findings(as_files(texts), replace(mask_context(), rules=rules)).select("path", "rule", "value")
+
+
+@query("mode_parity_differs", "select distinct concat('n', cast(s_suppkey as varchar), '.ini') as file, 1 as line, 'key_name_match' as rule, 'first' as only_in from supplier where s_suppkey % 2 = 0")
+def mode_parity_differs(spark, folder):
+    """Two scans that must not agree: the second is of half of the files."""
+    from maskwright.operators import accuracy
+
+    files = as_files(table(spark, folder, "supplier").selectExpr("s_suppkey as k", "concat('n', s_suppkey, '.ini') as path", "concat('password=pw', s_suppkey) as text"))
+    suppliers = table(spark, folder, "supplier")
+    half = as_files(suppliers.where("s_suppkey % 2 = 1").selectExpr("concat('n', s_suppkey, '.ini') as path", "concat('password=pw', s_suppkey) as text"))
+    found = [scan_findings(x, MASKED).withColumnRenamed("path", "file") for x in (files, half)]
+    return accuracy.mode_parity(*found).select("file", "line", "rule", "only_in")
+
+
+@query("coverage_without_limits", "select path, case when zero then 'unscanned' else 'fallback' end as status, case when zero then 'binary' end as reason from (select 'd' || doc_id as path, doc_id % 5 = 0 as zero from documents)")
+def coverage_without_limits(spark, folder):
+    files = table(spark, folder, "documents").selectExpr(
+        "concat('d', doc_id) as path", "octet_length(text) * 1000000L as length", "concat(encode(text, 'UTF-8'), if(doc_id % 5 = 0, X'00', X'')) as content"
+    )
+    return paths.coverage(files).select("path", "status", "reason")
+

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.sources.corpus import explode_lines, from_table, spread
+from maskwright.sources.corpus import explode_lines, from_table
 
 from . import carriers
 
+#: Tasks to deal small test tables to, which have one file each; 0 leaves tables as they
+#: are read.  Only a run on a single machine sets it, see bench.py.
+DEAL = 0
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -31,8 +35,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(DEAL) if DEAL else df
+
+
 def carrier(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    return spread(spark.sql(carriers.for_spark(sql, folder)))
+    return dealt(spark.sql(carriers.for_spark(sql, folder)))
 
 
 def cfg_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,12 +75,12 @@ def tree_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_files(spark: SparkSession, folder: str) -> DataFrame:
     return from_table(
-        spread(table(spark, folder, "documents")), "concat(source, '/', lang, '/doc_', cast(doc_id as string), '.txt')", "text"
+        dealt(table(spark, folder, "documents")), "concat(source, '/', lang, '/doc_', cast(doc_id as string), '.txt')", "text"
     )
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    return from_table(spread(table(spark, folder, "pages")), "concat('page_', cast(page_id as string), '.html')", "html")
+    return from_table(dealt(table(spark, folder, "pages")), "concat('page_', cast(page_id as string), '.html')", "html")
 
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:

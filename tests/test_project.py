@@ -1,12 +1,18 @@
 """A tree of real files from input to output, and rule files."""
 
+import hashlib
 import json
+from pathlib import Path
 
 import pytest
 
 from maskwright.operators.hits import mask_context, token_context
+from maskwright.plans import staging
 from maskwright.plans.project import scan_project
+from maskwright.plans.scan import scan_findings
 from maskwright.rules import ValueRule, default_rules, load_rules
+from maskwright.session import shared_folder
+from maskwright.sources import corpus
 
 FILES = {
     "app.ini": b"password=one\r\nhost=h\r\n",
@@ -15,6 +21,11 @@ FILES = {
     "node_modules/x.ini": b"password=hidden\n",
     "bad.yaml": b"secret: a\xffb\n",
     "logo.png": b"\x89PNG\x00",
+    ".env": b"password=four\n",
+    ".github/_x.yml": b"a: b\r\n",
+    "pkg/__init__.py": b"",
+    "raw.bin": b"\x89PNG\r\n\x1a\n\xff\xfe\x00\x01",
+    "it's a name/%41 b.dat": b"\x00'",
 }
 
 
@@ -30,11 +41,13 @@ def tree(tmp_path):
 def test_tree_to_output(spark, tree):
     done = scan_project(spark, str(tree / "in"), str(tree / "out"), token_context())
     text = {r.path: r.text for r in done.sanitized.files.collect()}
-    assert text["app.ini"] == "password=<PASSWORD_1>\nhost=<URL_1>\n"
+    assert text["app.ini"] == "password=<PASSWORD_2>\nhost=<URL_1>\n" and text[".env"] == "password=<PASSWORD_1>\n"
     assert text["src/a.py"] == "token = '<ACCESS_TOKEN_1>'\n" and text["src/keep/b.py"] == "token = '<ACCESS_TOKEN_2>'\n"
     assert text["bad.yaml"] == 'secret: "<GENERIC_SECRET_1>"\n'
     assert set(text) == set(FILES) - {"node_modules/x.ini"}
-    assert done.summary.first().asDict() == {"files_scanned": 4, "files_unscanned": 1, "total_redactions": 5, "partial": False}
+    assert done.summary.first().asDict() == {"files_scanned": 7, "files_unscanned": 3, "total_redactions": 6, "partial": False}
+    assert {r.path for r in done.coverage.collect()} == set(text)
+    assert "value" not in done.sanitized.findings.columns and done.sanitized.findings.count() == 6
     assert (tree / "in" / "app.ini").read_bytes() == FILES["app.ini"]
 
 
@@ -46,10 +59,47 @@ def test_changed_and_excluded(spark, tree):
         spark, str(tree / "in"), str(tree / "part"), mask_context(), excluded=excluded,
         manifest=manifest.union(fresh), changed_only=True,
     )
-    assert {r.path for r in done.sanitized.files.collect()} == {"app.ini", "src/a.py", "logo.png"}
+    assert {r.path for r in done.sanitized.files.collect()} == set(FILES) - {"bad.yaml", "src/keep/b.py", "node_modules/x.ini"}
     assert done.summary.first().partial
 
 
+@pytest.mark.parametrize("context", [mask_context, token_context])
+def test_tree_is_complete_and_copies_keep_their_bytes(spark, tree, context, monkeypatch):
+    monkeypatch.setattr(corpus, "LARGEST_CELL", 11)  # a file beyond is copied without being loaded
+    root = f"file:{tree}/x/../in/"
+    done = scan_project(spark, root, str(tree / "table"), context(), tree=str(tree / "copy"))
+    there = {str(p.relative_to(tree / "copy")): p.read_bytes() for p in (tree / "copy").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert set(there) == set(FILES) - {"node_modules/x.ini"}
+    for name in ("logo.png", "raw.bin", "it's a name/%41 b.dat", "app.ini", "src/a.py"):
+        assert there[name] == FILES[name], name
+    assert there[".github/_x.yml"] == b"a: b\n" and there["pkg/__init__.py"] == b""
+    reasons = {r.path: r.reason for r in done.coverage.collect()}
+    assert reasons["raw.bin"] == reasons[".env"] == "not_loaded" and reasons["logo.png"] == "binary"
+    assert {r.path: r.sha256 for r in done.written.collect()} == {n: hashlib.sha256(b).hexdigest() for n, b in there.items()}
+
+
+def test_a_scan_reads_and_scans_once_and_leaves_no_values(spark, tree, monkeypatch):
+    calls = []
+    monkeypatch.setattr(staging, "scan", lambda *a, real=staging.scan: calls.append(1) or real(*a))
+    before = {p for p in Path(shared_folder(spark).removeprefix("file:")).rglob("scanned-*")}
+    scan_project(spark, str(tree / "in"), str(tree / "out"), token_context())
+    assert calls == [1]
+    assert {p for p in Path(shared_folder(spark).removeprefix("file:")).rglob("scanned-*")} == before
+
+
+def test_rule_files_with_code_and_python_spelling(spark, files, tmp_path):
+    raw = {"value_patterns": [{"name": "odd", "regex": r"x[[]y[]a]\Z"}], "code_patterns": {"python": [r'(?i)ref_\w+ = "([^"]*)"'], "go": []}}
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps(raw))
+    ctx = mask_context(load_rules(str(path)))
+    found = scan_findings(files({"a.py": 'ref_a = "one"\ndbPassword = "two"\nx[y]\n', "b.go": 'apiKey := "z"'}), ctx).collect()
+    assert sorted((r.path, r.line, r.rule, r.value) for r in found) == [("a.py", 1, "code_variable_pattern", "one"), ("a.py", 3, "odd", "x[y]")]
+    for bad in ({"value_patterns": [{"name": "broken", "regex": "a("}]}, {"code_patterns": {"go": ["no group"]}}, {"code_patterns": {"go": ["(a)(b)"]}}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            load_rules(str(path))
+
+
 def test_rule_files(tmp_path):
     raw = {
         "key_patterns": ["password", "my[_-]?thing"],

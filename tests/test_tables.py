@@ -163,6 +163,31 @@ def test_format_of_json_and_xml(spark):
     assert [r.status for r in acc.check_format(rows).orderBy("path").collect()] == ["valid", "valid", "invalid", "invalid", "not_applicable"]
 
 
+def test_format_is_what_a_parser_says(spark):
+    big = '{"a": "' + "x" * (20 << 20) + '"}'
+    rows = {
+        "a.json": '{"a":1} x', "b.json": '{"a":1,"a":2}', "c.json": "[NaN]", "d.json": big, "e.json": "", "f.json": "[" * 100_000,
+        "a.xml": "<a/><b/>", "b.xml": "<a/> x", "c.config": "<?xml version='1.0'?><a/>", "d.xml": None,
+    }
+    got = acc.check_format(spark.createDataFrame(list(rows.items()), "path string, text string")).collect()
+    assert {r.path for r in got if r.status == "valid"} == {"b.json", "c.json", "d.json", "c.config"}
+    assert {r.status for r in got} == {"valid", "invalid"}
+
+
+def test_counts_of_many_conditions(spark):
+    scores = spark.createDataFrame([(f"c{i % 12}",) for i in range(24)], "condition string")
+    assert evaluation.assert_counts(scores, 24, 2) is scores
+    for wrong in ((25, 2), (24, 3)):
+        with pytest.raises(ValueError):
+            evaluation.assert_counts(scores, *wrong)
+
+
+def test_test_method_is_an_argument(spark):
+    counts = spark.createDataFrame([("d", 1, 15), ("d", -1, 1)], "dimension string, delta int, n bigint")
+    p = {m: paired.wilcoxon(counts, method=m).first().p_value for m in ("published", "normal", "exact")}
+    assert p["published"] == p["normal"] != p["exact"] == pytest.approx(2 * 17 / 2**16)
+
+
 def test_unscanned_paths_stay_rows(spark):
     rows = spark.createDataFrame([("a", "unscanned", "binary"), ("b", "unscanned", "binary"), ("c", "scanned", None)], "path string, status string, reason string")
     assert sorted(tuple(r) for r in history.unscanned_by_reason(rows).collect()) == [("binary", "a", 2), ("binary", "b", 2)]

@@ -1,14 +1,19 @@
 """Detectors that look at a whole text, and whole scans."""
 
 import re
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright import fixed_values as fv
 from maskwright.operators import ignores as ign
+from maskwright.operators import paths
 from maskwright.operators.hits import findings, mask_context, token_context
+from maskwright.operators.paths import QUICK
 from maskwright.plans import staging
 from maskwright.plans.scan import scan, scan_findings
+from maskwright.rules import default_rules
 from maskwright.session import new_folder
 from maskwright.sources.sinks import write_sanitized
 
@@ -34,6 +39,7 @@ TEXTS = {
     "o.env": "mail=u@x.org\n",
     "z.png": "AKIA" + "ABCDEFGH12345678",
     "big.bin2": "x" * (fv.FALLBACK_MAX_BYTES + 1),
+    "big.log": "x " * (fv.FALLBACK_MAX_BYTES // 2) + "AKIA" + "ABCDEFGH12345678",
     "zero.dat": "a\x00AKIA" + "ABCDEFGH12345678",
 }
 
@@ -43,6 +49,13 @@ def masked(files):
     return {r.path: r for r in scan(files(TEXTS), mask_context()).collect()}
 
 
+def test_limits_are_an_option(files):
+    quick = replace(mask_context(), limits=QUICK)
+    rows = {r.path: r for r in scan(files({n: TEXTS[n] for n in ("big.bin2", "big.log", "n.md")}), quick).collect()}
+    assert {p: r.reason for p, r in rows.items()} == {"big.bin2": "oversize", "big.log": "oversize", "n.md": None}
+    assert bytes(rows["big.log"].content).decode() == TEXTS["big.log"]
+
+
 @pytest.fixture(scope="module")
 def tokenized(files):
     done = staging.sanitize(files(TEXTS), token_context())
@@ -73,7 +86,9 @@ def test_lines_and_reasons(masked):
     assert [(h.line, h.rule) for h in masked["k.pem"].result.hits] == [(2, "fallback:private_key_block")]
     assert masked["k.pem"].result.hits[0].value == f"{BEGIN}\nabcd\nefgh\n{END}\n"
     assert [(h.line, h.rule) for h in masked["k5"].result.hits] == [(1, "fallback:private_key_block")]
-    assert {p: r.reason for p, r in masked.items() if r.reason} == {"z.png": "binary", "big.bin2": "oversize", "zero.dat": "binary"}
+    assert {p: r.reason for p, r in masked.items() if r.reason} == {"z.png": "binary", "zero.dat": "binary"}
+    assert [h.rule for h in masked["big.log"].result.hits] == ["fallback:aws_access_key_id"]
+    assert bytes(masked["zero.dat"].content).decode() == TEXTS["zero.dat"] and masked["n.md"].content is None
     for path, row in masked.items():
         assert row.result.out.count("\n") == TEXTS[path].count("\n"), path
 
@@ -134,16 +149,55 @@ def test_ignores_suppress_flag_and_reveal(spark, files):
 def test_stage_writes_nothing_apply_equals_scan_and_stale_is_refused(spark, files):
     corpus = files({"a.ini": "password=one\n", "b.md": "text\n"})
     none = spark.createDataFrame([], "file string, key string, rule string, value_hash string")
-    paths = spark.createDataFrame([], "path string")
-    rules = spark.createDataFrame([("r1",)], "rule string")
-    staged = staging.stage(spark, corpus, none, paths, rules, token_context())
+    excluded = spark.createDataFrame([], "path string")
+    staged = staging.stage(spark, corpus, none, excluded, token_context(), input_root="/data/in")
     out = new_folder(spark, "t")
-    with pytest.raises(RuntimeError):
-        staging.apply_stage(spark, staged, ign.state_fingerprint(none, paths, rules.union(rules)), out)
-    staging.apply_stage(spark, staged, ign.state_fingerprint(none, paths, rules), out)
+    fewer = token_context(replace(default_rules(), values=default_rules().values[1:]))
+    for changed in (staging.state_of(none, excluded, fewer), staging.state_of(none, excluded, mask_context()), staging.state_of(none, excluded.union(spark.sql("select 'y'")), token_context())):
+        with pytest.raises(RuntimeError):
+            staging.apply_stage(spark, staged, changed, out)
+    now = staging.state_of(none, excluded, token_context())
+    for inside in ("/data/in/out", "file:/data/in", "/data/x/../in/out", "file:///data"):
+        with pytest.raises(ValueError):
+            staging.apply_stage(spark, staged, now, inside)
+    staging.apply_stage(spark, staged, now, out)
     assert {r.path: r.text for r in spark.read.parquet(out).collect()} == {"a.ini": "password=<PASSWORD_1>\n", "b.md": "text\n"}
 
 
+def test_a_preview_leaves_out_what_is_excluded(spark, files):
+    corpus = files({"a.ini": "password=one\n", "d/b.ini": "password=two\n", "c.md": "t\n"})
+    none = spark.createDataFrame([], "file string, key string, rule string, value_hash string")
+    excluded = spark.createDataFrame([("d",), ("c.md",)], "path string")
+    staged = staging.stage(spark, corpus, none, excluded, mask_context())
+    assert [r.path for r in spark.read.parquet(staged.folder).collect()] == ["a.ini"]
+
+
+def test_ignores_that_are_listed_twice(spark, files):
+    corpus = files({"a.ini": "password=one\n"})
+    row = ("a.ini", "password", "key_name_match", "old")
+    ignores = spark.createDataFrame([row, row, (*row[:3], None)], "file string, key string, rule string, value_hash string")
+    plain = scan_findings(corpus, mask_context()).withColumnRenamed("path", "file")
+    assert [r.changed for r in ign.apply_ignores(plain, ignores).collect()] == [True]
+    timed = spark.sql("select 'a.ini' as file, 'password' as key, 'key_name_match' as rule, x.h as value_hash, x.t as created_at"
+                      " from values (sha2('one', 256), 2), ('zz', 1) as x(h, t)")
+    assert ign.apply_ignores(plain, timed).count() == 0
+    assert findings(staging.scan_with_ignores(corpus, timed, mask_context()), "path").count() == 0
+
+
+def test_contents_take_no_part_in_joins_on_paths(spark, files):
+    """No exchange holds text or content, also where Spark would not broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        corpus = files({"a.ini": "password=one\n", "b.md": "t\n"}).withColumn("hash", F.sha2("content", 256))
+        ignores = spark.createDataFrame([("a.ini", "password", "r", "h")], "file string, key string, rule string, value_hash string")
+        names = spark.createDataFrame([("a.ini", "h")], "path string, hash string")
+        for df in (paths.exclude(corpus, names.select("path")), paths.only_changed(corpus, names), ign.attach(corpus, ignores)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_output_must_not_touch_the_input(files):
     done = staging.sanitize(files({"a.ini": "x=1"}), mask_context()).files
     for out in ("/data/in/out", "/data"):
