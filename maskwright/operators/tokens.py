@@ -49,27 +49,27 @@ def number_tokens(uses: DataFrame, key: str = "mark") -> DataFrame:
     """(category, key, n, token, n_uses), n counting from 1 in order of first use.
 
     There are few categories, so numbering inside a category must not be one
-    task: the distinct values are range-partitioned by (category, place), ranked
-    inside each partition, and shifted by the counts of the partitions before.
+    task: the distinct values are range-partitioned by (category, place), sorted
+    inside each partition and counted through there.  A value's number is its place
+    in the partition, shifted by the counts of the partitions before.
     """
     spark = uses.sparkSession
     first = uses.groupBy("category", key).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n_uses"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(
-        first.repartitionByRange(width, "category", "first").withColumn("part", F.spark_partition_id()),
+        first.repartitionByRange(width, "category", "first").sortWithinPartitions("category", "first").drop("first")
+        .withColumn("row", F.monotonically_increasing_id()),  # partition, then place in it
         "tokens",
-    )
+    ).withColumn("part", F.shiftright("row", 33))
     # at most `width` rows per category, so the table of offsets may be broadcast
     before = Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy("category", "part").agg(F.count(F.lit(1)).alias("n_here"))
-        .select("category", "part", F.coalesce(F.sum("n_here").over(before), F.lit(0)).alias("offset"))
+        ranged.groupBy("category", "part").agg(F.count(F.lit(1)).alias("n_here"), F.min("row").alias("least"))
+        .select("category", "part", "least", F.coalesce(F.sum("n_here").over(before), F.lit(0)).alias("offset"))
     )
-    inside = Window.partitionBy("part", "category").orderBy("first")
     return (
-        ranged.withColumn("rank", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["category", "part"])
-        .withColumn("n", (F.col("offset") + F.col("rank")).cast("bigint"))
+        ranged.join(F.broadcast(offsets), ["category", "part"])
+        .withColumn("n", F.expr("offset + row - least + 1"))
         .select("category", key, "n", F.concat(F.lit("<"), "category", F.lit("_"), "n", F.lit(">")).alias("token"), "n_uses")
     )
 
