@@ -77,16 +77,20 @@ def marked(text: str) -> list[str]:
     return words
 
 
-def encode_sorted(words: list[str], vocabulary: Vocabulary) -> dict[str, list[int]]:
+def encode_sorted(words: list[str], vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
     """Best segmentation of every word; ``words`` are sorted and distinct."""
-    ends, missing, byte_score = vocabulary.ends.get, (), vocabulary.byte_score
+    ends, missing, byte_score, spell = vocabulary.ends.get, (), vocabulary.byte_score, vocabulary.bytes
     best = [0.0]  # best[j]: the score of the first j characters
-    came: list[tuple[int, int]] = [(0, -1)]  # where the last piece of that begins, and its id
-    out: dict[str, list[int]] = {}
+    paths: list[tuple[int, ...]] = [()]  # and their pieces
+    out: dict[str, tuple[int, ...]] = {}
     before = ""
     for word in words:
-        shared = len(commonprefix((before, word)))
-        del best[shared + 1 :], came[shared + 1 :]
+        shared = 0
+        for a, b in zip(before, word):
+            if a != b:
+                break
+            shared += 1
+        del best[shared + 1 :], paths[shared + 1 :]
         for j in range(shared + 1, len(word) + 1):
             top, at, piece = best[j - 1] + byte_score, j - 1, -1
             for i in range(j - 1, -1, -1):
@@ -98,25 +102,19 @@ def encode_sorted(words: list[str], vocabulary: Vocabulary) -> dict[str, list[in
                 elif found is missing:  # no piece ends like this
                     break
             best.append(top)
-            came.append((at, piece))
-        ids: list[int] = []
-        j = len(word)
-        while j > 0:
-            i, piece = came[j]
-            if piece >= 0:
-                ids.append(piece)
-            else:
-                ids.extend(vocabulary.bytes[b] for b in reversed(word[i:j].encode()))
-            j = i
-        ids.reverse()
-        out[word] = ids
+            paths.append(paths[at] + ((piece,) if piece >= 0 else tuple(spell[b] for b in word[at:j].encode())))
+        out[word] = paths[len(word)]
         before = word
     return out
 
 
-def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
-    spelled = vocabulary.spelled
-    return b"".join([spelled[i] for i in ids]).decode(errors="replace")[1:] if ids else ""
+def decode_texts(pieces: pa.ListArray, vocabulary: Vocabulary) -> list[str]:
+    """The texts that lists of ids spell; a null is empty."""
+    spelled = np.array(vocabulary.spelled, object)
+    bounds = pieces.offsets.to_numpy()
+    parts = spelled[pieces.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]].tolist()
+    bounds = (bounds - bounds[0]).tolist()
+    return [b"".join(parts[i:j]).decode(errors="replace")[1:] for i, j in zip(bounds[:-1], bounds[1:])]
 
 
 class Encoder:
@@ -182,7 +180,7 @@ def _decoded(path: str):
             pieces = batch.column("pieces")
             for at in range(0, batch.num_rows, 500):
                 some = pieces.slice(at, 500)
-                texts = [decode_ids(ids or [], vocabulary) for ids in some.to_pylist()]
+                texts = decode_texts(some, vocabulary)
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, 500), some, pa.array(texts, pa.string())], ["row", "pieces", "decoded"])
 
     return run

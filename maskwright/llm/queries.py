@@ -78,16 +78,15 @@ def minmax_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_pieces")
 def pieces_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document: pieces and byte pieces, a digest of the ids, and whether decoding
-    gives the text again (with U+2581 as a space)."""
+    """Per document: number of pieces, a digest of the ids joined by commas, and whether
+    decoding gives the text again (with U+2581 as a space)."""
     from . import pieces as p
 
     table_ = p.decoded(p.encoded(table(spark, folder, "documents").select("doc_id", "text")))
     same = F.coalesce(F.col("decoded") == F.translate(F.coalesce("row.text", F.lit("")), p.MARK, " "), F.lit(False))
     return table_.select(
         "row.doc_id", F.size("pieces").cast("bigint").alias("n_pieces"),
-        F.size(F.filter("pieces", lambda i: (i >= 3) & (i < 259))).cast("bigint").alias("n_byte_pieces"),
-        F.sha2(F.array_join(F.transform("pieces", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.char_length(F.coalesce("row.text", F.lit(""))).cast("bigint").alias("n_chars"), same.alias("round_trip"),
     )
 
