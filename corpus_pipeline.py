@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table, stored; what the stages stored on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = storage.mark(spark)
     for name, stage in STAGES:
         docs = storage.stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        storage.clear(spark, since, keep=docs)
     return docs

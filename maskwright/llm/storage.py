@@ -34,13 +34,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     costs no more than the step that follows."""
     folder = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.stored_at = folder
+    return out
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what this session stored.  Call it when all results have been written;
-    results that still read these tables fail afterwards."""
+def mark(spark: SparkSession) -> int:
+    """How many tables this session has stored so far."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what this session stored after ``mark`` gave ``since``, but for one table.
+    Call it when all results have been written; results that still read the deleted
+    tables fail afterwards."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in _written.pop(spark.sparkContext.applicationId, []):
+    own = _written.get(spark.sparkContext.applicationId, [])
+    left = []
+    for folder in own[since:]:
+        if folder == getattr(keep, "stored_at", None):
+            left.append(folder)
+            continue
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    own[since:] = left

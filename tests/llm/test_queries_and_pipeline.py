@@ -74,7 +74,9 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(i for i, _ in kept["decontamination"]) == sorted(i for i, t in kept["near duplicates"] if not benchmark_hits(t, items)[1])
     assert sorted(i for i, _ in kept["secrets"]) == sorted(i for i, _ in kept["decontamination"]) == sorted(i for i, _ in kept["tokens"])
     assert not any("password=" in t for _, t in kept["secrets"] if t)
+    since = storage.mark(spark)
     whole = corpus_pipeline.run(spark, FOLDER)
+    assert storage.mark(spark) == since + 1  # only the result is left
     assert sorted((r.doc_id, r.text) for r in whole.collect()) == sorted(kept["tokens"])
 
 
