@@ -302,7 +302,7 @@ def near_duplicates(
         "sets",
     )
     bands = signed.join(sets.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
-    centres = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    centres = storage.stored(bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
     edges = storage.stored(
         bands.join(centres, "band").where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n")), "candidates"
     )
@@ -331,7 +331,7 @@ def near_duplicates(
 
     named = sets.join(classes, "node", "left").selectExpr("n_shingles", "one", "two", "lowest", "coalesce(class, node) as class")
     named = storage.stored(named, "named")
-    lowest = named.groupBy("class").agg(F.min("lowest").alias("component_id"))
+    lowest = storage.stored(named.groupBy("class").agg(F.min("lowest").alias("component_id")), "lowest")
     keys = ["n_shingles", "one", "two"]
     return (
         signed.drop("bands", "node")
