@@ -56,7 +56,7 @@ def apply_ignores(spark, folder):
     """With entries that stand in the list twice."""
     found = cfg_found(spark, folder)
     listed = some_ignores(found)
-    twice = listed.unionByName(listed.withColumn("value_hash", F.lit(None).cast("string"))).unionByName(listed)
+    twice = listed.selectExpr("file", "key", "rule", "explode(array(value_hash, cast(null as string), value_hash)) as value_hash")
     return ign.apply_ignores(found, twice).select("file", "line", "key", "rule", "changed")
 
 

@@ -59,7 +59,8 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "length"])
 
     table = spark.createDataFrame(entries, "path string, length bigint")
-    return materialize(table.repartition(max(1, min(len(entries), 1000))).mapInArrow(walk, "path string, length bigint"), "file-list")
+    tasks = max(1, min(len(entries), 8 * spark.sparkContext.defaultParallelism))
+    return materialize(table.repartition(tasks).mapInArrow(walk, "path string, length bigint"), "file-list")
 
 
 def with_content(files: DataFrame, root: str) -> DataFrame:
