@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ BYTE_COST = 8.0
 WORD = re.compile(f"{MARK}*[^{MARK}]*")
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 400_000
+REMEMBERED_PIECES = 4_000_000
 
 
 class Vocabulary:
@@ -77,12 +78,13 @@ def marked(text: str) -> list[str]:
     return words
 
 
-def encode_sorted(words: list[str], vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
-    """Best segmentation of every word; ``words`` are sorted and distinct."""
+def encode_sorted(words: list[str], vocabulary: Vocabulary) -> dict[str, list[int]]:
+    """Best segmentation of every word; ``words`` are sorted and distinct.  The stack has
+    a score and a last piece per prefix, so memory is linear in the longest word."""
     ends, missing, byte_score, spell = vocabulary.ends.get, (), vocabulary.byte_score, vocabulary.bytes
     best = [0.0]  # best[j]: the score of the first j characters
-    paths: list[tuple[int, ...]] = [()]  # and their pieces
-    out: dict[str, tuple[int, ...]] = {}
+    starts, last = [0], [-1]  # where the last piece of those begins, and its id or -1
+    out: dict[str, list[int]] = {}
     before = ""
     for word in words:
         shared = 0
@@ -90,7 +92,7 @@ def encode_sorted(words: list[str], vocabulary: Vocabulary) -> dict[str, tuple[i
             if a != b:
                 break
             shared += 1
-        del best[shared + 1 :], paths[shared + 1 :]
+        del best[shared + 1 :], starts[shared + 1 :], last[shared + 1 :]
         for j in range(shared + 1, len(word) + 1):
             top, at, piece = best[j - 1] + byte_score, j - 1, -1
             for i in range(j - 1, -1, -1):
@@ -102,8 +104,19 @@ def encode_sorted(words: list[str], vocabulary: Vocabulary) -> dict[str, tuple[i
                 elif found is missing:  # no piece ends like this
                     break
             best.append(top)
-            paths.append(paths[at] + ((piece,) if piece >= 0 else tuple(spell[b] for b in word[at:j].encode())))
-        out[word] = paths[len(word)]
+            starts.append(at)
+            last.append(piece)
+        ids: list[int] = []
+        j = len(word)
+        while j:
+            at, piece = starts[j], last[j]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids.extend(spell[b] for b in reversed(word[at:j].encode()))
+            j = at
+        ids.reverse()
+        out[word] = ids
         before = word
     return out
 
@@ -118,7 +131,7 @@ def decode_texts(pieces: pa.ListArray, vocabulary: Vocabulary) -> list[str]:
 
 
 class Encoder:
-    """Encodes batches; words met before are remembered, up to a limit."""
+    """Encodes batches; words met before are remembered, up to a limit of words and of pieces."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -139,7 +152,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         split = [marked(t or "") for t in texts]
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > REMEMBERED or len(self.ids) > REMEMBERED_PIECES:
             self.forget()
         new = set().union(*split).difference(self.place)
         if new:

@@ -83,3 +83,31 @@ def test_forgetting_changes_nothing(vocabulary, monkeypatch):
     monkeypatch.setattr(p, "REMEMBERED", 10)
     encoder = p.Encoder(vocabulary)
     assert [encoder.encode([t]).to_pylist()[0] for t in texts] == want
+
+
+def test_memory_is_linear_in_the_length_of_a_word(vocabulary):
+    """Text without a space is one word: a million characters of mixed text."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    kinds = ["你好世界日本語テキスト", "QUJDREVGR0g0NTY3+/=", '{"key":[1,2],"id":null}', "name\nother\tvalue\n", "🎉é\x00ﷺ"]
+    word = "".join(rng.choice(kinds) for _ in range(80_000))[:1_000_000]
+    assert len(word) > 900_000 and " " not in word
+    short = word[:20_000]
+    p.Encoder(vocabulary).encode([short])
+    tracemalloc.start()
+    try:
+        p.Encoder(vocabulary).encode([short])
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
+    ids = p.Encoder(vocabulary).encode([word])
+    assert p.decode_texts(ids, vocabulary) == [word]
+
+
+def test_long_words_are_not_all_remembered(vocabulary, monkeypatch):
+    monkeypatch.setattr(p, "REMEMBERED_PIECES", 5_000)
+    encoder = p.Encoder(vocabulary)
+    for i in range(8):
+        encoder.encode([f"{i}你x" * 1_000])
+    assert len(encoder.ids) < 20_000
