@@ -33,3 +33,25 @@ def test_a_long_conversation_is_cut_into_parts(spark):
     assert len(found) == 2 * 16 and max(r.n_turns for r in found) == v.TURNS
     whole = "".join(r.rendered for r in sorted(found, key=lambda r: r.part) if r.perspective == "ann")
     assert whole.count("<|assistant|>") == 500 and [whole.index(f"\nt{i}\n") for i in (0, 63, 64, 999)] == sorted(whole.index(f"\nt{i}\n") for i in (0, 63, 64, 999))
+
+
+def test_repeated_and_missing_turn_numbers_are_cut_into_pieces(spark):
+    """Rows without a conversation are one conversation; numbers repeat or are missing."""
+    turns = [(None, i % 64, "ann" if i % 3 else "bob", f"t{i}") for i in range(6000)]
+    turns += [(8, None, "ann" if i % 3 else "bob", "equal" if i % 2 else f"u{i}") for i in range(5000)]
+    turns += [(9, i, "ann", f"v{i}") for i in range(100)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    found = v.rotated(df).collect()
+    assert max(r.n_turns for r in found) <= v.TURNS
+    got = {}
+    for r in sorted(found, key=lambda r: r.piece):
+        text, mask = got.get((r.conv_id, r.perspective, r.part), ("", ""))
+        got[r.conv_id, r.perspective, r.part] = (text + r.rendered, mask + "".join(r.rendered[m.start : m.end] for m in r.mask))
+    assert got == plain(turns)
+
+
+def test_parts_of_long_texts_are_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(v, "MOST_BYTES", 1000)
+    turns = [(1, i % 64, "ann", "x" * 20) for i in range(130)] + [(2, i, "ann", "y" * 100) for i in range(64)]
+    found = v.rotated(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert max(r.n_turns for r in found) == v.TURNS and sum(r.n_turns for r in found) == 194
