@@ -11,8 +11,8 @@ centre only, which gives candidate clusters without emitting pairs.  A cluster's
 then meet in one task, where a breadth-first search confirms links until all members
 are reached or proven apart.  A cluster over ``cluster_rows`` members or
 ``cluster_shingles`` shingles is not gathered: members confirmed with a hub are one
-class, and those not confirmed with it are compared, in blocks of ``block`` as queries,
-with all members.
+class, and those not confirmed with it are compared with all members by joins on equal
+shingles, so no set goes to the driver.
 
 Nulls and texts without words have no set and are linked with nothing; fewer words than
 a shingle's length make one shingle of all words.  Repeated rows share a set and so a
@@ -37,6 +37,8 @@ from .texthash import SPACES, U64, Powers, byte_values, chunks, flat, lower_asci
 ROWS = 6
 PERMUTATIONS_PER_BAND = ROWS // 2
 PIECE = 1 << 16
+#: Pairs of a member and a query that meet in one round, of all giant clusters together.
+ROUND_PAIRS = 500_000_000
 
 
 def bands_for(percent: int, miss: float = 1e-7) -> int:
@@ -218,65 +220,45 @@ def _sets(k: int):
     return run
 
 
-def _against(queries: dict[int, list[tuple[int, np.ndarray]]], percent: int):
-    """Links of every (cluster, node, hashes) with its cluster's queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column("hashes")
-            bounds, flat_hashes = hashes.offsets.to_numpy().astype(np.int64), hashes.values.to_numpy()
-            cluster, node = batch.column("cluster").to_numpy(), batch.column("node").to_numpy()
-            pairs = []
-            for c in np.unique(cluster):
-                rows = np.flatnonzero(cluster == c)
-                sizes = bounds[rows + 1] - bounds[rows]
-                owner = np.repeat(np.arange(len(rows)), sizes)
-                values = np.concatenate([flat_hashes[bounds[r] : bounds[r + 1]] for r in rows])
-                for q, own in queries.get(int(c), ()):
-                    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-                    common = np.bincount(owner[own[at] == values], minlength=len(rows))
-                    found = rows[linked(sizes, len(own), common, percent)]
-                    pairs += [(int(node[r]), q) for r in found if node[r] != q]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["node", "query"]
-            )
-
-    return run
+def _links(sets: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """(node, query): the links of all members with the queries of their clusters, both
+    (cluster, node, hashes).  Equal shingles meet, whatever the size of a set or of a
+    cluster, and pairs are counted inside tasks first."""
+    members = sets.selectExpr("cluster", "node", "size(hashes) as n", "explode(hashes) as hash")
+    asked = queries.selectExpr("cluster", "node as query", "size(hashes) as n_query", "explode(hashes) as hash")
+    near_sizes = f"node <> query and 100L * least(n, n_query) >= {percent} * greatest(n, n_query)"
+    return (
+        members.join(asked.hint("merge"), ["cluster", "hash"]).where(near_sizes)
+        .groupBy("node", "query", "n", "n_query").agg(F.count("*").alias("common"))
+        .where(linked(F.col("n"), F.col("n_query"), F.col("common"), percent)).select("node", "query")
+    )
 
 
 def _giant_classes(texts: DataFrame, hubs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """(node, class) for clusters too large for one task.
 
     Two members that are both confirmed with the hub are one class, so the only pairs
-    left have a member that is not.  Those members are the queries, ``block`` at a time,
-    against all members of the giant clusters.
+    left have a member that is not.  Those members are the queries against all members
+    of the giant clusters, in rounds of about ``ROUND_PAIRS`` pairs but never of fewer
+    than ``block`` queries.  No set leaves the executors.
     """
     sets = storage.stored(texts.mapInArrow(_sets(k), "cluster bigint, node bigint, hashes array<bigint>"), "giant-sets")
-
-    def queries(rows) -> dict[int, list[tuple[int, np.ndarray]]]:
-        out: dict[int, list] = {}
-        for r in rows:  # at most ``block`` rows at a time
-            out.setdefault(r.cluster, []).append((r.node, np.sort(np.array(r.hashes, np.int64))))
-        return out
-
-    schema = "node bigint, query bigint"
-    hub_rows = sets.join(hubs, ["cluster", "node"], "left_semi")
-    links = storage.stored(sets.mapInArrow(_against(queries(hub_rows.collect()), percent), schema), "hub-links")
+    if sets.groupBy("node").count().where("count > 1").take(1):  # repeated rows
+        sets = storage.stored(sets.dropDuplicates(["node"]), "giant-sets-once")
+    links = storage.stored(_links(sets, sets.join(hubs, ["cluster", "node"], "left_semi"), percent), "hub-links")
     apart = storage.stored(
         sets.select("cluster", "node").join(links, "node", "left_anti").join(hubs, ["cluster", "node"], "left_anti"), "apart"
     )
-    n = apart.count()
-    n_blocks = math.ceil(n / block)
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"))
+    asked = apart.groupBy("cluster").agg(F.count("*").alias("q"))
+    total = asked.join(sizes, "cluster").agg(F.sum("q").alias("q"), F.sum(F.col("q").cast("double") * F.col("n")).alias("pairs")).first()
+    n_rounds = min(math.ceil((total.q or 0) / block), math.ceil((total.pairs or 0) / ROUND_PAIRS))
     own = links.selectExpr("node", "query as class")  # a member's class so far: its hub, or itself
-    found = [links.selectExpr("node as a", "query as b")]
-    for i in range(n_blocks):
-        part = sets.join(apart.where(f"pmod(xxhash64(node), {n_blocks}) = {i}"), ["cluster", "node"], "left_semi")
-        pairs = sets.mapInArrow(_against(queries(part.collect()), percent), schema)
-        near = pairs.join(own, "node", "left").selectExpr("query as a", "coalesce(class, node) as b").distinct()
-        found.append(storage.stored(near, "apart-links"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
+    edges = links.selectExpr("node as a", "query as b")
+    for i in range(n_rounds):
+        part = sets.join(apart.where(f"pmod(xxhash64(node), {n_rounds}) = {i}"), ["cluster", "node"], "left_semi")
+        near = _links(sets, part, percent).join(own, "node", "left").selectExpr("query as a", "coalesce(class, node) as b").distinct()
+        edges = edges.unionByName(storage.stored(near, "apart-links"))
     every = sets.select("node")
     return every.join(components(edges), "node", "left").selectExpr("node", "coalesce(component, node) as class")
 

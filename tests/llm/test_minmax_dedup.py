@@ -59,6 +59,29 @@ def test_classes_equal_brute_force(spark, table, near_rows, options):
     }
 
 
+def test_sets_of_giant_clusters_never_reach_the_driver(spark, table, near_rows, monkeypatch):
+    """Also with repeated rows, whose shingles count once, and in several rounds."""
+    rows = near_rows + near_rows[::3]
+    base = [f"b{i}" for i in range(60)]  # one loose cluster: neighbours are links, ends are not
+    rows += [(1000 + i, " ".join([*base[:60 - i], *(f"c{j}" for j in range(i))])) for i in range(12)]
+    sets, label = brute(rows, 3, 85)
+    lowest = {}
+    for (i, _), c in zip(rows, label):
+        lowest[c] = min(lowest.get(c, i), i)
+    docs = table(rows)
+    collect = type(docs).collect
+
+    def watched(self):
+        assert "hashes" not in self.columns
+        return collect(self)
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    monkeypatch.setattr(d, "ROUND_PAIRS", 40, raising=False)
+    found = d.near_duplicates(docs, 3, 85, cluster_rows=1, block=8).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(s), lowest[c]) for (i, _), s, c in zip(rows, sets, label)}
+
+
 def test_one_of_each_keeps_columns_and_rows(spark, table, near_rows):
     docs = table(near_rows)
     kept = d.one_of_each(docs, words_per_shingle=3, percent=85)
