@@ -38,6 +38,9 @@ from . import storage
 from .induced import permuted_common_prefixes, suffix_array
 from .texthash import U64, Powers, byte_values, chunks, flat, mix, running
 
+#: Two hashes of a window.  Spark chains the columns of a hash, so the seed of the second
+#: has to come first: after the window it would only be a function of the first hash.
+ROUTE, CONTENT = "xxhash64(body)", "xxhash64(1, body)"
 LENGTH = 100
 GRAM = 32
 LONGEST = 256  # windows of a segment
@@ -324,7 +327,7 @@ def repeated_ranges(source: DataFrame, most_segments: int) -> DataFrame:
     solved = shards.repartition("route").sortWithinPartitions("route").mapInArrow(_shards, KINDS)
     single = pieces.where(f"kind = {CUT}").selectExpr(
         "id", "tie", f"inline(transform(sequence(0, n - 1), i -> struct(start + i as start, substring(body, cast(i + 1 as int), {LENGTH}) as body)))"
-    ).toDF("id", "tie", "start", "body").selectExpr("xxhash64(body) as route", "xxhash64(body, 1) as content", "id", "tie", "start", "1L as n")
+    ).toDF("id", "tie", "start", "body").selectExpr(f"{ROUTE} as route", f"{CONTENT} as content", "id", "tie", "start", "1L as n")
     first = single.groupBy("route", "content").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
     again = single.join(first, ["route", "content"]).where("struct(id, tie, start) <> first").select("id", "tie", "start", "n")
     columns = ["id", "tie", "start", "n"]

@@ -92,3 +92,10 @@ def test_sliding_least():
     x = np.random.default_rng(0).integers(0, 99, 300)
     for width in (1, 2, 5, 69, 64):
         assert d.sliding_least(x, width).tolist() == [x[i : i + width].min() for i in range(300 - width + 1)]
+
+
+def test_the_second_hash_of_a_window_does_not_follow_from_the_first(spark):
+    rows = spark.range(200).selectExpr("encode(concat('window ', id), 'utf-8') as body")
+    same = rows.selectExpr(f"{d.ROUTE} = xxhash64(body) as route", f"{d.CONTENT} = xxhash64(body, 1) as chained", f"{d.CONTENT} as content")
+    found = same.collect()
+    assert all(r.route for r in found) and not any(r.chained for r in found) and len({r.content for r in found}) == 200
