@@ -101,3 +101,59 @@ select conv_id, perspective, part, count(*) as n_turns, cast(sum(length(head) +
     coalesce(string_agg((before + length(head))::bigint || ':' || (before + length(head) + length(body))::bigint, ',' order by turn nulls first, speaker, said) filter (own), '') as mask,
     sha256(string_agg(head || body, '' order by turn nulls first, speaker, said)) as rendered_sha256
 from o group by conv_id, perspective, part"""
+
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("cast(doc_id as varchar)", "source", "lang", f"cast({n_chars} as varchar)", "text")
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+#: CRC-32 bit by bit: at the first of eight steps a byte enters.
+_CRC = """4294967295 - list_reduce(list_prepend(4294967295::bigint, range(8 * length(k))::bigint[]), lambda c, i:
+    case when (case when i % 8 = 0 then xor(c, ascii(k[(i // 8 + 1)::int])) else c end) % 2 = 1
+         then xor((case when i % 8 = 0 then xor(c, ascii(k[(i // 8 + 1)::int])) else c end) // 2, 3988292384)
+         else (case when i % 8 = 0 then xor(c, ascii(k[(i // 8 + 1)::int])) else c end) // 2 end)"""
+
+MERKLE = f"""
+with recursive keyed as (select *, cast(doc_id as varchar) as k from documents),
+leaf as materialized (select doc_id, lang, {_leaf("n_chars")} as h,
+    case when ({_CRC}) % 7 = 0 then {_leaf("(n_chars + 1)")} else {_leaf("n_chars")} end as altered,
+    row_number() over (partition by lang order by doc_id nulls first) - 1 as pos, count(*) over (partition by lang) as n from keyed),
+tree as (select lang, 0 as lvl, pos, h, n from leaf
+    union all select lang, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2
+    from tree where n > 1 group by lang, lvl, pos // 2, n),
+subs as materialized (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from tree where n = 1),
+top as (select 0 as lvl, pos, subroot as h, n from subs
+    union all select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from top where n > 1 group by lvl, pos // 2, n),
+leaf_steps as (select l.doc_id, l.lang, l.pos as place, s.lvl, (l.pos >> s.lvl) % 2 = 1 as odd, x.h
+    from leaf l join (select distinct lang, lvl, n from tree) s on s.lang is not distinct from l.lang and s.n > 1
+    left join tree x on x.lang is not distinct from l.lang and x.lvl = s.lvl and x.pos = xor(l.pos >> s.lvl, 1)),
+top_steps as (select l.lang, s.lvl, (l.pos >> s.lvl) % 2 = 1 as odd, x.h
+    from subs l join (select distinct lvl, n from top) s on s.n > 1
+    left join top x on x.lvl = s.lvl and x.pos = xor(l.pos >> s.lvl, 1)),
+steps as (select doc_id, lang, place, lvl, odd, h from leaf_steps
+    union all select l.doc_id, l.lang, l.pos, 1000 + t.lvl, t.odd, t.h from leaf l join top_steps t on t.lang is not distinct from l.lang),
+proofs as (select doc_id, lang, place, list(case when h is null then '-' when odd then 'L' || h else 'R' || h end order by lvl) as ss
+    from steps group by doc_id, lang, place)
+select l.doc_id, l.h as leaf, s.subroot, r.root,
+    sha256(coalesce(list_aggregate(list_transform(p.ss, lambda x: x[2:]), 'string_agg', ''), '')) as proof_sha256,
+    list_reduce(list_prepend(l.altered, coalesce(p.ss, [])), lambda a, b: sha256(case b[1] when 'L' then b[2:] || a when 'R' then a || b[2:] else a end)) as folded_root,
+    folded_root = r.root as verified
+from leaf l join subs s on s.lang is not distinct from l.lang cross join (select h as root from top where n = 1) r
+left join proofs p on p.doc_id is not distinct from l.doc_id and p.lang is not distinct from l.lang and p.place = l.pos"""
+
+HARD_NEGATIVES = """
+with v as materialized (select vec_id as id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as x
+    from embeddings where label is not null and vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as materialized (select a.id as anchor_id, a.label as anchor_label, b.id, b.label, cast(list_inner_product(a.x, b.x) as bigint) as score
+    from v a join v b on a.id % 100 = 0 and a.id <> b.id),
+positives as (select anchor_id, id as positive_id, score as positive_score from scored where label = anchor_label
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over w as int) as rank, s.id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and s.label <> s.anchor_label
+    and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.id)
+qualify row_number() over w <= 10"""

@@ -131,3 +131,30 @@ def perspectives_query(spark: SparkSession, folder: str) -> DataFrame:
         "cast(aggregate(mask, 0, (a, m) -> a + m.end - m.start) as bigint) as n_mask_chars",
         "array_join(transform(mask, m -> concat(m.start, ':', m.end)), ',') as mask", "sha2(rendered, 256) as rendered_sha256",
     )
+
+
+@query("op11_merkle_manifest", oracles.MERKLE)
+def merkle_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import merkle
+
+    one_more = {"n_chars": "cast(n_chars as decimal(20, 0)) + 1"}
+    found = merkle.manifest(
+        table(spark, folder, "documents"), altered=one_more, where="crc32(cast(doc_id as string)) % 7 = 0", with_proofs=False
+    )
+    return found.drop("proof")
+
+
+@query("op12_bpe_counts")
+def bpe_counts_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import bpe_counts
+
+    found = bpe_counts.token_counts(table(spark, folder, "documents"), ["doc_id"])
+    return found.selectExpr("row.doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 as over_limit")
+
+
+@query("op13_hard_negatives", oracles.HARD_NEGATIVES)
+def hard_negatives_query(spark: SparkSession, folder: str) -> DataFrame:
+    from . import hard_negatives
+
+    label = "case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end"
+    return hard_negatives.mined(table(spark, folder, "embeddings"), label=label)

@@ -33,9 +33,20 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, answer.fetchall())
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)} and "pipeline" in names
+
+
+def test_token_count_query_equals_the_library(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    want = set()
+    for r in queries.table(spark, FOLDER, "documents").collect():
+        n = len(model.encode(r.text or ""))
+        want.add((r.doc_id, len((r.text or "").encode()), n, n > 4096))
+    assert {tuple(r) for r in queries.QUERIES["op12_bpe_counts"](spark, FOLDER).collect()} == want
 
 
 def test_suffix_query_equals_brute_force(spark):
