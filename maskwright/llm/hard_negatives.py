@@ -124,7 +124,7 @@ class Anchors:
         least = np.maximum(np.abs(along) - self.error[-1][some][:, None], 0)
         beside = np.sqrt(np.maximum(self.norm[some][:, None] ** 2 - least**2, 0))
         spread += beside * rest[None, :]
-        return middle - spread, middle + spread
+        return np.minimum(middle - spread, 2.0**63), np.maximum(middle + spread, -(2.0**63))  # scores are held to longs
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
