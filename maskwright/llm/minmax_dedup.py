@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .components import components
-from .texthash import SPACES, U64, Powers, byte_values, chunks, flat, lower_ascii, mix, powers, running, substring_hash, without, word_spans
+from .texthash import SPACES, U64, chunks, flat, lanes, lower_ascii, mix, string_hashes, without, word_spans
 
 ROWS = 6
 PERMUTATIONS_PER_BAND = ROWS // 2
@@ -53,8 +53,6 @@ class Shingler:
     def __init__(self, words_per_shingle: int):
         self.k = words_per_shingle
         self.word, self.lower = without(SPACES), lower_ascii()
-        self.values, self.table = byte_values(5), Powers()
-        self.weights = powers(0xD6E8FEB86659FD93, self.k)
 
     def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes, sorted within each row, and where each row's hashes begin and end."""
@@ -64,7 +62,7 @@ class Shingler:
             return np.zeros(0, U64), np.zeros(n + 1, np.int64)
         data = self.lower[data]
         starts, ends, first = word_spans(data, bounds, self.word)
-        words = substring_hash(running(data, self.values, self.table), starts, ends, self.table)
+        words = string_hashes(data, lanes(data), starts, ends)
         per_row = np.diff(first)
         n_shingles = np.where(per_row >= self.k, per_row - self.k + 1, np.minimum(per_row, 1))
         row = np.repeat(np.arange(n), n_shingles)
@@ -72,9 +70,8 @@ class Shingler:
         at = np.repeat(first[:-1] - offset, n_shingles) + np.arange(len(row))
         length = np.minimum(per_row, self.k)[row]
         total = mix(length.astype(U64))
-        for j in range(self.k):
-            total += np.where(j < length, words[np.minimum(at + j, len(words) - 1)] * self.weights[j], U64(0)) if len(words) else U64(0)
-        total = mix(total)
+        for j in range(self.k if len(words) else 0):
+            total = np.where(j < length, mix(total ^ words[np.minimum(at + j, len(words) - 1)]), total)
         ends = np.cumsum(n_shingles).tolist()
         for begin, end in zip([0, *ends], ends):
             total[begin:end].sort()

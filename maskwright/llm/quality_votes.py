@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .texthash import SPACES, Powers, byte_values, chunks, flat, mix, powers, running, substring_hash, without, word_spans
+from .texthash import SPACES, chained, chunks, flat, lanes, mix, string_hashes, without, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -49,7 +49,7 @@ class Counter:
     """Counts over a column of texts, all rows of a piece at once."""
 
     def __init__(self) -> None:
-        self.word, self.values, self.table = without(SPACES), byte_values(3), Powers()
+        self.word = without(SPACES)
         kind = np.zeros((6, 256), bool)
         kind[0] = self.word.astype(bool)
         kind[0, 128:192] = False  # continuation bytes, so code points are counted
@@ -79,8 +79,8 @@ class Counter:
         letters = np.zeros(len(data) + 1, np.int32)
         np.cumsum(self.kind[2][data], out=letters[1:])
         bare = letters[ends] == letters[starts]
-        sums = running(data, self.values, self.table)
-        words = substring_hash(sums, starts, ends, self.table)
+        at_lane = lanes(data)
+        words = string_hashes(data, at_lane, starts, ends)
         again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1]))
         out = {
             "n_words": per_word, "word_chars": per_row(0), "n_symbols": per_row(1),
@@ -90,7 +90,7 @@ class Counter:
             "n_stutters": np.bincount(row[again], minlength=n),
             "n_repeat_words": self.repeated(words, row, first, n),
         }
-        out["n_lines"], out["n_dup_lines"] = self.lines(data, bounds, sums, starts, n)
+        out["n_lines"], out["n_dup_lines"] = self.lines(data, bounds, at_lane, starts, n)
         return out
 
     def repeated(self, words: np.ndarray, row: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
@@ -98,7 +98,7 @@ class Counter:
         m = len(words) - WINDOW + 1
         if m <= 0:
             return np.zeros(n, np.int64)
-        key = sum(words[k : k + m] * c for k, c in enumerate(powers(0xD1B54A32D192ED03, WINDOW)))
+        key = chained(words, WINDOW)
         whole = row[:m] == row[WINDOW - 1 :]
         at = np.flatnonzero(whole)
         key = mix(mix(key[at]) ^ mix(row[at].astype(np.uint64)))
@@ -109,7 +109,7 @@ class Counter:
         cover = np.bincount(at[twice], minlength=len(words) + 1) - np.bincount(at[twice] + WINDOW, minlength=len(words) + 1)
         return np.bincount(row[np.cumsum(cover)[:-1] > 0], minlength=n)
 
-    def lines(self, data, bounds, sums, starts, n):
+    def lines(self, data, bounds, at_lane, starts, n):
         """Lines with a word, and those of them equal to an earlier line of the row."""
         cuts = np.unique(np.concatenate([bounds, np.flatnonzero(data == 10) + 1]))
         begin, end = cuts[:-1], cuts[1:].copy()
@@ -117,7 +117,7 @@ class Counter:
         used = np.searchsorted(starts, begin) < np.searchsorted(starts, end)
         begin, end = begin[used], end[used]
         row = np.searchsorted(bounds, begin, "right") - 1
-        key = mix(substring_hash(sums, begin, end, self.table) ^ mix(row.astype(np.uint64)))
+        key = mix(string_hashes(data, at_lane, begin, end) ^ mix(row.astype(np.uint64)))
         _, where = np.unique(key, return_index=True)
         lines = np.bincount(row, minlength=n)
         return lines, lines - np.bincount(row[where], minlength=n)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .induced import permuted_common_prefixes, suffix_array
-from .texthash import U64, Powers, byte_values, chunks, flat, mix, running
+from .texthash import U64, chunks, flat, lanes, mix, string_hashes
 
 #: Two hashes of a window.  Spark chains the columns of a hash, so the seed of the second
 #: has to come first: after the window it would only be a function of the first hash.
@@ -44,6 +44,8 @@ ROUTE, CONTENT = "xxhash64(body)", "xxhash64(1, body)"
 LENGTH = 100
 GRAM = 32
 LONGEST = 256  # windows of a segment
+SHARD_BYTES = 1 << 20  # of the shards that are sorted in step
+PIECE = 1 << 20  # bytes of text in hand at a time
 REMOVED, SHARD, CUT = 0, 1, 2
 SEGMENT = "route bigint, content bigint, id bigint, tie bigint, start bigint, n bigint, again bigint"
 KINDS = "kind tinyint, route bigint, id bigint, tie bigint, start bigint, n bigint"
@@ -68,14 +70,17 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-class Cutter:
-    """Segments of a piece of the corpus."""
+def gram_hashes(at_lane: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``GRAM`` bytes from every one of ``n`` places on."""
+    width, out = 8, mix(np.ascontiguousarray(at_lane[: n + GRAM - 8]))
+    while width < GRAM:
+        out = mix(out[:-width] * U64(0xD6E8FEB86659FD93) ^ out[width:])
+        width *= 2
+    return out
 
-    def __init__(self) -> None:
-        self.anchor_values, self.content_values, self.table = byte_values(21), byte_values(22), Powers()
 
-    def hashes(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return running(data, values, self.table)
+class Cutter:
+    """Segments of a piece of the corpus."""
 
     def segments(self, data: np.ndarray, bounds: np.ndarray):
         """(row, first place, windows, anchor, content, again) of every segment; ``again``
@@ -83,17 +88,15 @@ class Cutter:
         n = len(data) - LENGTH + 1
         if n <= 0:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2 + (np.zeros(0, bool),)
-        _, down = self.table.upto(len(data) + 1)
-        sums = self.hashes(data, self.anchor_values)
-        grams = (sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1]
-        grams ^= grams >> U64(29)
+        at_lane = lanes(data)
+        grams = gram_hashes(at_lane, len(data) - GRAM + 1)
         least = sliding_least(grams, LENGTH - GRAM + 1)
         whole = np.diff(bounds) >= LENGTH
         edge = np.zeros(n + 1, np.int8)
         edge[bounds[:-1][whole]] = 1
         last = bounds[1:][whole] - LENGTH + 1
         np.subtract.at(edge, last, 1)  # a window's row may begin where another's windows end
-        inside = np.cumsum(edge[:-1]) > 0
+        inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
         new = inside.copy()
         new[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
         new[bounds[:-1][whole]] = True
@@ -102,15 +105,15 @@ class Cutter:
         stop = np.minimum(np.append(first[1:], n), bounds[row + 1] - LENGTH + 1)
         windows = stop - first
         again = self.twice(grams, least, first, windows)
+        anchor = least[first]
+        del grams, least
         pieces = -(-windows // LONGEST)  # long runs of one anchor are cut
         if len(pieces) and pieces.max() > 1:
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             row, stop, first = np.repeat(row, pieces), np.repeat(stop, pieces), np.repeat(first, pieces) + nth * LONGEST
-            again = np.repeat(again, pieces)
+            again, anchor = np.repeat(again, pieces), np.repeat(anchor, pieces)
             windows = np.minimum(stop - first, LONGEST)
-        sums = self.hashes(data, self.content_values)
-        content = mix(mix((sums[first + windows + LENGTH - 1] - sums[first]) * down[first]) ^ windows.astype(U64))
-        return row, first, windows, mix(least[first]), content, again
+        return row, first, windows, mix(anchor), string_hashes(data, at_lane, first, first + windows + LENGTH - 1), again
 
     def twice(self, grams: np.ndarray, least: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Whether the anchor of a run of windows stands in it more than once."""
@@ -134,17 +137,30 @@ def earliest(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> np.
     return out
 
 
+def _pieces(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the piece, its bytes, its rows' bounds): all of it, or pieces of a long
+    text, which overlap so that every window lies in one of them."""
+    if len(data) <= 2 * PIECE or len(bounds) > 2:
+        yield 0, data, bounds
+        return
+    for at in range(0, len(data) - LENGTH + 1, PIECE):
+        part = data[at : at + PIECE + LENGTH - 1]
+        yield at, part, np.array([0, len(part)])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cutter = Cutter()
-    for part in chunks(batches, "text", 1 << 20):
-        data, bounds = flat(part.column("text"))
-        row, first, windows, anchor, content, again = cutter.segments(data, bounds)
-        ids, ties = part.column("id").to_numpy()[row], part.column("tie").to_numpy()[row]
-        start = first - bounds[row]
-        live = earliest((anchor, content), (ids, ties, start))
-        # a repetition found here needs no meeting; it travels with its document
-        route = np.where(live, anchor, mix(ids.view(U64) ^ mix(start.astype(U64))))
-        yield _table(SEGMENT, route, content, ids, ties, start, np.where(live, windows, -windows), again.astype(np.int64))
+    for part in chunks(batches, "text", PIECE):
+        whole, rows = flat(part.column("text"))
+        every_id, every_tie = part.column("id").to_numpy(), part.column("tie").to_numpy()
+        for at, data, bounds in _pieces(whole, rows):
+            row, first, windows, anchor, content, again = cutter.segments(data, bounds)
+            ids, ties = every_id[row], every_tie[row]
+            start = first - bounds[row] + at
+            live = earliest((anchor, content), (ids, ties, start))
+            # a repetition found here needs no meeting; it travels with its document
+            route = np.where(live, anchor, mix(ids.view(U64) ^ mix(start.astype(U64))))
+            yield _table(SEGMENT, route, content, ids, ties, start, np.where(live, windows, -windows), again.astype(np.int64))
 
 
 def _collapse(most_segments: int):
@@ -244,7 +260,7 @@ def shard_windows(route, ids, ties, starts, data: np.ndarray, bounds: np.ndarray
     return ids[of][repeated], ties[of][repeated], start[repeated]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], most: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
     """Segments sorted by route, solved as many whole shards at a time as ``most`` bytes hold."""
     waiting: list[pa.RecordBatch] = []
 
@@ -281,31 +297,40 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int = 3 << 20) -> Iterator[
         yield solve(waiting)
 
 
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of rows without overlaps; ranges that touch are one."""
+    by = np.lexsort((start, row))
+    row, start, end = row[by], start[by], end[by]
+    reach = end.copy()
+    first = np.ones(len(by), bool)
+    if len(by):
+        far = int(end.max()) + 2  # rows one after the other, with a gap
+        reach = np.maximum.accumulate(row * far + end)
+        first[1:] = (row * far + start)[1:] > reach[:-1]
+        reach -= row * far
+    at = np.flatnonzero(first)
+    return row[at], start[at], reach[np.append(at[1:], len(by)) - 1] if len(by) else reach
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their removed ranges to counts and what is left."""
     for part in chunks(batches, "text", 2 << 20):
         data, bounds = flat(part.column("text"))
-        ranges = part.column("ranges")
-        cover = np.zeros(len(data) + 1, np.int64)
+        ranges, n = part.column("ranges"), part.num_rows
         at = ranges.offsets.to_numpy().astype(np.int64)
-        if at[-1] > at[0]:
-            values = ranges.values.slice(at[0], at[-1] - at[0])
-            row = np.repeat(np.arange(part.num_rows), np.diff(at))
-            start = bounds[row] + values.field("start").to_numpy()
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + values.field("n").to_numpy() + LENGTH - 1, -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        begins[bounds[:-1][bounds[:-1] < bounds[1:]]] |= gone[bounds[:-1][bounds[:-1] < bounds[1:]]]
-        sums, spans = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
-        np.cumsum(gone, out=sums[1:])
-        np.cumsum(begins, out=spans[1:])
-        left, ends = data[~gone], bounds - sums[bounds]
-        kept = [left[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        values = ranges.values.slice(at[0], at[-1] - at[0])
+        start = values.field("start").to_numpy()
+        row, start, end = merged(np.repeat(np.arange(n), np.diff(at)), start, start + values.field("n").to_numpy() + LENGTH - 1)
+        gone = np.zeros(n, np.int64)
+        np.add.at(gone, row, end - start)
+        cuts = np.searchsorted(row, np.arange(n + 1)).tolist()
+        body, places, left = memoryview(data), np.stack([start, end], axis=1), []
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            edges = [a, *(places[cuts[i] : cuts[i + 1]].ravel() + a).tolist(), b]
+            left.append(b"".join(body[x:y] for x, y in zip(edges[::2], edges[1::2])))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(np.diff(sums[bounds])), pa.array(np.diff(spans[bounds])),
-             pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])],
+            [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(gone), pa.array(np.bincount(row, minlength=n)),
+             pa.array(left, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in left])],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
         )
 

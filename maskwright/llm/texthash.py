@@ -1,7 +1,8 @@
 """Vectorised hashing of words and byte strings inside tasks.
 
-A string's hash is a polynomial in random values of its bytes, modulo 2**64, so the
-hashes of all substrings come from one running sum.
+A string's hash is chained from its eight-byte lanes by scrambling after each, so it has
+no algebraic structure that texts could hit (a polynomial modulo 2**64 has: for every
+odd base some words and their complements collide).
 """
 
 from __future__ import annotations
@@ -10,22 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SPACES = b"\t\n\x0b\x0c\r "
-
-
-def byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, U64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+LONG = 1024  # bytes of a string from which it is hashed by itself
+#: The first k bytes of a lane.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,31 +27,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class Powers:
-    """Powers of the base and its inverse up to the largest length asked for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = powers(BASE, size), powers(BASE_INVERSE, size)
-        return self.up[:n], self.down[:n]
-
-
-def running(data: np.ndarray, values: np.ndarray, table: Powers) -> np.ndarray:
-    """running[i] is the sum over the first i bytes."""
-    up, _ = table.upto(len(data) + 1)
-    out = np.empty(len(data) + 1, U64)
-    out[0] = 0
-    np.cumsum(values[data] * up[:-1], out=out[1:])
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on; zeros follow the data."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 8, U64, padded, 0, (1,))
+
+
+def string_hashes(data: np.ndarray, at_lane: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the strings between ``starts`` and ``ends``; ``at_lane`` is ``lanes(data)``."""
+    size = ends - starts
+    out = mix(size.astype(U64) ^ U64(seed))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    at, size, found = starts[left], size[left], out[left]
+    while len(left):
+        found = mix(found ^ (at_lane[at] & FIRST[np.minimum(size, 8)]))
+        size = size - 8
+        going = size > 0
+        if not going.all():
+            out[left[~going]] = found[~going]
+            left, at, size, found = left[going], at[going], size[going], found[going]
+        at = at + 8
     return out
 
 
-def substring_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, table: Powers) -> np.ndarray:
-    _, down = table.upto(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+def chained(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every ``width`` neighbours, in their order."""
+    n = max(0, len(hashes) - width + 1)
+    out = np.full(n, width, U64)
+    for k in range(width):
+        out = mix(out ^ hashes[k : k + n])
+    return out
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,3 +21,11 @@ def odd_rows():
     long = " ".join(f"word{i % 977} of{i % 31}" for i in range(40_000))
     return [(1, "a b c d e f g h"), (None, "no id here at all"), (2, None), (None, None), (3, ""), (4, " \n\t "), (5, long),
             (6, "same row twice over and over"), (6, "same row twice over and over"), (7, "one id"), (7, "two texts of one id"), (8, "é🎉 ß naïve")]
+
+
+@pytest.fixture(scope="session")
+def thue_morse():
+    """A Thue-Morse word of 1,024 letters and its complement: they collide under every
+    polynomial with an odd base modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))

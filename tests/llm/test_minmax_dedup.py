@@ -126,3 +126,8 @@ def test_components(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_words_that_collide_under_polynomials_are_not_linked(spark, table, thue_morse):
+    found = d.near_duplicates(table([(1, thue_morse[0]), (2, thue_morse[1])]), 3, 85).collect()
+    assert {r.component_id for r in found} == {1, 2}

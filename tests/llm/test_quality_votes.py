@@ -64,3 +64,28 @@ def test_odd_rows_and_filter(spark, table, odd_rows):
     kept = q.good_documents(docs)
     assert kept.columns == docs.columns and all(r.row == "x" for r in kept.collect())
     assert q.good_documents(docs.limit(0)).count() == 0 and q.verdicts(docs.limit(0)).count() == 0
+
+
+def test_lines_and_words_that_collide_under_polynomials_differ(thue_morse):
+    a, b = thue_morse
+    text = f"{a}\n{b}\n{a} x\n" + " ".join([a, b] * 8)
+    long = a * 3 + "\n" + b * 3 + "\n" + a * 3  # hashed by themselves
+    got = q.Counter().counts(pa.array([text, long]))
+    assert list(zip(*(got[c].tolist() for c in q.COUNTS[:5]))) == [plain(text), plain(long)]
+
+
+def test_verdicts_equal_a_plain_posterior(spark, table, odd_rows):
+    """``kept`` by Bayes' rule, vote by vote, with the fitted rates."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(500)]
+    rows = [*odd_rows, *((100 + i, " ".join(rng.choice(words, 80))) for i in range(150)), *((300 + i, "!!! ### BUY $$$ " * 30) for i in range(12))]
+    found = q.verdicts(table(rows)).select("doc_id", "m.votes", "quality", "base_failed", "kept").collect()
+    model = q.fit(list(collections.Counter(r.votes for r in found).items()))
+    for r in found:
+        good, bad = model.prior, 1 - model.prior
+        for vote, on_good, on_bad in zip(r.votes, model.bad_on_good, model.bad_on_bad):
+            if vote != "-":
+                good *= on_good if vote == "b" else 1 - on_good
+                bad *= on_bad if vote == "b" else 1 - on_bad
+        assert abs(r.quality - good / (good + bad)) < 1e-9 and r.kept == (not r.base_failed and r.quality >= 0.5)
+    assert {r.kept for r in found if 100 <= (r.doc_id or 0) < 300} == {True} and {r.kept for r in found if (r.doc_id or 0) >= 300} == {False}

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskwright.llm import suffix_dedup as d
@@ -99,3 +101,38 @@ def test_the_second_hash_of_a_window_does_not_follow_from_the_first(spark):
     same = rows.selectExpr(f"{d.ROUTE} = xxhash64(body) as route", f"{d.CONTENT} = xxhash64(body, 1) as chained", f"{d.CONTENT} as content")
     found = same.collect()
     assert all(r.route for r in found) and not any(r.chained for r in found) and len({r.content for r in found}) == 200
+
+
+def test_lines_that_collide_under_polynomials_stay(spark, table, thue_morse):
+    a, b = thue_morse
+    found = d.without_repeats(table([(1, a), (2, b)])).orderBy("doc_id")
+    assert results(found) == brute([(1, a), (2, b)])
+
+
+def test_long_texts_are_cut_in_pieces(spark, table, repeats, monkeypatch):
+    """Every executor thread handles pieces of 150 bytes, so all strings cross pieces."""
+    rows = [(i, t * 3) for i, t in repeats]
+    for batch in (d._pieces(np.zeros(5000, np.uint8), np.array([0, 5000])), d._pieces(np.zeros(70, np.uint8), np.array([0, 70]))):
+        assert sum(len(p) for _, p, _ in batch) in (5000, 70)
+    monkeypatch.setattr(d, "PIECE", 150)
+    whole, cut = d.Cutter(), []
+    for _, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        cut.append(sum(int(whole.segments(part, bounds)[2].sum()) for _, part, bounds in d._pieces(data, np.array([0, len(data)]))))
+    assert cut == [max(0, len(t.encode()) - 99) for _, t in rows]  # every window once
+    assert results(d.without_repeats(table(rows)).orderBy("doc_id")) == brute(rows)
+
+
+def test_memory_of_one_text_of_64_mb():
+    text = np.random.default_rng(1).integers(97, 123, 64 << 20, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([text])], ["id", "tie", "text"])
+    ranges = pa.array([[{"start": 1000 * i, "n": 50} for i in range(60_000)]], pa.list_(pa.struct({"start": pa.int64(), "n": pa.int64()})))
+    other = pa.RecordBatch.from_arrays([pa.array([1]), batch.column("text"), ranges], ["doc_id", "text", "ranges"])
+    del text
+    tracemalloc.start()
+    n = sum(int(np.abs(b.column("n").to_numpy()).sum()) for b in d._cut(iter([batch])))
+    left = next(d._kept(iter([other])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == (64 << 20) - 99 and left.column("n_removed").to_pylist() == [60_000 * 149]
+    assert peak < 400 << 20
