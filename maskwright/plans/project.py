@@ -10,7 +10,10 @@ from ..operators import paths
 from ..operators.history import scan_summary
 from ..operators.hits import Context
 from ..session import materialize, new_folder, scratch
-from ..sources.corpus import decode_text, list_tree, with_content
+from .. import fixed_values as fv
+from ..sources.corpus import decode_text, with_hash
+from ..sources.listing import list_tree
+from ..sources.parts import read_files
 from ..sources.sinks import write_sanitized, write_tree
 from .staging import Sanitized, sanitized, scan_once
 
@@ -33,10 +36,9 @@ def select_files(listed: DataFrame, input_root: str, excluded: DataFrame | None,
     if excluded is not None:
         chosen = paths.exclude(chosen, excluded)
     if changed_only:
-        hashed = with_content(chosen, input_root).selectExpr(
-            "path", "length", "if(content is null, concat('length ', length), sha2(content, 256)) as hash"
-        )
-        chosen = paths.only_changed(materialize(hashed, "hashes"), manifest).drop("hash", "partial")
+        tasks = 4 * chosen.sparkSession.sparkContext.defaultParallelism
+        hashed = materialize(with_hash(chosen.repartition(tasks, "path"), input_root), "hashes")
+        chosen = paths.only_changed(hashed, manifest).drop("hash", "partial")
     return chosen
 
 
@@ -50,22 +52,23 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
 def scan_project(
     spark: SparkSession, input_root: str, output: str, ctx: Context, *, ignores: DataFrame | None = None,
     excluded: DataFrame | None = None, manifest: DataFrame | None = None, changed_only: bool = False, tree: str | None = None,
+    part_bytes: int = 0,
 ) -> ProjectScan:
     """Scan a tree and write its sanitized copy, as a table and (to ``tree``) as files.
 
-    Every file is read and scanned once.  With ``changed_only`` the output holds only the
+    Every file is read and scanned once, one larger than ``part_bytes`` (default
+    ``parts.PART_BYTES``) in parts.  With ``changed_only`` the output holds only the
     files that changed, so it is partial and no full copy of the tree.
     """
     with scratch(spark):
-        listed = select_files(list_tree(spark, input_root), input_root, excluded, manifest, changed_only)
-        cores = spark.sparkContext.defaultParallelism
-        files = decode_text(with_content(listed.repartition(4 * cores, "path"), input_root))
+        listed = select_files(list_tree(spark, input_root, fv.SKIP_DIRS), input_root, excluded, manifest, changed_only)
+        files = decode_text(read_files(listed, input_root, ctx.limits, part_bytes))
         scanned = scan_once(files, ctx, ignores)
         done = sanitized(scanned, ctx.tokens)
         write_sanitized(done.files, output, input_root)
         written = _kept(write_tree(done.files, tree, input_root), "written") if tree else None
         found = _kept(done.findings.drop("value", "after", "uses"), "findings")
-        covered = _kept(scanned.selectExpr("path", "kind", "reason", paths.STATUS), "coverage")
+        covered = _kept(scanned.where("part = 0").selectExpr("path", "kind", "reason", paths.STATUS), "coverage")
         numbers = _kept(done.tokens, "tokens") if done.tokens is not None else None
     return ProjectScan(
         Sanitized(spark.read.parquet(output), found, numbers), covered, scan_summary(found, covered, partial=changed_only), written

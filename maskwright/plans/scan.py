@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.text import Sql, let
+from ..functions.text import Sql, let, q
 from ..operators import paths
 from ..operators.blocks import concat_for_kind, key_blocks
 from ..operators.code import code_line
@@ -65,22 +65,53 @@ def line_results(ctx: Context) -> Sql:
 def with_kind(files: DataFrame, limits: paths.Limits = paths.Limits()) -> DataFrame:
     """Add kind and the reason not to scan a file, if there is one."""
     reason = paths.unscanned_reason("path", "length", "content", limits, "kind")
+    if "known_reason" in files.columns:  # found out for a whole file, of which this may be a part
+        reason = f"coalesce(known_reason, {reason})"
     return files.withColumn("kind", F.expr(paths.classify("path"))).withColumn("reason", F.expr(reason))
 
 
+#: Stands before a part that begins inside a key block, and a line after all parts but
+#: the last, so that no detector takes a part's end for the end of the file.
+BLOCK_GOES_ON = "-----BEGIN PRIVATE KEY-----\n"
+FILE_GOES_ON = "."
+
+
+def placed_in_file(scanned: Sql) -> Sql:
+    """The result for a part of a file: lines count from the file's beginning (as far as
+    an integer goes), and lines put around the part are gone again."""
+    fields = ("stage", "ord", "key", "rule", "category", "value", "after", "changed", "uses")
+    shift = "lines_before - if(inside, 1, 0)"
+    moved = tx.each(
+        f"{scanned}.hits",
+        lambda h: f"named_struct('line', cast(least({h}.line + {shift}, 2147483647L) as int), " + ", ".join(f"'{f}', {h}.{f}" for f in fields) + ")",
+    )
+    out = let(
+        f"if(inside, substring({scanned}.out, instr({scanned}.out, '\\n') + 1), {scanned}.out)",
+        lambda o: f"if(goes_on, substring({o}, 1, length({o}) - {len(FILE_GOES_ON)}), {o})",
+    )
+    return f"if(lines_before = 0 and not inside and not goes_on, {scanned}, {result(out, moved)})"
+
+
 def scan(files: DataFrame, ctx: Context) -> DataFrame:
     """``files(path, text, length, content)`` to
     (path, kind, reason, text, result<out, hits>, content).
 
+    Parts of a file (``parts.read_files``) give findings with the file's line numbers.
     Unscanned files keep their text and have no findings; ``content`` is the bytes of
     such files, to be passed on as they are, and null for all others.  If the context names
     an ignore column, ``files`` must carry it (see ``ignores.attach``).
     """
-    keep = [c for c in files.columns if c not in ("text", "length", "content")]
+    keep = [c for c in files.columns if c not in ("text", "length", "content", "known_reason", "lines_before", "inside", "goes_on")]
+    in_parts = "lines_before" in files.columns
+    if in_parts:
+        files = files.withColumn("goes_on", F.expr("coalesce(part < parts - 1 and endswith(text, '\\n'), false)"))
+        around = f"concat(if(inside, {q(BLOCK_GOES_ON)}, ''), text, if(goes_on, {q(FILE_GOES_ON)}, ''))"
+        files = files.withColumn("text", F.expr(f"if(inside or goes_on, {around}, text)"))
+    found = let(line_results(ctx), placed_in_file) if in_parts else line_results(ctx)
     return (
         with_kind(files, ctx.limits)
         .withColumn("early", F.expr(whole_text_result(ctx)))
-        .withColumn("result", F.expr(line_results(ctx)))
+        .withColumn("result", F.expr(found))
         .select(*keep, "kind", "reason", "text", "result", F.expr("if(reason is not null, content, null) as content"))
     )
 

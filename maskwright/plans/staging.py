@@ -35,7 +35,8 @@ def scan_once(files: DataFrame, ctx: Context, ignores: DataFrame | None = None)
     is asked of a scan comes from here, so the detectors run once."""
     if ignores is not None:
         files, ctx = ign.attach(files, ignores), replace(ctx, ignores="ignores")
-    done = scan(files, ctx).selectExpr("path", "kind", "reason", "result.out as text", "result.hits as hits", "content")
+    part = [c for c in ("part", "parts") if c in files.columns]
+    done = scan(files, ctx).selectExpr("path", *part, "kind", "reason", "result.out as text", "result.hits as hits", "content")
     return materialize(done, "scanned")
 
 
@@ -46,13 +47,15 @@ def sanitized(scanned: DataFrame, tokens: bool) -> Sanitized:
     puts the numbers in; the other files pass through untouched.
     """
     found = scanned.select("path", F.explode("hits").alias("h")).select("path", "h.*")
-    as_file = ("path", "kind", "reason", "text", "reason is not null as copied", "content")
+    part = [c for c in ("part", "parts") if c in scanned.columns]
+    as_file = ("path", *part, "kind", "reason", "text", "reason is not null as copied", "content")
     if not tokens:
         return Sanitized(scanned.selectExpr(*as_file), found)
     numbers = materialize(tok.number_tokens(tok.token_uses(found)), "token-numbers")
-    hit = scanned.where("size(hits) > 0").select("path", "kind", "text")
-    changed = tok.resolve(hit, "path", ["text"], numbers).selectExpr(
-        "path", "kind", "cast(null as string) as reason", "text", "false as copied", "cast(null as binary) as content"
+    own = "concat(path, '\u0001', part)" if part else "path"
+    hit = scanned.where("size(hits) > 0").selectExpr("path", *part, "kind", "text", f"{own} as own")
+    changed = tok.resolve(hit, "own", ["text"], numbers).selectExpr(
+        "path", *part, "kind", "cast(null as string) as reason", "text", "false as copied", "cast(null as binary) as content"
     )
     clean = scanned.where("size(hits) = 0").selectExpr(*as_file)
     return Sanitized(changed.unionByName(clean), _resolved(found, numbers), numbers)

@@ -65,12 +65,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, folder)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table once and read it back, so that later steps neither recompute
-    it nor depend on its lineage when executors are lost."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder, which goes at the end of the open ``scratch`` if there is one."""
     folder = new_folder(spark, label)
     if _open:
         _open[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 64 << 20) -> Iterator[None]:
+    """Rows that are sent to Python inside are batched by bytes, not only by number."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a table once and read it back, so that later steps neither recompute
+    it nor depend on its lineage when executors are lost."""
+    folder = scratch_folder(df.sparkSession, label)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

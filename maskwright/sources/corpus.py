@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,62 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Sql
-from ..session import materialize
+from .listing import file_system, list_tree, qualified
 
 #: Files beyond this are passed on without being loaded: a cell of a table holds less.
 LARGEST_CELL = (1 << 31) - (1 << 20)
 BATCH_BYTES = 32 << 20
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder with its file system and without dots or a final slash."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    uri = system.makeQualified(path).toUri().normalize().toString().rstrip("/")
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def file_system(uri: str):
-    """The file system of a URI as tasks see it, and the path in it."""
-    from urllib.parse import unquote
-
-    from pyarrow import fs
-
-    return (fs.LocalFileSystem(), unquote(uri[7:])) if uri.startswith("file://") else fs.FileSystem.from_uri(uri)
-
-
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``, whatever its name: (path relative to root, length).
-
-    Spark's own listing leaves out names that begin with a dot or an underscore.  The
-    driver lists one level; a task walks each folder of it.
-    """
-    from pyarrow import fs
-
-    uri = qualified(spark, root)
-    system, top = file_system(uri)
-    first = system.get_file_info(fs.FileSelector(top))
-    entries = [(i.path[len(top) + 1 :], i.size if i.is_file else None) for i in first]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, top = file_system(uri)
-        for batch in batches:
-            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
-                rows = [(path, length)]
-                if length is None:
-                    below = system.get_file_info(fs.FileSelector(f"{top}/{path}", recursive=True))
-                    rows = [(i.path[len(top) + 1 :], i.size) for i in below if i.is_file]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["path", "length"])
-
-    table = spark.createDataFrame(entries, "path string, length bigint")
-    tasks = max(1, min(len(entries), 8 * spark.sparkContext.defaultParallelism))
-    return materialize(table.repartition(tasks).mapInArrow(walk, "path string, length bigint"), "file-list")
+PIECE = 16 << 20
 
 
 def with_content(files: DataFrame, root: str) -> DataFrame:
-    """Add the bytes of each listed file; null where it is too large to load."""
+    """Add the bytes of each listed file; null where it is too large to load (``parts``
+    reads such files)."""
     spark = files.sparkSession
     uri = qualified(spark, root)
 
@@ -93,6 +49,25 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
     return files.select("path", "length").mapInArrow(load, "path string, length bigint, content binary")
 
 
+def with_hash(files: DataFrame, root: str) -> DataFrame:
+    """Add the SHA-256 of each listed file, read in pieces whatever its size."""
+    uri = qualified(files.sparkSession, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(uri)
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with system.open_input_stream(f"{top}/{path}", compression=None) as file:
+                    while piece := file.read(PIECE):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(found, pa.string())], ["path", "length", "hash"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length bigint, hash string")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: (path relative to root, length, content)."""
     cores = spark.sparkContext.defaultParallelism

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.history import safe_findings
-from ..session import materialize
-from .corpus import file_system, qualified
+from ..session import materialize, small_batches
+from .listing import file_system, qualified
 
 
 def check_apart(spark: SparkSession, output: str, input_root: str) -> None:
@@ -35,47 +35,96 @@ def write_sanitized(staged: DataFrame, output: str, input_root: str) -> None:
 WRITTEN = "path string, length bigint, sha256 string, copied boolean"
 
 
+def _written(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
+    columns = list(zip(*rows)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "length", "sha256", "copied"])
+
+
+class _Place:
+    """One file on its way: written under a name of its own, then moved, so a task that
+    runs twice leaves whole files."""
+
+    def __init__(self, system, root: str, path: str):
+        self.system, self.path, self.place = system, path, f"{root}/{path}"
+        folder = self.place.rpartition("/")[0]
+        system.create_dir(folder, recursive=True)
+        self.part = f"{folder}/.{uuid.uuid4().hex}.part"
+        self.digest, self.length = hashlib.sha256(), 0
+        self.out = system.open_output_stream(self.part, compression=None)
+
+    def write(self, body: bytes) -> None:
+        self.out.write(body)
+        self.digest.update(body)
+        self.length += len(body)
+
+    def done(self, copied: bool) -> tuple:
+        self.out.close()
+        self.system.move(self.part, self.place)
+        return self.path, self.length, self.digest.hexdigest(), copied
+
+    def drop(self) -> None:
+        self.out.close()
+        self.system.delete_file(self.part)
+
+
 def write_tree(staged: DataFrame, output: str, input_root: str) -> DataFrame:
     """Write every file of (path, text, copied, content) to its place below ``output``.
 
-    Copied files keep their bytes; one that was too large to load is copied from the
-    input in pieces.  A file is written under a name of its own and then moved, so a
-    task that runs twice leaves whole files.  Returns (path, length, sha256, copied).
+    Copied files keep their bytes; one that was not loaded is copied from the input in
+    pieces.  Files that come in parts (``part`` of ``parts``) are put together by one
+    task each, a part at a time.  Returns (path, length, sha256, copied).
     """
     spark = staged.sparkSession
     check_apart(spark, output, input_root)
     target, source = qualified(spark, output), qualified(spark, input_root)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_system, out_root = file_system(target)
         in_system, in_root = file_system(source)
         for batch in batches:
             done = []
-            for row in batch.to_pylist():
-                place = f"{out_root}/{row['path']}"
-                folder = place.rpartition("/")[0]
-                out_system.create_dir(folder, recursive=True)
-                part = f"{folder}/.{uuid.uuid4().hex}.part"
-                digest, length = hashlib.sha256(), 0
-                with out_system.open_output_stream(part, compression=None) as out:
-                    if row["copied"] and row["content"] is None:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                file = _Place(out_system, out_root, row["path"])
+                try:
+                    if not row["copied"]:
+                        file.write((row["text"] or "").encode())
+                    elif row["content"] is not None:
+                        file.write(row["content"])
+                    else:
                         with in_system.open_input_stream(f"{in_root}/{row['path']}", compression=None) as big:
                             while piece := big.read(16 << 20):
-                                out.write(piece)
-                                digest.update(piece)
-                                length += len(piece)
-                    else:
-                        body = row["content"] if row["copied"] else (row["text"] or "").encode()
-                        out.write(body)
-                        digest.update(body)
-                        length = len(body)
-                out_system.move(part, place)
-                done.append((row["path"], length, digest.hexdigest(), row["copied"]))
-            columns = list(zip(*done)) or [[], [], [], []]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "length", "sha256", "copied"])
-
-    return materialize(staged.select("path", "text", "copied", "content").mapInArrow(run, WRITTEN), "written-files")
+                                file.write(piece)
+                except BaseException:
+                    file.drop()
+                    raise
+                done.append(file.done(row["copied"]))
+            yield _written(done)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(target)
+        file = None
+        try:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    path, text, last = (batch.column(c)[i].as_py() for c in ("path", "text", "last"))
+                    file = file or _Place(system, root, path)
+                    file.write((text or "").encode())
+                    if last:
+                        file, made = None, file.done(False)
+                        yield _written([made])
+        finally:
+            if file is not None:
+                file.drop()
+
+    columns = ["path", "text", "copied", "content"]
+    if "parts" not in staged.columns:
+        return materialize(staged.select(columns).mapInArrow(whole, WRITTEN), "written-files")
+    with small_batches(spark):
+        cut = staged.where("parts > 1").selectExpr("path", "part", "text", "part = parts - 1 as last")
+        cut = cut.repartition("path").sortWithinPartitions("path", "part").mapInArrow(together, WRITTEN)
+        return materialize(staged.where("parts = 1").select(columns).mapInArrow(whole, WRITTEN).unionByName(cut), "written-files")
 
 
 def record_scan(findings: DataFrame, folder: str, project_id: int, scan_id: int, scanned_at: str) -> None:

@@ -12,7 +12,7 @@ from maskwright.plans.project import scan_project
 from maskwright.plans.scan import scan_findings
 from maskwright.rules import ValueRule, default_rules, load_rules
 from maskwright.session import shared_folder
-from maskwright.sources import corpus
+from maskwright.sources import parts
 
 FILES = {
     "app.ini": b"password=one\r\nhost=h\r\n",
@@ -65,16 +65,18 @@ def test_changed_and_excluded(spark, tree):
 
 @pytest.mark.parametrize("context", [mask_context, token_context])
 def test_tree_is_complete_and_copies_keep_their_bytes(spark, tree, context, monkeypatch):
-    monkeypatch.setattr(corpus, "LARGEST_CELL", 11)  # a file beyond is copied without being loaded
+    monkeypatch.setattr(parts, "PART_BYTES", 11)  # files beyond come in parts, and are redacted all the same
     root = f"file:{tree}/x/../in/"
     done = scan_project(spark, root, str(tree / "table"), context(), tree=str(tree / "copy"))
     there = {str(p.relative_to(tree / "copy")): p.read_bytes() for p in (tree / "copy").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
     assert set(there) == set(FILES) - {"node_modules/x.ini"}
-    for name in ("logo.png", "raw.bin", "it's a name/%41 b.dat", "app.ini", "src/a.py"):
+    for name in ("logo.png", "raw.bin", "it's a name/%41 b.dat"):
         assert there[name] == FILES[name], name
     assert there[".github/_x.yml"] == b"a: b\n" and there["pkg/__init__.py"] == b""
+    for name in (".env", "app.ini", "src/a.py", "src/keep/b.py", "bad.yaml"):
+        assert not any(v in there[name] for v in (b"one", b"two", b"four", b"ab")), name
     reasons = {r.path: r.reason for r in done.coverage.collect()}
-    assert reasons["raw.bin"] == reasons[".env"] == "not_loaded" and reasons["logo.png"] == "binary"
+    assert reasons["raw.bin"] == reasons["logo.png"] == "binary" and reasons[".env"] is None and len(reasons) == len(there)
     assert {r.path: r.sha256 for r in done.written.collect()} == {n: hashlib.sha256(b).hexdigest() for n, b in there.items()}
 
 
