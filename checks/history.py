@@ -11,6 +11,7 @@ from maskwright.operators import ignores as ign
 from maskwright.operators.hits import findings
 from maskwright.operators.shapes import detect_shapes
 from maskwright.plans import staging
+from maskwright.plans.publish import History
 from maskwright.plans.scan import scan, scan_findings
 from maskwright.session import materialize, new_folder
 
@@ -240,3 +241,49 @@ _SHAPE_FOUND = f"({duck.shape_findings(duck.TEXT_LINES)})"
 def findings_rollup(spark, folder):
     found = findings(detect_shapes(text_lines(spark, folder), MASKED), "path")
     return history.findings_rollup(found.withColumnRenamed("path", "file"))
+
+
+_STORED = (
+    "(select user_id % 50 as project_id, event_id as id, 'f' || cast(user_id as varchar) as file, case when user_id % 3 = 0 then cast(null as varchar) else event_type end as key,"
+    " event_type as rule, md5(props) as value_hash, ts as created_at from events)"
+)
+
+
+@query(
+    "stored_history",
+    f"""select 'ignores' as name, project_id, cast(count(*) as bigint) as n, cast(sum(id) as bigint) as ids from (
+  select *, row_number() over (partition by project_id, file, key, rule order by created_at desc, value_hash desc, id desc) as i from {_STORED})
+  where i = 1 and id % 5 <> 0 and project_id <> 3 group by project_id
+ union all select 'scans', project_id, count(*), sum(scan_id) from {duck.SCANS} where project_id <> 3 group by project_id
+ union all select 'findings', project_id, count(*), sum(scan_id) from (select * from {duck.SCANS} order by ts desc, scan_id desc limit {fv.RETAINED_SCANS})
+  where project_id <> 3 group by project_id""",
+)
+def stored_history(spark, folder):
+    """Inserts, replacements, removals, retention and the deletion of a project, each a
+    change of a stored table that is read back; a change that fails leaves nothing."""
+    past = History(spark, new_folder(spark, "history"))
+    scans = carrier(spark, folder, carriers.SCANS)
+    events = table(spark, folder, "events")
+    rows = spark.sql(
+        "select user_id % 50 as project_id, event_id as id, concat('f', user_id) as file, if(user_id % 3 = 0, null, event_type) as key,"
+        " event_type as rule, md5(props) as value_hash, ts as created_at from {events}", events=events,
+    )
+    with past.store.change() as change:
+        past.append(change, "scans", scans)
+        past.append(change, "findings", scans.selectExpr("project_id", "scan_id", "'f' as file", "1 as line", "'k' as key", "'r' as rule", "false as changed"))
+    past.upsert_ignores(rows.where("id % 3 <> 0"))
+    past.upsert_ignores(rows.where("id % 3 = 0"))
+    past.remove_ignores(rows.where("id % 5 = 0").select("project_id", "id"))
+    past.retain()
+    try:
+        past.upsert_ignores(rows.withColumn("value_hash", F.expr("raise_error('a writer fails')")))
+        raise AssertionError("the failing writer did not fail")
+    except Exception as error:
+        if "a writer fails" not in str(error):
+            raise
+    past.drop_project(3)
+    counts = [
+        past.read(t).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("ids")).selectExpr(f"'{t}' as name", "project_id", "n", "ids")
+        for t, c in (("ignores", "id"), ("scans", "scan_id"), ("findings", "scan_id"))
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -12,6 +12,7 @@ from maskwright import fixed_values as fv
 from maskwright.operators import paths
 from maskwright.operators.hits import mask_context
 from maskwright.plans.project import scan_project
+from maskwright.plans.publish import WRITTEN, publish_project
 from maskwright.plans.scan import scan_findings
 from maskwright.rules import load_rules
 from maskwright.session import new_folder
@@ -168,3 +169,28 @@ def files_in_parts(spark, folder):
 def tree_in_parts(spark, folder):
     """Their parts are put together again: nothing is passed on unredacted for its size."""
     return _logs(spark, folder).written.select("path", "sha256")
+
+
+@query(
+    "published_run",
+    f"select 'n' || s_suppkey || '.ini' as path, sha256('password={fv.MASK}' || chr(10) || 'note: ' || s_name || chr(10)) as sha256, 1 as runs from supplier",
+)
+def published_run(spark, folder):
+    """The files that a published run lists, after a later run that failed."""
+    rows = table(spark, folder, "supplier").selectExpr(
+        "concat('n', s_suppkey, '.ini') as path", "cast(null as string) as text", "true as copied",
+        "encode(concat('password=pw', s_suppkey, '\n', 'note: ', s_name, '\n'), 'UTF-8') as content",
+    )
+    root, out, target = (new_folder(spark, x) for x in ("in-run", "out-run", "target"))
+    sinks.write_tree(rows, root, out)
+    store = publish_project(spark, root, target, MASKED)
+    try:
+        publish_project(spark, root, target, MASKED, ignores=spark.sql(
+            "select 'x' as file, 'k' as key, 'r' as rule, raise_error('a task fails') as value_hash"
+        ))
+        raise AssertionError("the failing run did not fail")
+    except Exception as error:
+        if "a task fails" not in str(error):
+            raise
+    runs = len(store.versions())
+    return store.read("written", WRITTEN).select("path", "sha256", F.lit(runs).alias("runs"))

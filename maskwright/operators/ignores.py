@@ -63,6 +63,16 @@ def upsert_ignore(ignores: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def upsert_by_project(ignores: DataFrame, new: DataFrame) -> DataFrame:
+    """The same for lists of many projects, whose entries also have an id."""
+    place = ["project_id", *TRIPLE]
+    latest = F.max_by(F.struct("id", "value_hash", "created_at"), F.struct("created_at", F.coalesce("value_hash", F.lit("")), "id"))
+    return (
+        ignores.unionByName(new).groupBy(*place).agg(latest.alias("e"))
+        .select("project_id", "e.id", *TRIPLE, "e.value_hash", "e.created_at")
+    )
+
+
 def remove_ignore(ignores: DataFrame, ids: DataFrame) -> DataFrame:
     return ignores.join(ids, "id", "left_anti")
 

@@ -42,9 +42,9 @@ def select_files(listed: DataFrame, input_root: str, excluded: DataFrame | None,
     return chosen
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
+def _kept(df: DataFrame, label: str, results: str | None) -> DataFrame:
     """Stored for the caller, also after the scratch tables are gone."""
-    folder = new_folder(df.sparkSession, label)
+    folder = f"{results}/{label}" if results else new_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -52,12 +52,13 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
 def scan_project(
     spark: SparkSession, input_root: str, output: str, ctx: Context, *, ignores: DataFrame | None = None,
     excluded: DataFrame | None = None, manifest: DataFrame | None = None, changed_only: bool = False, tree: str | None = None,
-    part_bytes: int = 0,
+    part_bytes: int = 0, results: str | None = None,
 ) -> ProjectScan:
     """Scan a tree and write its sanitized copy, as a table and (to ``tree``) as files.
 
     Every file is read and scanned once, one larger than ``part_bytes`` (default
-    ``parts.PART_BYTES``) in parts.  With ``changed_only`` the output holds only the
+    ``parts.PART_BYTES``) in parts.  Findings, coverage, the list of written files and the
+    tokens are stored below ``results`` (default: the shared folder).  With ``changed_only`` the output holds only the
     files that changed, so it is partial and no full copy of the tree.
     """
     with scratch(spark):
@@ -66,10 +67,10 @@ def scan_project(
         scanned = scan_once(files, ctx, ignores)
         done = sanitized(scanned, ctx.tokens)
         write_sanitized(done.files, output, input_root)
-        written = _kept(write_tree(done.files, tree, input_root), "written") if tree else None
-        found = _kept(done.findings.drop("value", "after", "uses"), "findings")
-        covered = _kept(scanned.where("part = 0").selectExpr("path", "kind", "reason", paths.STATUS), "coverage")
-        numbers = _kept(done.tokens, "tokens") if done.tokens is not None else None
+        written = _kept(write_tree(done.files, tree, input_root), "written", results) if tree else None
+        found = _kept(done.findings.drop("value", "after", "uses"), "findings", results)
+        covered = _kept(scanned.where("part = 0").selectExpr("path", "kind", "reason", paths.STATUS), "coverage", results)
+        numbers = _kept(done.tokens, "tokens", results) if done.tokens is not None else None
     return ProjectScan(
         Sanitized(spark.read.parquet(output), found, numbers), covered, scan_summary(found, covered, partial=changed_only), written
     )
