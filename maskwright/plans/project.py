@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import paths
 from ..operators.history import scan_summary
 from ..operators.hits import Context
-from ..session import materialize, new_folder, scratch
+from ..session import kept, materialize, scratch
 from .. import fixed_values as fv
 from ..sources.corpus import decode_text, with_hash
 from ..sources.listing import list_tree
@@ -42,13 +42,6 @@ def select_files(listed: DataFrame, input_root: str, excluded: DataFrame | None,
     return chosen
 
 
-def _kept(df: DataFrame, label: str, results: str | None) -> DataFrame:
-    """Stored for the caller, also after the scratch tables are gone."""
-    folder = f"{results}/{label}" if results else new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def scan_project(
     spark: SparkSession, input_root: str, output: str, ctx: Context, *, ignores: DataFrame | None = None,
     excluded: DataFrame | None = None, manifest: DataFrame | None = None, changed_only: bool = False, tree: str | None = None,
@@ -67,10 +60,10 @@ def scan_project(
         scanned = scan_once(files, ctx, ignores)
         done = sanitized(scanned, ctx.tokens)
         write_sanitized(done.files, output, input_root)
-        written = _kept(write_tree(done.files, tree, input_root), "written", results) if tree else None
-        found = _kept(done.findings.drop("value", "after", "uses"), "findings", results)
-        covered = _kept(scanned.where("part = 0").selectExpr("path", "kind", "reason", paths.STATUS), "coverage", results)
-        numbers = _kept(done.tokens, "tokens", results) if done.tokens is not None else None
+        written = kept(write_tree(done.files, tree, input_root), "written", results) if tree else None
+        found = kept(done.findings.drop("value", "after", "uses"), "findings", results)
+        covered = kept(scanned.where("part = 0").selectExpr("path", "kind", "reason", paths.STATUS), "coverage", results)
+        numbers = kept(done.tokens, "tokens", results) if done.tokens is not None else None
     return ProjectScan(
         Sanitized(spark.read.parquet(output), found, numbers), covered, scan_summary(found, covered, partial=changed_only), written
     )

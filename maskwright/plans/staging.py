@@ -7,12 +7,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import ignores as ign
 from ..operators import paths
 from ..operators import tokens as tok
 from ..operators.hits import Context, findings
 from ..rules import rule_state
-from ..session import materialize, new_folder
+from ..session import kept, materialize, new_folder, scratch
 from ..sources.sinks import check_apart
 from .scan import sanitize_masked, scan
 
@@ -65,10 +66,14 @@ def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -
     """Sanitize a corpus, leaving ignored findings as they are.
 
     Mask mode is lazy, one pass over the rows without any exchange for either result.
-    Token mode stores the scan and works from that.
+    Token mode scans once and stores its results; the scan itself, which holds values,
+    is deleted, and so findings have ``value_hash`` in place of values.
     """
     if ctx.tokens:
-        return sanitized(scan_once(files, ctx, ignores), True)
+        with scratch(files.sparkSession):
+            done = sanitized(scan_once(files, ctx, ignores), True)
+            safe = done.findings.withColumn("value_hash", F.expr(tx.value_hash("value"))).drop("value", "uses")
+            return Sanitized(kept(done.files, "sanitized"), kept(safe, "findings"), kept(done.tokens, "tokens"))
     if ignores is not None:
         files, ctx = ign.attach(files, ignores), replace(ctx, ignores="ignores")
     return Sanitized(sanitize_masked(files, ctx), findings(scan(files, ctx), "path"))
@@ -120,7 +125,9 @@ def stage(
     target is not touched."""
     chosen = paths.exclude(files, excluded)
     folder = new_folder(spark, "stage")
-    sanitize(chosen, ctx, ignores).files.write.parquet(folder)
+    with scratch(spark):
+        done = sanitized(scan_once(chosen, ctx, ignores), True) if ctx.tokens else sanitize(chosen, ctx, ignores)
+        done.files.write.parquet(folder)
     return Stage(folder, materialize(state_of(ignores, excluded, ctx), "state"), unredacted_by_ignores(chosen, ignores, ctx), input_root)
 
 

@@ -91,3 +91,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     folder = scratch_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def kept(df: DataFrame, label: str, below: str | None = None) -> DataFrame:
+    """Stored for the caller (below a folder of theirs, if they name one), also after
+    the scratch tables that it was made from are gone."""
+    folder = f"{below}/{label}" if below else new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

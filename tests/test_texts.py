@@ -1,8 +1,11 @@
 """Detectors that look at a whole text, and whole scans."""
 
+import hashlib
 import re
 from dataclasses import replace
+from pathlib import Path
 
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from maskwright.operators.paths import QUICK
 from maskwright.plans import staging
 from maskwright.plans.scan import scan, scan_findings
 from maskwright.rules import default_rules
-from maskwright.session import new_folder
+from maskwright.session import new_folder, shared_folder
 from maskwright.sources.sinks import write_sanitized
 
 MASK = fv.MASK
@@ -120,7 +123,28 @@ def test_nested_values_get_one_token_in_either_order(files):
     out = {r.path: r.text for r in done.files.collect()}
     # ipv4 first, then the URL around its token
     assert out == {"d1/.env": "go to <URL_2> now\n", "d2/.env": "go to <URL_4> now\n", "e/.env": "go to <URL_2> now\n"}
-    assert {(f.rule, f.value) for f in done.findings.collect()} >= {("generic_url", "http://<URL_1>/x"), ("ipv4_address", "10.0.0.2")}
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    assert {(f.rule, f.value_hash) for f in done.findings.collect()} >= {("generic_url", sha("http://<URL_1>/x")), ("ipv4_address", sha("10.0.0.2"))}
+
+
+def test_values_do_not_outlive_a_run(spark, files):
+    """Not in sanitized files, previews, applied previews or anything else in the shared
+    folder, however it is compressed."""
+    value = "kq7Zp0vW3xYt9LmN"
+    corpus = files({"a.ini": f"password={value}\n", "b.log": f"AKIA{value.upper()}\n"})
+    none = spark.createDataFrame([], "file string, key string, rule string, value_hash string"), spark.createDataFrame([], "path string")
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(root.rglob("*.parquet"))
+    for ctx in (token_context(), mask_context()):
+        done = staging.sanitize(corpus, ctx)
+        done.files.count(), done.findings.count()
+        staged = staging.stage(spark, corpus, *none, ctx)
+        staging.apply_stage(spark, staged, staging.state_of(*none, ctx), new_folder(spark, "applied"))
+    new = set(root.rglob("*.parquet")) - before
+    assert new
+    for file in new:
+        rows = str(pyarrow.parquet.read_table(file, partitioning=None).to_pylist())
+        assert value not in rows and value.upper() not in rows, file
 
 
 def test_many_values_on_one_line_get_their_own_tokens(files):
