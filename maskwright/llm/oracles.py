@@ -8,7 +8,10 @@ def _span_rows(kind: str, part: str, pattern: str, group: int, least: int, rank:
     p = pattern.replace("'", "''")
     good = f"length(v[i]) >= {least}"
     if kind == "run":
-        good += " and regexp_matches(v[i], '[0-9]') and regexp_matches(v[i], '[A-Z]') and regexp_matches(v[i], '[a-z]')"
+        good += (
+            " and regexp_matches(v[i], '[0-9]') and regexp_matches(v[i], '[A-Za-z]')"
+            " and (not regexp_matches(v[i], '[_-]') or regexp_matches(v[i], '[A-Z]') and regexp_matches(v[i], '[a-z]'))"
+        )
     return f"""select doc_id, '{kind}' as kind, '{part}' as part, {rank} as rank, t, s, s + length(f[i]) as e from (
         select *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) as s
         from (select *, unnest(range(1, len(f) + 1)) as i from (
@@ -27,7 +30,8 @@ def secrets_sql() -> str:
     with d as (select doc_id, coalesce(text, '') as t from documents),
     strong as materialized ({union(STRONG)}), weak0 as materialized ({union(WEAK)}), blanks as materialized ({blank}),
     weak as (select * from weak0 w where not exists (
-        select 1 from strong s where s.doc_id = w.doc_id and s.s < w.e and w.s < s.e)),
+        select 1 from strong s where s.doc_id = w.doc_id and s.s < w.e and w.s < s.e)
+        and not (w.kind = 'run' and exists (select 1 from weak0 i where i.kind = 'id' and i.doc_id = w.doc_id and i.s < w.e and w.s < i.e))),
     parts as materialized (select x.doc_id, kind, part, rank, s, e, (select count(*) from blanks b where b.doc_id = x.doc_id and b.s < x.s) as scope
         from (select * from strong union all select * from weak) x),
     linked as (select * from parts w where kind in ('id', 'run', 'endpoint') and case part

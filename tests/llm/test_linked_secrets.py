@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -70,3 +72,43 @@ def test_many_parts_in_one_text(spark):
 def test_no_python_in_the_plan(spark, table, odd_rows):
     for df in (s.scan(table(odd_rows)), s.masked_documents(table(odd_rows))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+@pytest.mark.parametrize("secret", ["0A1B2C3D4E5F6071", "MZXW6YTBOI2DGNBVGY3TQOJQ", "k3j9x0q8w7e6r5t4", "aB-3_dE5fG7hI9jK1lM", "Zm9vYmFyMTIzNDU2Nzg=", "aB3" * 12])
+def test_forms_of_weak_secrets(spark, secret):
+    near, alone, words = spans(spark, f"client_id: web-1\nkey {secret} end", f"key {secret} end", "user: bob some-article-2024-title internationalization")
+    assert near == [("id", "client_id: web-1"), ("run", secret)] and alone == [] and words == []
+
+
+def test_a_run_in_an_id_is_no_second_part(spark):
+    assert spans(spark, "user=alice1234567890123 and nothing else") == [[]]
+
+
+def test_time_is_in_proportion_to_the_matches(spark):
+    """40,000 lines took minutes when places were found by scanning from the start."""
+    lines = 40_000
+    text = "".join(f"token=abcdef{i % 10} é user=u{i % 10}x\n" + ("\n" if i % 50 == 0 else "") for i in range(lines))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    start = time.time()
+    row = s.scan(docs).first()
+    assert len(row.strong) == lines and len(row.spans) == 2 * lines
+    assert all(text[x.start : x.end].startswith(("token=abcdef", "user=u")) for x in row.spans)
+    out = s.masked_documents(docs).first().text
+    assert out == "".join("[SECRET] é [SECRET]\n" + ("\n" if i % 50 == 0 else "") for i in range(lines))
+    assert time.time() - start < 60
+
+
+def test_masks_at_the_edges_of_pieces(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        text = "".join(rng.choice("ab é🎉\n") for _ in range(rng.randrange(1, 2000)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(40))
+        found = sorted((a, min(len(text), a + rng.randrange(1, 700))) for a in cuts if a < len(text))
+        spans_ = [(a, 0, b, "x") for a, b in found]
+        df = spark.createDataFrame([(text, spans_)], f"text string, spans {s.SPAN}")
+        want, at = "", 0
+        for a, b in found:
+            if a >= at:
+                want += text[at:a] + "#"
+            at = max(at, b)
+        assert df.select(s.masked(df.text, df.spans, "#")).first()[0] == want + text[at:]
