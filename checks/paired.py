@@ -160,7 +160,41 @@ def holm_adjusted(spark, folder):
     return rounded(tests.select("dimension", "p_value", "holm_p"), "p_value", "holm_p", digits=6)
 
 
-# Every resample drawn pair by pair; the Spark side draws order statistics.
+_X = f"((({fv.BOOTSTRAP_SEED} * 1000003 + stream * 7919 + rep * 48271 + 12345) % {paired.DRAWS})::bigint)"
+for _shift, _factor in ((16, 48271), (13, 69621), (15, 16807)):
+    _X = f"list_transform([{_X}], lambda v: (xor(v, v >> {_shift}) * {_factor}) % {paired.DRAWS})[1]"
+_TAIL = (
+    "case when {x} <= 0 then 0 when {x} >= 1 then 1 else list_sum(list_transform(range(k, n + 1), lambda i:"
+    " exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({x}) + (n - i) * ln(1 - {x})))) end"
+)
+_FIRST = "case when {x} <= 0 then 0 else exp(lgamma(a.n + 1) / 2 - lgamma(a.k + 1) + a.k * ln({x})) end"
+_MEDIANS = f"""
+ hist as (select dimension, delta as v, count(*) as c from {LONG} group by all),
+ steps as (select dimension, v, row_number() over w as j, (sum(c) over w)::bigint as upto, (sum(c) over (partition by dimension))::bigint as n from hist window w as (partition by dimension order by v)),
+ shares as (select *, (n + 1) // 2 as k, upto / n as hi, coalesce(lag(upto) over (partition by dimension order by j), 0) / n as lo from steps),
+ tails as materialized (select *, {_TAIL.format(x='hi')} - {_TAIL.format(x='lo')} as own from shares),
+ apart as (select a.dimension, a.j as i, b.j as j, (a.v + b.v) / 2 as median,
+   ({_FIRST.format(x='a.hi')} - {_FIRST.format(x='a.lo')}) * ({_FIRST.format(x='(1 - b.lo)')} - {_FIRST.format(x='(1 - b.hi)')}) as p
+   from tails a join tails b on b.dimension = a.dimension and b.j > a.j and a.n % 2 = 0),
+ law as (select dimension, i, j, median, p from apart union all
+   select t.dimension, t.j, t.j, t.v, greatest(0, t.own - coalesce((select sum(p) from apart x where x.dimension = t.dimension and x.i = t.j), 0)) from tails t),
+ upto as materialized (select *, case when row_number() over (partition by dimension order by i desc, j desc) = 1 then {paired.DRAWS}
+   else floor(sum(p) over (partition by dimension order by i, j) * {paired.DRAWS}) end as t from law),
+ draws as (select dimension, n_pairs, rep, {_X} as draw from (select dimension, max(n) as n_pairs, list_position([{', '.join(f"'{d}'" for d in DIMS)}], dimension) as stream from steps group by all),
+   range(0, {fv.BOOTSTRAP_RESAMPLES}) r(rep))"""
+
+
+@query(
+    "bootstrap_draws",
+    f"with {_MEDIANS} select d.dimension, d.n_pairs, d.rep, min_by(u.median, u.t + u.i / 1000.0 + u.j / 1000000.0) as median"
+    " from draws d join upto u on u.dimension = d.dimension and u.t >= d.draw group by all",
+)
+def bootstrap_draws(spark, folder):
+    """The median of every single resample."""
+    return paired.bootstrap_medians(paired.delta_counts(deltas(spark, folder))).withColumn("rep", F.col("rep").cast("bigint"))
+
+
+# Every resample drawn pair by pair; the Spark side draws medians by their law.
 _BOOT = f"""(select dimension, max(n) as n_pairs, quantile_cont(med, 0.025) as ci_lower, quantile_cont(med, 0.975) as ci_upper from
  (select d.dimension, d.n, rep, median(d.ds[1 + (cast('0x' || substr(md5(cast(rep as varchar) || '_' || cast(i as varchar) || d.dimension), 1, 8) as bigint) % d.n)]) as med
   from (select dimension, count(*) as n, list(delta order by {KEYS}) as ds from {LONG} group by all) d, range(0, {fv.BOOTSTRAP_RESAMPLES}) r(rep), range(0, (select count(*) from {DELTAS})) s(i)

@@ -13,11 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .. import fixed_values as fv
-from ..functions.text import q
+from ..functions.text import Sql, let, q
 
 PAIR_KEYS = ("language", "file", "task")
 DIMS = tuple(fv.DIMENSIONS)
@@ -142,8 +142,28 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or np.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
-#: Sign assignments double with every pair.
-MOST_EXACT = 25
+@F.pandas_udf(DoubleType())
+def exact_two_sided(sizes: pd.Series, statistic: pd.Series) -> pd.Series:
+    """P(the smaller rank sum is at most ``statistic``) over all sign assignments; runs on
+    one row per test.  ``sizes`` has the doubled ranks, which are whole, with their ties.
+
+    The law of the rank sum is built rank by rank: with each, half of the probability
+    moves up by it.  Only sums up to the statistic count, so that is all that is kept."""
+
+    def p(sizes, statistic):
+        if sizes is None or statistic is None or np.isnan(statistic):
+            return None
+        law = np.zeros(round(2 * statistic) + 1)
+        law[0] = 1.0
+        for size in sizes:
+            rank = int(size["rank"])
+            for _ in range(int(size["ties"])):
+                moved = law[: max(0, len(law) - rank)] / 2
+                law /= 2
+                law[rank:] += moved
+        return min(1.0, 2 * float(law.sum()))
+
+    return pd.Series([p(*x) for x in zip(sizes, statistic)], dtype="object").astype("Float64")
 
 
 def wilcoxon(counts: DataFrame, *by: str, method: str = "published") -> DataFrame:
@@ -151,11 +171,11 @@ def wilcoxon(counts: DataFrame, *by: str, method: str = "published") -> DataFram
 
     Zeros are dropped; ties get average ranks and correct the variance; there is
     no continuity correction.  ``method`` is ``normal``, ``exact`` (over all sign
-    assignments, for up to 25 non-zero pairs; null beyond) or ``published``, the rule of
-    the published analysis: exact up to 13 pairs, else normal.  Without a
-    non-zero delta the test is degenerate: null.
+    assignments; time grows with the cube of the number of non-zero pairs) or
+    ``published``, the rule of the published analysis: exact up to 13 pairs, else normal.
+    Without a non-zero delta the test is degenerate: null.
     """
-    most_exact = {"published": fv.EXACT_TEST_MAX_PAIRS, "exact": MOST_EXACT, "normal": 0}[method]
+    exact = {"published": f"n_pairs <= {fv.EXACT_TEST_MAX_PAIRS}", "exact": "true", "normal": "false"}[method]
     keys = [*by, "dimension"]
     ranks = rank_table(counts, *by)
     signed = counts.where("delta <> 0").withColumn("size", F.abs("delta")).join(ranks, [*keys, "size"])
@@ -166,26 +186,18 @@ def wilcoxon(counts: DataFrame, *by: str, method: str = "published") -> DataFram
     )
     ties = ranks.groupBy(*keys).agg(
         F.sum(F.expr("cast(ties as double) * ties * ties - ties")).alias("tie_term"),
-        F.flatten(F.collect_list(F.expr(
-            f"if(ties <= {most_exact}, array_repeat(avg_rank, cast(ties as int)), array())"
-        ))).alias("rank_list"),
+        # one entry per size of a delta
+        F.array_sort(F.collect_list(F.expr("named_struct('rank', cast(2 * avg_rank as bigint), 'ties', ties)"))).alias("sizes"),
     )
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_pairs"))
-    below = (
-        "size(filter(sequence(0, cast(shiftleft(1, cast(n_nonzero as int)) as int) - 1), m -> aggregate(transform(rank_list,"
-        " (r, i) -> if((shiftright(m, i) & 1) = 1, r, 0D)), 0D, (a, x) -> a + x) <= statistic))"
-    )
-    exact = f"least(1D, 2 * {below} / shiftleft(1, cast(n_nonzero as int)))"
     return (
         totals.join(sums, keys, "left").join(ties, keys, "left")
         .withColumn("statistic", F.expr("least(w_plus, w_minus)"))
         .withColumn("sd", F.expr("sqrt((cast(n_nonzero as double) * (n_nonzero + 1) * (2 * n_nonzero + 1) - tie_term / 2) / 24)"))
         .withColumn("z", F.expr("(statistic - cast(n_nonzero as double) * (n_nonzero + 1) / 4) / sd"))
         .withColumn("p_normal", normal_two_sided("z"))
-        .withColumn("p_value", F.expr(
-            f"case when n_nonzero is null then null when {'n_nonzero' if method == 'exact' else 'n_pairs'} <= {most_exact} then {exact}"
-            f" else {'null' if method == 'exact' else 'p_normal'} end"
-        ))
+        .withColumn("p_exact", exact_two_sided(F.expr(f"if({exact}, sizes, null)"), "statistic"))
+        .withColumn("p_value", F.expr(f"if({exact}, p_exact, p_normal)"))
         .withColumn("effect", rank_biserial())
         .withColumn("n_nonzero", F.coalesce("n_nonzero", F.lit(0)))
         .select(*keys, "n_pairs", "n_nonzero", "w_plus", "w_minus", "statistic", "z", "p_value", "effect")
@@ -214,46 +226,87 @@ def holm(tests: DataFrame, *family: str) -> DataFrame:
 # ---- bootstrap -------------------------------------------------------------
 
 
-def bootstrap_median(
-    counts: DataFrame, resamples: int = fv.BOOTSTRAP_RESAMPLES, seed: int = fv.BOOTSTRAP_SEED, alpha: float = fv.ALPHA
-) -> DataFrame:
-    """Percentile interval of the median over seeded resamples.
-
-    A resample of n pairs need not be drawn pair by pair: its middle order
-    statistics are those of n uniform numbers put through the inverse
-    distribution of the deltas, and the order statistics of uniform numbers have
-    a Beta law.  So a resample costs two random numbers, whatever n is.
+#: Random numbers are remainders modulo this prime.
+DRAWS = 2147483647
+
+
+def random_draw(seed: int, stream: Sql, counter: Sql) -> Sql:
+    """A whole number below ``DRAWS`` that only depends on the three, by integer
+    arithmetic that stays below 2**63 and so is the same in every engine."""
+    x = f"(({seed} * 1000003 + {stream} * 7919 + {counter} * 48271L + 12345) % {DRAWS})"
+    for shift, factor in ((16, 48271), (13, 69621), (15, 16807)):
+        x = let(x, lambda v: f"((({v} ^ shiftright({v}, {shift})) * {factor}L) % {DRAWS})")
+    return x
+
+
+def _tail(n: int, k: int, share: float) -> float:
+    """P(at least k of n uniform numbers lie below ``share``)."""
+    if share <= 0 or share >= 1:
+        return float(share >= 1)
+    reach = 40 * math.sqrt(n) + 40  # terms beyond are nothing
+    low, high = max(k, math.floor(n * share - reach)), min(n, math.ceil(n * share + reach))
+    whole, a, b = math.lgamma(n + 1), math.log(share), math.log1p(-share)
+    return min(1.0, math.fsum(math.exp(whole - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * a + (n - i) * b) for i in range(low, high + 1)))
+
+
+def median_law(deltas: list[int], upto: list[int]) -> list[tuple[int, float]]:
+    """The medians that a resample of the pairs can have, each with the number that a
+    draw must not exceed.  ``upto`` counts the pairs at or below each delta.
+
+    The median of n resampled pairs is the delta at the middle order statistic of n
+    uniform numbers (for even n, the mean of two), so its law is a binomial one."""
+    n, share = upto[-1], [0.0, *(u / upto[-1] for u in upto)]
+    k, m = (n + 1) // 2, len(deltas)
+    tails = [_tail(n, k, x) for x in share]
+    law, total = [], 0.0
+    for i in range(m):
+        apart = []
+        if n % 2 == 0:
+            ways = math.lgamma(n + 1) - 2 * math.lgamma(k + 1)
+            # the k-th number in step i, the next one in step j
+            first = lambda x: math.exp(ways / 2 + k * math.log(x)) if x > 0 else 0.0
+            here = first(share[i + 1]) - first(share[i])
+            apart = [here * (first(1 - share[j]) - first(1 - share[j + 1])) for j in range(i + 1, m)]
+        same = max(0.0, tails[i + 1] - tails[i] - math.fsum(apart))
+        for j, p in zip(range(i, m), [same, *apart]):
+            total += p
+            law.append(((deltas[i] + deltas[j]) / 2, math.floor(total * DRAWS)))
+    law[-1] = (law[-1][0], DRAWS)
+    return law
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("median", DoubleType()), StructField("upto", LongType())])))
+def _median_laws(steps: pd.Series) -> pd.Series:
+    """One row per dimension."""
+    laws = [median_law([int(x["delta"]) for x in s], [int(x["upto"]) for x in s]) for s in steps]
+    return pd.Series([[{"median": m, "upto": t} for m, t in law] for law in laws])
+
+
+def bootstrap_medians(counts: DataFrame, resamples: int = fv.BOOTSTRAP_RESAMPLES, seed: int = fv.BOOTSTRAP_SEED) -> DataFrame:
+    """(dimension, n_pairs, rep, median): the median of every resample.
+
+    A resample of n pairs need not be drawn pair by pair: a draw picks one of the few
+    medians that are possible, with its exact probability, whatever n is.
     """
-    spark = counts.sparkSession
     upto = Window.partitionBy("dimension").orderBy("delta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row per dimension with its few values and their cumulated counts
     table = (
         counts.withColumn("upto", F.sum("n").over(upto)).groupBy("dimension")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("upto", "delta"))).alias("steps"), F.sum("n").alias("n_pairs"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("upto", "delta"))).alias("steps"), F.sum("n").alias("n_pairs"))
+        .withColumn("law", _median_laws("steps"))
     )
-
-    def draw(batches):
-        for batch in batches:
-            lows, highs = [], []
-            for rep, n, name in zip(batch["rep"], batch["n_pairs"], batch["dimension"]):
-                rng = np.random.default_rng([seed, int(rep), DIMS.index(name) if name in DIMS else 0])
-                k = (int(n) + 1) // 2
-                u = rng.beta(k, n + 1 - k)
-                # for even n the next order statistic, given this one
-                v = u if n % 2 else 1 - (1 - u) * rng.random() ** (1 / (n - k))
-                lows.append(u)
-                highs.append(v)
-            yield pd.DataFrame({"dimension": batch["dimension"], "u": lows, "v": highs})
-
-    reps = table.select("dimension", "n_pairs").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = reps.repartition("rep").mapInPandas(draw, "dimension string, u double, v double")
-    value = lambda x: f"element_at(filter(steps, s -> s.upto >= {x} * n_pairs), 1).delta"
-    medians = draws.join(F.broadcast(table), "dimension").selectExpr(
-        "dimension", "n_pairs", f"({value('u')} + {value('v')}) / 2 as median"
+    stream = f"cast(coalesce(array_position(array({', '.join(q(d) for d in DIMS)}), dimension), 0) as bigint)"
+    draws = table.select("dimension", "n_pairs", "law", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
+    return draws.withColumn("draw", F.expr(random_draw(seed, stream, "rep"))).selectExpr(
+        "dimension", "n_pairs", "rep", "element_at(filter(law, l -> l.upto >= draw), 1).median as median"
     )
-    return medians.groupBy("dimension").agg(
+
+
+def bootstrap_median(
+    counts: DataFrame, resamples: int = fv.BOOTSTRAP_RESAMPLES, seed: int = fv.BOOTSTRAP_SEED, alpha: float = fv.ALPHA
+) -> DataFrame:
+    """Percentile interval of the median over seeded resamples."""
+    return bootstrap_medians(counts, resamples, seed).groupBy("dimension").agg(
         F.max("n_pairs").alias("n_pairs"),
         F.expr(f"percentile(median, {alpha / 2})").alias("ci_lower"),
         F.expr(f"percentile(median, {1 - alpha / 2})").alias("ci_upper"),

@@ -1,6 +1,12 @@
 """Joins, windows, summaries, accuracy and statistics on small tables."""
 
+import collections
+import itertools
+import math
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +56,51 @@ def test_exact_test_for_few_pairs(spark, values, p):
     assert paired.wilcoxon(counts).first().p_value == pytest.approx(p)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_test_equals_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 13))
+    sizes, ties = np.unique(rng.integers(1, 4, n), return_counts=True)
+    ranks = np.cumsum(ties) - (ties - 1) / 2
+    signs = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
+    sums = signs @ np.repeat(ranks, ties)
+    for statistic in np.unique(np.minimum(sums, sums.max() - sums)):
+        given = pd.Series([[{"rank": int(2 * r), "ties": int(t)} for r, t in zip(ranks, ties)]])
+        assert paired.exact_two_sided.func(given, pd.Series([statistic]))[0] == pytest.approx(min(1, 2 * (sums <= statistic).mean()))
+
+
+def test_exact_test_of_many_pairs_is_fast(spark):
+    """500 pairs: no cap, close to the normal law, and for one sign only it is 2 / 2**n."""
+    start = time.time()
+    given = pd.Series([[{"rank": 2 * i, "ties": 1} for i in range(1, 501)]])
+    statistic = 500 * 501 / 4 - 1.96 * np.sqrt(500 * 501 * 1001 / 24)
+    assert paired.exact_two_sided.func(given, pd.Series([statistic]))[0] == pytest.approx(0.05, abs=0.001)
+    assert paired.exact_two_sided.func(given, pd.Series([0.0]))[0] == pytest.approx(2 / 2.0**500)
+    assert time.time() - start < 1
+    counts = spark.createDataFrame([("d", 1, 30), ("d", -1, 10)], "dimension string, delta int, n bigint")
+    below = sum(math.comb(40, i) for i in range(11)) / 2**40
+    assert paired.wilcoxon(counts, method="exact").first().p_value == pytest.approx(2 * below)
+
+
+@pytest.mark.parametrize("sample", [[-1, 0, 0, 2], [-1, 0, 2], [0, 0, 1, 1, 3, 3], [5]])
+def test_law_of_the_median_equals_enumeration(sample):
+    values, counts = np.unique(sample, return_counts=True)
+    law = paired.median_law(values.tolist(), np.cumsum(counts).tolist())
+    medians = [float(np.median(x)) for x in itertools.product(sample, repeat=len(sample))]
+    got, before = collections.Counter(), 0
+    for median, upto in law:
+        got[median] += (upto - before) / paired.DRAWS
+        before = upto
+    for median, n in collections.Counter(medians).items():
+        assert got[median] == pytest.approx(n / len(medians), abs=1e-8)
+
+
+def test_draws_are_even(spark):
+    rows = spark.range(20_000).selectExpr(f"{paired.random_draw(42, '3L', 'id')} as x").collect()
+    bins = np.bincount([r.x * 20 // paired.DRAWS for r in rows], minlength=20)
+    assert ((bins - 1000) ** 2 / 1000).sum() < 45 and len({r.x for r in rows}) > 19_990
+
+
 def test_bootstrap_equals_drawing_pair_by_pair(spark):
     values = np.array([-3] * 4 + [-1] * 9 + [0] * 3 + [1] * 15 + [2] * 2)
     for sample in (values, values[:-1]):
