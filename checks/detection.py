@@ -359,12 +359,12 @@ for _name, _lang, _ext in (
 # text lines under the name of a source file: literals first, then value shapes
 CODE_AND_TEXT = (
     f"(select path, line_no, line from {duck.CODE} union all"
-    f" select replace(path, '.txt', '.go') as path, line_no, line from {duck.TEXT_LINES} where path like '%.txt')"
+    f" select path || '.go' as path, line_no, line from {duck.TEXT_LINES})"
 )
 
 
 def code_and_text(spark, folder):
-    texts = text_lines(spark, folder).where("path like '%.txt'").withColumn("path", F.expr("replace(path, '.txt', '.go')"))
+    texts = text_lines(spark, folder).withColumn("path", F.expr("concat(path, '.go')"))
     return code_lines(spark, folder).unionByName(texts)
 
 
@@ -556,6 +556,14 @@ def findings_per_source(spark, folder):
 
 
 # text of every file after masking
+PLAIN_GO = (
+    f"(select b.path, b.text, 1 as line_no, string_split(b.text, chr(10))[1] as line from {GO_FILES} b"
+    f" where b.path not in (select path from ({duck.judged(GO_FILES, GO_CHAINS)})))"
+)
+_BLOCK_OUT = (
+    f"select path, out as text from ({MASKED_CHAINS} union all {MASKED_BLOCKS} union all"
+    f" select g.path, replace(g.text, g.line, l.out) from {PLAIN_GO} g join ({duck.code_literals(PLAIN_GO)}) l on l.path = g.path)"
+)
 TREE_OUT = " union all ".join([
     f"select path, 'top of file' || chr(10) || out || chr(10) as text from ({duck.config_findings(CONFIG_FILES)})",
     f"select path, 'top of file' || chr(10) || out || chr(10) as text from ({duck.shape_out(duck.NO_SETTING.format(duck.settings(CONFIG_FILES, True)))})",
@@ -563,10 +571,11 @@ TREE_OUT = " union all ".join([
     f" (select path, line_no, line from ({duck.settings(CONFIG_FILES)})) where path not in (select path from ({duck.config_findings(CONFIG_FILES)}))",
     f"select c.path, 'top of file' || chr(10) || coalesce(l.out, c.line) || chr(10) as text from {CODE_FILES} c left join ({duck.code_literals(CODE_FILES)}) l on l.path = c.path",
     f"select path, 'top of file' || chr(10) || out || chr(10) as text from ({duck.shape_out(OTHER_FILES, fv.FALLBACK_RULES)})",
+    f"select b.path, coalesce(o.text, b.text) as text from {duck.BLOCKS} b left join ({_BLOCK_OUT}) o on o.path = b.path",
 ])
 
 
 @query("sanitize_masked", TREE_OUT)
 def sanitize_masked(spark, folder):
-    return scan(line_files(spark, folder), MASKED).selectExpr("path", "result.out as text")
+    return scan(tree_files(spark, folder), MASKED).selectExpr("path", "result.out as text")
 

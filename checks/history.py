@@ -16,8 +16,8 @@ from maskwright.plans.scan import scan, scan_findings
 from maskwright.session import materialize, new_folder
 
 from . import carriers, duck
-from .detection import BINARY, CONFIG_FILES, MASKED, TREE_FOUND, TREE_OUT, VARIED, varied, with_bytes
-from .registry import carrier, line_files, query, table, text_lines, tree_files
+from .detection import BINARY, MASKED, TREE_FOUND, TREE_OUT, VARIED, varied, with_bytes
+from .registry import carrier, query, table, text_lines, tree_files
 from .sources import cfg_found as all_cfg_found
 
 
@@ -67,16 +67,14 @@ def newly_unredacted(spark, folder):
     return ign.newly_unredacted(found, ign.apply_ignores(found, some_ignores(found)))
 
 
-FILE_FOUND = f"(select path as file, line_no as line, key, rule, value from ({duck.config_all(CONFIG_FILES)}))"
-
-
 @query(
     "unredacted_by_ignores",
-    f"select file, key, rule from {FILE_FOUND} where strlen(file) % 3 = 0",
+    f"select distinct path as file, key, rule from ({TREE_FOUND}) where strlen(path) % 3 = 0 and not starts_with(rule, 'multiline_concat_')",
 )
 def unredacted_by_ignores(spark, folder):
-    """Configuration files scanned with and without ignores inside the scan."""
-    files = line_files(spark, folder).where(f"{paths.classify('path')} = 'config'")
+    """All kinds of files scanned with and without ignores inside the scan.  The hash of
+    a fragment is not that of the concatenation it is part of, so those stay redacted."""
+    files = tree_files(spark, folder)
     found = scan_findings(files, MASKED).withColumnRenamed("path", "file").where("octet_length(file) % 3 < 2")
     state = "if(octet_length(file) % 3 = 0, sha2(value, 256), sha2('old', 256)) as value_hash"
     ignores = materialize(found.selectExpr("file", "key", "rule", state).dropDuplicates(["file", "key", "rule"]), "ignores")
@@ -157,19 +155,32 @@ def stale_preview(spark, folder):
     return both.selectExpr("max(changed) as changed", "max(same) as same")
 
 
-@query("stage_and_apply", f"select path, text from ({TREE_OUT}) where strlen(path) % 7 <> 0 and not starts_with(path, 'tree2/')")
+_LEFT_READABLE = f"(select distinct path from ({TREE_FOUND}) where path like '%.properties' and strlen(path) % 2 = 0)"
+
+
+@query(
+    "stage_and_apply",
+    f"select o.path, case when r.path is null then o.text else f.text end as text from ({TREE_OUT}) o left join {_LEFT_READABLE} r on r.path = o.path"
+    f" left join {duck.FILES} f on f.path = o.path where strlen(o.path) % 7 <> 0 and not starts_with(o.path, 'tree2/')",
+)
 def stage_and_apply(spark, folder):
     """Preview, promote, read the target: a direct scan of the files that are not
-    excluded, singly or by folder.  Ignores for other values leave nothing readable."""
-    files = line_files(spark, folder)
+    excluded, singly or by folder.  Some ignored values are left readable, as the preview
+    said; ignores for values that are no longer there leave nothing."""
+    files = tree_files(spark, folder)
     found = scan_findings(files, MASKED).where("path like '%.properties'")
-    ignores = materialize(found.selectExpr("path as file", "key", "rule", "sha2('old', 256) as value_hash"), "ignores")
+    ignores = materialize(found.selectExpr("path as file", "key", "rule", "if(octet_length(path) % 2 = 0, sha2(value, 256), sha2('old', 256)) as value_hash"), "ignores")
     names = files.select("path")
     excluded = names.where("octet_length(path) % 7 = 0").union(spark.sql("select 'tree2' as path"))
     staged = staging.stage(spark, files, ignores, excluded, MASKED)
+    shown = staged.newly_unredacted.select("file").distinct().count()
     out = new_folder(spark, "applied")
     staging.apply_stage(spark, staged, staging.state_of(ignores, excluded, MASKED), out)
-    return spark.read.parquet(out).select("path", "text")
+    applied = spark.read.parquet(out)
+    really = applied.join(files.select("path", F.col("text").alias("was")), "path").join(ignores.selectExpr("file as path").distinct(), "path").where("text = was").count()
+    if shown != really:
+        raise AssertionError(f"the preview showed {shown} files with readable values, there are {really}")
+    return applied.select("path", "text")
 
 
 # ---- history ---------------------------------------------------------------

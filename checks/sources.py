@@ -18,7 +18,7 @@ from maskwright.sources import corpus, evaluation, sinks
 from . import carriers, duck
 from .detection import MASKED, RULES, TREE_OUT
 from .registry import (
-    carrier, cfg_lines, code_lines, doc_files, line_files, page_files, query, table, text_lines,
+    carrier, cfg_lines, code_lines, doc_files, line_files, page_files, query, table, text_lines, tree_files,
 )
 
 # ---- corpus ----------------------------------------------------------------
@@ -117,7 +117,7 @@ def lines_per_rule(spark, folder):
 )
 def sanitized_sink(spark, folder):
     out = new_folder(spark, "sanitized")
-    sinks.write_sanitized(sanitize_masked(line_files(spark, folder), MASKED), out, folder)
+    sinks.write_sanitized(sanitize_masked(tree_files(spark, folder), MASKED), out, folder)
     return spark.read.parquet(out).selectExpr("kind", "path", "md5(text) as text_hash")
 
 

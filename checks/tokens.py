@@ -13,7 +13,7 @@ from maskwright.rules import value_rule_table
 from maskwright.session import materialize
 
 from . import duck
-from .detection import CODE_FILES, CONFIG_FILES, GO_CHAINS, GO_FILES, JAVA_FILES, MASKED, OTHER_FILES, PEM_FILES, PY_FILES, RULES, TOKENS
+from .detection import CODE_FILES, CONFIG_FILES, GO_CHAINS, GO_FILES, JAVA_FILES, MASKED, OTHER_FILES, PEM_FILES, PLAIN_GO, PY_FILES, RULES, TOKENS
 from .registry import cfg_lines, code_lines, query, text_lines, tree_files
 
 
@@ -128,15 +128,12 @@ _OWN = f"{duck.identity('value')}"
 _SETTING_MARK = f"case when shape in ('xml_attr', 'xml_elem') then {xml(marker('category', _OWN))} else {marker('category', _OWN)} end"
 _FREE = duck.NO_SETTING.format(duck.settings(CONFIG_FILES, True))
 _CHAINS = [(PY_FILES, [duck.PY_CHAIN], 2), (JAVA_FILES, [duck.PLUS_CHAIN], 1), (GO_FILES, GO_CHAINS, 1)]
-_PLAIN_GO = (
-    f"(select b.path, 1 as line_no, string_split(b.text, chr(10))[1] as line from {GO_FILES} b where b.path not in (select path from ({duck.judged(GO_FILES, GO_CHAINS)})))"
-)
 # the parts of a tree in token mode, with markers, in the order of a scan
 _TREE = f"""
  settings as materialized ({duck.config_findings(CONFIG_FILES, _SETTING_MARK)}),
  shapes as materialized ({shape_tokens(_FREE, None, f"{duck.ext('path')} in {duck.words(fv.XML_EXTENSIONS)}")} union all {shape_tokens(OTHER_FILES, fv.FALLBACK_RULES)}),
  literals as materialized (select path, line_no, category, value, ord, replace(out, '{fv.MASK}', {marker('category', 'value')}) as out from ({duck.code_literals(CODE_FILES)})
-   union all select path, line_no, category, value, ord, replace(out, '{fv.MASK}', {marker('category', 'value')}) from ({duck.code_literals(_PLAIN_GO)})),
+   union all select path, line_no, category, value, ord, replace(out, '{fv.MASK}', {marker('category', 'value')}) from ({duck.code_literals(PLAIN_GO)})),
  chains as materialized ({" union all ".join(f"select path, text, parts, joined, category, {n} as line_no from ({duck.judged(f, p)})" for f, p, n in _CHAINS)}),
  keys as materialized (select *, 'PRIVATE_KEY' as category from ({duck.blocks(PEM_FILES)})),
  uses as materialized (select path, 1 as stage, line_no, 0 as ord, 1 as pos, category, {_OWN} as val from settings
@@ -149,7 +146,7 @@ _TREE = f"""
  known as materialized (select map_from_entries(list((mark, n))) as ns from numbers),
  marked as (select path, 'top of file' || chr(10) || out || chr(10) as text from settings
    union all select path, 'top of file' || chr(10) || out || chr(10) from shapes
-   union all select path, case when path in (select path from {_PLAIN_GO}) then (select replace(b.text, string_split(b.text, chr(10))[1], l.out) from {duck.BLOCKS} b where b.path = l.path)
+   union all select path, case when path in (select path from {PLAIN_GO}) then (select replace(b.text, string_split(b.text, chr(10))[1], l.out) from {duck.BLOCKS} b where b.path = l.path)
      else 'top of file' || chr(10) || out || chr(10) end from literals l
    union all select path, replace(replace(text, parts[1], {marker('category', 'joined')}), parts[2], '') from chains
    union all select path, replace(text, m, head || {marker('category', 'm')} || regexp_replace(body, '[^\n]+', '', 'g') || foot) from keys)"""
