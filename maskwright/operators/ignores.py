@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .hits import ignore_entry
-from .paths import small
+from .paths import join_listed
 
 TRIPLE = ("file", "key", "rule")
 
@@ -26,14 +26,13 @@ def one_per_place(ignores: DataFrame) -> DataFrame:
 
 
 def attach(files: DataFrame, ignores: DataFrame) -> DataFrame:
-    """Add to each file the map of its own ignores, for use inside a scan.  The maps
-    are sent to the files where the list of files is short enough."""
+    """Add to each file the map of its own ignores, for use inside a scan."""
     per_file = (
         one_per_place(ignores)
         .select(F.col("file").alias("path"), F.struct(F.expr(ignore_entry("rule", "key")).alias("entry"), F.col("value_hash").alias("hash")).alias("e"))
         .groupBy("path").agg(F.map_from_entries(F.collect_list("e")).alias("ignores"))
     )
-    return files.join(small(per_file, "ignore-maps"), "path", "left")
+    return join_listed(files, per_file, "left", "ignore-maps")
 
 
 def apply_ignores(findings: DataFrame, ignores: DataFrame) -> DataFrame:

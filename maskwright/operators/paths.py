@@ -15,6 +15,7 @@ from ..session import materialize
 
 #: Lists of paths up to this length are sent to all executors.
 BROADCAST_PATHS = 500_000
+MAP_BITS = 1 << 26  # 8 MB
 
 
 @dataclass(frozen=True)
@@ -30,11 +31,35 @@ class Limits:
 QUICK = Limits(fv.FALLBACK_MAX_BYTES, fv.BINARY_SNIFF_BYTES)
 
 
-def small(listed: DataFrame, label: str) -> DataFrame:
-    """A stored list of paths that is broadcast if it is short enough.  Beyond that it
-    joins on paths like any table."""
+def _bit(path: Sql) -> Sql:
+    return f"pmod(xxhash64({path}), {MAP_BITS}L)"
+
+
+def _bitmap(listed: DataFrame) -> DataFrame:
+    """One row with an array of words: a bit for the hash of every listed path.  Its size
+    does not depend on the list."""
+    words = listed.selectExpr(f"{_bit('path')} as b").groupBy(F.expr("b div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")
+    )
+    every = listed.sparkSession.range(MAP_BITS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w")).select("w.bits")
+
+
+def join_listed(files: DataFrame, listed: DataFrame, how: str, label: str) -> DataFrame:
+    """Files joined on ``path`` (left_semi, left_anti or left) with a list of paths and
+    what belongs to them.  A short list is sent to the files.  Of a long one a bitmap of
+    hashes is sent, and only files that may be listed are exchanged: all other files, with
+    their texts, stay where they are."""
     stored = materialize(listed, label)
-    return F.broadcast(stored) if stored.count() <= BROADCAST_PATHS else stored
+    if stored.count() <= BROADCAST_PATHS:
+        return files.join(F.broadcast(stored), "path", how)
+    words = materialize(_bitmap(stored), "path-bitmap").scalar()
+    word, place = F.expr(f"cast({_bit('path')} div 64 as int)"), F.expr(f"cast({_bit('path')} % 64 as int)")
+    may = F.coalesce(F.get(words, word).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), place)) != 0, F.lit(False))
+    near = files.where(may).join(stored.hint("merge"), "path", how)
+    if how == "left_semi":
+        return near
+    return near.unionByName(files.where(~may), allowMissingColumns=True)
 
 
 def file_name(path: Sql) -> Sql:
@@ -89,7 +114,7 @@ def exclude(files: DataFrame, excluded: DataFrame) -> DataFrame:
         .join(excluded.selectExpr("path as ancestor"), "ancestor", "left_semi")
         .select("path").distinct()
     )
-    return files.join(small(hit, "excluded-paths"), "path", "left_anti")
+    return join_listed(files, hit, "left_anti", "excluded-paths")
 
 
 def folder_state(paths: DataFrame) -> DataFrame:
@@ -139,7 +164,7 @@ def only_changed(files: DataFrame, manifest: DataFrame | None) -> DataFrame:
         raise ValueError("no baseline manifest: a full scan is required")
     old = manifest.selectExpr("path", "hash as old_hash")
     changed = files.select("path", "hash").join(old, "path", "left").where("not (hash <=> old_hash)").select("path")
-    return files.join(small(changed.distinct(), "changed-paths"), "path", "left_semi").withColumn("partial", F.lit(True))
+    return join_listed(files, changed.distinct(), "left_semi", "changed-paths").withColumn("partial", F.lit(True))
 
 
 def is_oversize(length: Sql, max_bytes: int = fv.FALLBACK_MAX_BYTES) -> Sql:

@@ -14,9 +14,9 @@ from .paths import walk_key
 
 # A marker's digits, plain or inside XML.
 MARK = r"_(\d{40})(?=>|&gt;)"
-# Tokens with more than this share of all uses are joined by broadcast; there can
-# be at most as many of them, whatever the data.
-HOT_TOKENS = 200
+# Tokens with more than one of so many uses are joined by broadcast; there can be at
+# most as many of them, whatever the data, and no other token has more of the rows.
+HOT_TOKENS = 2000
 
 
 def categorize(findings: DataFrame, rule_categories: DataFrame) -> DataFrame:

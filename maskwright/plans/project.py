@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import paths
 from ..operators.history import scan_summary
 from ..operators.hits import Context
+from ..operators.ignores import attach
 from ..session import kept, materialize, scratch
 from .. import fixed_values as fv
 from ..sources.corpus import decode_text, with_hash
@@ -56,8 +57,10 @@ def scan_project(
     """
     with scratch(spark):
         listed = select_files(list_tree(spark, input_root, fv.SKIP_DIRS), input_root, excluded, manifest, changed_only)
+        if ignores is not None:  # meets paths, before any content is read
+            listed = attach(listed, ignores)
         files = decode_text(read_files(listed, input_root, ctx.limits, part_bytes))
-        scanned = scan_once(files, ctx, ignores)
+        scanned = scan_once(files, ctx)
         done = sanitized(scanned, ctx.tokens)
         write_sanitized(done.files, output, input_root)
         written = kept(write_tree(done.files, tree, input_root), "written", results) if tree else None

@@ -33,9 +33,12 @@ class Sanitized:
 
 def scan_once(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -> DataFrame:
     """The stored result of a scan: (path, kind, reason, text, hits, content).  Whatever
-    is asked of a scan comes from here, so the detectors run once."""
+    is asked of a scan comes from here, so the detectors run once.  ``files`` may have a
+    map of its ignores already (``ignores.attach``)."""
     if ignores is not None:
-        files, ctx = ign.attach(files, ignores), replace(ctx, ignores="ignores")
+        files = ign.attach(files, ignores)
+    if "ignores" in files.columns:
+        ctx = replace(ctx, ignores="ignores")
     part = [c for c in ("part", "parts") if c in files.columns]
     done = scan(files, ctx).selectExpr("path", *part, "kind", "reason", "result.out as text", "result.hits as hits", "content")
     return materialize(done, "scanned")
@@ -106,8 +109,7 @@ def scan_with_ignores(files: DataFrame, ignores: DataFrame, ctx: Context) -> Dat
 def unredacted_by_ignores(files: DataFrame, ignores: DataFrame, ctx: Context) -> DataFrame:
     """Places that only the ignore list leaves readable.  Only files that have an
     ignore can differ, so only those are scanned both ways."""
-    listed = paths.small(ignores.select(F.col("file").alias("path")).distinct(), "ignored-files")
-    touched = files.join(listed, "path", "left_semi")
+    touched = paths.join_listed(files, ignores.select(F.col("file").alias("path")).distinct(), "left_semi", "ignored-files")
     places = lambda scanned: findings(scanned, "path").withColumnRenamed("path", "file")
     return ign.newly_unredacted(places(scan(touched, ctx)), places(scan_with_ignores(touched, ignores, ctx)))
 

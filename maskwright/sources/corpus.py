@@ -19,34 +19,30 @@ PIECE = 16 << 20
 
 
 def with_content(files: DataFrame, root: str) -> DataFrame:
-    """Add the bytes of each listed file; null where it is too large to load (``parts``
-    reads such files)."""
+    """Add the bytes of each listed file to its row; null where it is too large to load
+    (``parts`` reads such files)."""
     spark = files.sparkSession
     uri = qualified(spark, root)
 
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = file_system(uri)
-
-        def batch_of(rows):
-            kinds = (pa.string(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "length", "content"])
-
-        rows, held = [], 0
         for batch in batches:
-            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+            first, bodies, held = 0, [], 0
+            for i, (path, length) in enumerate(zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())):
                 body = None
                 if length <= LARGEST_CELL:
                     with system.open_input_stream(f"{top}/{path}", compression=None) as file:
                         body = file.read()
-                rows.append((path, length, body))
+                bodies.append(body)
                 held += len(body or b"")
-                if held >= BATCH_BYTES:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
+                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    rows = batch.slice(first, len(bodies))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(bodies, pa.binary())], [*rows.schema.names, "content"])
+                    first, bodies, held = i + 1, [], 0
 
-    return files.select("path", "length").mapInArrow(load, "path string, length bigint, content binary")
+    return files.mapInArrow(load, f"{kind}, content binary")
 
 
 def with_hash(files: DataFrame, root: str) -> DataFrame:
@@ -71,7 +67,7 @@ def with_hash(files: DataFrame, root: str) -> DataFrame:
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: (path relative to root, length, content)."""
     cores = spark.sparkContext.defaultParallelism
-    return with_content(list_tree(spark, root).repartition(4 * cores, "path"), root)
+    return with_content(list_tree(spark, root).repartition(4 * cores, "path").select("path", "length"), root)
 
 
 def normalise_newlines(text: Sql) -> Sql:

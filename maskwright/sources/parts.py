@@ -185,13 +185,15 @@ def _load(uri: str):
 def read_files(listed: DataFrame, root: str, limits: paths.Limits = paths.Limits(), part_bytes: int = 0) -> DataFrame:
     """Files of a listing with their bytes: one row per file, or per part of a large
     one, as ``FILES``.  ``lines_before`` counts the lines of the file before a part.  A
-    large file that will not be scanned is one row without content."""
+    large file that will not be scanned is one row without content.  Other columns of the
+    listing stay beside."""
     spark: SparkSession = listed.sparkSession
     part_bytes = part_bytes or PART_BYTES
     cores = spark.sparkContext.defaultParallelism
-    named = listed.select("path", "length").withColumn("kind", F.expr(paths.classify("path")))
+    more = [c for c in listed.columns if c not in ("path", "length")]  # goes with every part
+    named = listed.withColumn("kind", F.expr(paths.classify("path")))
     large = materialize(named.where(f"length > {part_bytes}"), "large-files")
-    columns = [f.split()[0] for f in FILES.split(", ")]
+    columns = [f.split()[0] for f in FILES.split(", ")] + more
     small = with_content(named.where(f"length <= {part_bytes}").repartition(4 * cores, "path"), root)
     small = small.selectExpr("*", "0L as part", "1L as parts", "0L as lines_before", "false as inside", "cast(null as string) as known_reason").select(columns)
     if not large.take(1):
@@ -201,8 +203,9 @@ def read_files(listed: DataFrame, root: str, limits: paths.Limits = paths.Limits
     planned = materialize(plan_parts(large.where("known_reason is null"), root, part_bytes), "parts")
     binary = large.join(planned.where("part = 0 and zero").select("path"), "path", "left_semi").where("kind is null and known_reason is null")
     passed = large.where("known_reason is not null").unionByName(binary.withColumn("known_reason", F.lit("binary")))
-    passed = passed.selectExpr("path", "length", "known_reason", "0L as part", "1L as parts", "0L as lines_before", "false as inside", "cast(null as binary) as content")
-    read = planned.join(materialize(binary.select("path"), "binary-files"), "path", "left_anti").drop("zero")
-    read = read.select("path", "part", "parts", "lines_before", "inside", "length", F.lit(None).cast("string").alias("known_reason"), "begin", "stop")
-    loaded = read.repartition(4 * cores, "path", "part").mapInArrow(_load(qualified(spark, root)), FILES)
+    passed = passed.selectExpr("path", "length", "known_reason", "0L as part", "1L as parts", "0L as lines_before", "false as inside", "cast(null as binary) as content", *more)
+    read = planned.join(materialize(binary.select("path"), "binary-files"), "path", "left_anti").drop("zero").join(large.select("path", *more), "path")
+    read = read.select("path", "part", "parts", "lines_before", "inside", "length", F.lit(None).cast("string").alias("known_reason"), *more, "begin", "stop")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.drop("begin", "stop").schema)
+    loaded = read.repartition(4 * cores, "path", "part").mapInArrow(_load(qualified(spark, root)), f"{kind}, content binary")
     return small.unionByName(passed.select(columns)).unionByName(loaded)

@@ -6,6 +6,8 @@ from pathlib import Path
 
 import pytest
 
+from maskwright.operators import ignores as ignore_ops
+from maskwright.operators import paths
 from maskwright.operators.hits import mask_context, token_context
 from maskwright.plans import staging
 from maskwright.plans.project import scan_project
@@ -118,3 +120,47 @@ def test_rule_files(tmp_path):
     assert groups == {"ipv6_address": (1,), "generic_url": (1, 2), "bearer_token": (1,)}
     assert ValueRule("x", r"(a[()]+)\((b(?:c))(?=d)").allowlist_groups == (2, 1)
     assert len(default_rules().keys) == 33 and len(default_rules().values) == 12
+
+
+def test_long_lists_give_the_same_and_move_few_files(spark, files, monkeypatch):
+    corpus = files({f"d{i % 7}/f{i}.ini": f"password=pw{i}\n" for i in range(120)})
+    listed = spark.createDataFrame([("d3",), ("d1/f1.ini",), ("d1/f8.ini",), ("gone",)], "path string")
+    manifest = spark.createDataFrame([(f"d{i % 7}/f{i}.ini", "old" if i % 9 == 0 else "now") for i in range(100)], "path string, hash string")
+    hashed = corpus.selectExpr("*", "'now' as hash")
+    ignores = scan_findings(corpus, mask_context()).where("octet_length(value) = 3").selectExpr("path as file", "key", "rule", "sha2(value, 256) as value_hash")
+
+    def results():
+        excluded = {r.path for r in paths.exclude(corpus, listed).collect()}
+        changed = {(r.path, r.text) for r in paths.only_changed(hashed, manifest).collect()}
+        attached = {(r.path, str(sorted((r.ignores or {}).items())), r.text) for r in ignore_ops.attach(corpus, ignores).collect()}
+        readable = {r.file for r in staging.unredacted_by_ignores(corpus, ignores, mask_context()).collect()}
+        return excluded, changed, attached, readable
+
+    short = results()
+    assert len(short[0]) == 120 - 17 - 2 and len(short[1]) == 12 + 20 and len(short[3]) == 10
+    monkeypatch.setattr(paths, "BROADCAST_PATHS", 0)
+    monkeypatch.setattr(paths, "MAP_BITS", 1 << 14)
+    assert results() == short
+    near = []
+    real = type(corpus).where
+    monkeypatch.setattr(type(corpus), "where", lambda self, test: near.append(real(self, test)) or near[-1])
+    paths.join_listed(corpus, manifest.where("hash = 'old'").select("path"), "left_semi", "x").count()
+    assert near[0].count() <= 14  # 12 listed files, and what else has their bit
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_ignores_meet_paths_before_content_is_read(spark, tree, monkeypatch, limit):
+    """No exchange of a scan carries content, however long the list is."""
+    monkeypatch.setattr(paths, "BROADCAST_PATHS", limit)
+    monkeypatch.setattr(paths, "MAP_BITS", 1 << 14)
+    monkeypatch.setattr(parts, "PART_BYTES", 14)
+    plans = []
+    monkeypatch.setattr(staging, "materialize", lambda df, label, real=staging.materialize: plans.append((label, df._jdf.queryExecution().toString())) or real(df, label))
+    sha = hashlib.sha256
+    ignores = spark.createDataFrame([("app.ini", "password", "key_name_match", sha(b"one").hexdigest()), (".env", "password", "key_name_match", "other")], "file string, key string, rule string, value_hash string")
+    done = scan_project(spark, str(tree / "in"), str(tree / "out"), mask_context(), ignores=ignores, tree=str(tree / "copy"))
+    assert (tree / "copy" / "app.ini").read_text() == "password=one\nhost=***REDACTED***\n"
+    assert [r.changed for r in done.sanitized.findings.where("path = '.env'").collect()] == [True]
+    plan = dict(plans)["scanned"].split("== Physical Plan ==")[1]
+    above = plan.split("Exchange")[0]
+    assert "content" in above and not any("content" in part.split("\n")[0] for part in plan.split("Exchange")[1:])
