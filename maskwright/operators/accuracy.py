@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.text import Sql, q
+from .occurrences import occurrences
 from .paths import extension
 
 MIN_LEAK_LENGTH = 8
@@ -77,61 +78,53 @@ def _caught(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("outcome = 'TP'")
 
 
-def _beside_text(rows: DataFrame, texts: DataFrame, computed: dict[str, Sql], shared: Sql | None = None) -> DataFrame:
-    """Rows of a file, gathered, next to the file's text, which moves once however many
-    rows there are.  ``computed`` are expressions of a row ``c``, of the columns of
-    ``texts`` and of ``s``, the value of ``shared`` for the file."""
-    columns = [c for c in rows.columns if c != "file"]
-    gathered = rows.groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("cs"))
-    fields = ", ".join([f"'{x}', c.`{x}`" for x in columns] + [f"'{n}', {e}" for n, e in computed.items()])
-    each = f"transform(cs, c -> named_struct({fields}))"
-    if shared is not None:
-        each = f"get(transform(array({shared}), s -> {each}), 0)"
-    return gathered.join(texts, "file").selectExpr("file", f"inline({each})")
-
-
-_LINES = "split(text, '\\n', -1)"
-_OUT_LINE = "coalesce(get(s, c.line - 1), '')"
-_SPAN_OK = (
-    f"if(c.expected_output_line is not null, {_OUT_LINE} = c.expected_output_line,"
-    f" not exists(c.found_values, v -> contains({_OUT_LINE}, v)))"
-)
-
-
 def _caught_with_values(outcomes: DataFrame, findings: DataFrame) -> DataFrame:
+    # the different values of one line
     values = findings.groupBy("file", "line").agg(F.collect_set("value").alias("found_values"))
     return _caught(outcomes).join(values, ["file", "line"])
 
 
 def span_check(outcomes: DataFrame, findings: DataFrame, sanitized: DataFrame) -> DataFrame:
     """For each caught case: is the output line the expected one or, where none is
-    given, free of every value found on it?  ``sanitized(file, text)``."""
-    computed = {"out_line": _OUT_LINE, "span_ok": _SPAN_OK}
-    return _beside_text(_caught_with_values(outcomes, findings), sanitized.select("file", "text"), computed, _LINES).drop("found_values")
+    given, free of every value found on it?  ``sanitized(file, text)``.  Lines meet the
+    cases by file and number, so a text with many cases is not gathered with them."""
+    caught = _caught_with_values(outcomes, findings).join(sanitized.select("file").distinct(), "file", "left_semi")
+    lines = sanitized.selectExpr("file", "posexplode_outer(split(text, '\\n', -1)) as (at, out_line)").selectExpr("file", "cast(at + 1 as int) as line", "out_line")
+    return caught.join(lines, ["file", "line"], "left").withColumn("out_line", F.coalesce("out_line", F.lit(""))).withColumn("span_ok", F.expr(
+        "if(expected_output_line is not null, out_line = expected_output_line, not exists(found_values, v -> contains(out_line, v)))"
+    )).drop("found_values")
 
 
 def leaks_mask(outcomes: DataFrame, findings: DataFrame, sanitized: DataFrame, min_length: int = MIN_LEAK_LENGTH) -> DataFrame:
     """Add ``span_ok`` and ``leaked``: the original value still occurs in the file.
     Values shorter than ``min_length`` are taken to occur by chance and do not count.  A
     case's own line does not count once it was verified against its expected text."""
-    others = "array_join(filter(s, (l, i) -> i <> c.line - 1), '\\n')"
-    space = f"if(c.expected_output_line is not null and {_SPAN_OK}, {others}, text)"
-    leaked = f"coalesce(length(c.original_value) >= {min_length} and contains({space}, c.original_value), false)"
-    computed = {"span_ok": _SPAN_OK, "leaked": leaked}
-    return _beside_text(_caught_with_values(outcomes, findings), sanitized.select("file", "text"), computed, _LINES).drop("found_values")
-
-
-def occurrences(text: Sql, value: Sql) -> Sql:
-    return f"((length({text}) - length(replace({text}, {value}, ''))) div length({value}))"
+    checked = span_check(outcomes, findings, sanitized)
+    values = checked.where(f"length(original_value) >= {min_length}").selectExpr("file", "original_value as value")
+    found = occurrences(values, sanitized.selectExpr("file", "0 as side", "text")).select(
+        "file", F.col("value").alias("original_value"), "first_line", "other_line"
+    )
+    own = f"line between {{0}} and {{0}} + {tx.newline_count('original_value')}"
+    elsewhere = f"not ({own.format('first_line')}) or not ({own.format('other_line')})"
+    leaked = f"first_line is not null and (not (expected_output_line is not null and span_ok) or coalesce({elsewhere}, false))"
+    joined = checked.join(found, ["file", "original_value"], "left").withColumn("leaked", F.expr(leaked))
+    return joined.select(*checked.columns, "leaked")
 
 
 def leaks_token(outcomes: DataFrame, findings: DataFrame, original: DataFrame, sanitized: DataFrame) -> DataFrame:
     """Findings on caught lines whose value occurs in the output as often as in
     the input.  Counts are compared, since a value may also be part of its key."""
-    texts = original.selectExpr("file", "text as before_text").join(sanitized.selectExpr("file", "text as after_text"), "file")
+    both = original.select("file").join(sanitized.select("file"), "file", "left_semi").distinct()
     rows = findings.where("value <> ''").join(_caught(outcomes).select("file", "line").distinct(), ["file", "line"], "left_semi")
-    computed = {"n_before": occurrences("before_text", "c.value"), "n_after": occurrences("after_text", "c.value")}
-    return _beside_text(rows, texts, computed).withColumn("leaked", F.expr("n_after >= n_before"))
+    rows = rows.join(both, "file", "left_semi")
+    texts = original.selectExpr("file", "0 as side", "text").unionByName(sanitized.selectExpr("file", "1 as side", "text"))
+    counts = occurrences(rows.select("file", "value"), texts).groupBy("file", "value").agg(
+        F.sum(F.expr("if(side = 0, n, 0)")).alias("n_before"), F.sum(F.expr("if(side = 1, n, 0)")).alias("n_after")
+    )
+    return (
+        rows.join(counts, ["file", "value"], "left").select(*rows.columns, F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+        .withColumn("leaked", F.expr("n_after >= n_before"))
+    )
 
 
 def _group_findings(outcomes: DataFrame, findings: DataFrame) -> DataFrame:
