@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .components import components
-from .texthash import SPACES, U64, chunks, flat, lanes, lower_ascii, mix, string_hashes, without, word_spans
+from .texthash import PIECE as LONG_TEXT
+from .texthash import SPACES, U64, chained, chunks, flat, lanes, lower_ascii, mix, pieces_of_words, string_hashes, without, word_spans
 
 ROWS = 6
 PERMUTATIONS_PER_BAND = ROWS // 2
@@ -60,6 +61,9 @@ class Shingler:
         n = len(bounds) - 1
         if not len(data):
             return np.zeros(0, U64), np.zeros(n + 1, np.int64)
+        if n == 1 and len(data) > 2 * LONG_TEXT:
+            found = self.long_set(data)
+            return found, np.array([0, len(found)])
         data = self.lower[data]
         starts, ends, first = word_spans(data, bounds, self.word)
         words = string_hashes(data, lanes(data), starts, ends)
@@ -69,7 +73,7 @@ class Shingler:
         offset = np.cumsum(n_shingles) - n_shingles
         at = np.repeat(first[:-1] - offset, n_shingles) + np.arange(len(row))
         length = np.minimum(per_row, self.k)[row]
-        total = mix(length.astype(U64))
+        total = length.astype(U64)
         for j in range(self.k if len(words) else 0):
             total = np.where(j < length, mix(total ^ words[np.minimum(at + j, len(words) - 1)]), total)
         ends = np.cumsum(n_shingles).tolist()
@@ -81,6 +85,22 @@ class Shingler:
         return total, np.searchsorted(row, np.arange(n + 1))
 
 
+    def long_set(self, data: np.ndarray) -> np.ndarray:
+        """The same for one long text, in pieces."""
+        words = []
+        for piece in pieces_of_words(data, self.word):
+            piece = self.lower[piece]
+            starts, ends, _ = word_spans(piece, np.array([0, len(piece)]), self.word)
+            words.append(string_hashes(piece, lanes(piece), starts, ends))
+        every = np.concatenate(words)
+        width = min(self.k, len(every))
+        if not width:
+            return np.zeros(0, U64)
+        step = 1 << 20
+        shingles = [np.unique(chained(every[i : i + step + width - 1], width)) for i in range(0, len(every) - width + 1, step)]
+        return np.unique(np.concatenate(shingles))
+
+
 def set_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that do not depend on the order of a set's members."""
     out = []

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .texthash import SPACES, chained, chunks, flat, lanes, mix, string_hashes, without, word_spans
+from .texthash import PIECE as LONG_TEXT
+from .texthash import SPACES, chained, chunks, flat, lanes, mix, pieces_of_words, string_hashes, without, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -65,10 +66,21 @@ class Counter:
         n = len(bounds) - 1
         if not len(data):
             return {c: np.zeros(n, np.int64) for c in COUNTS}
+        if n == 1 and len(data) > 2 * LONG_TEXT:
+            return self.long_counts(data)
+        out, words, row, starts = self.of_words(data, bounds)
+        again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1]))
+        out["n_stutters"] = np.bincount(row[again], minlength=n)
+        out["n_repeat_words"] = self.repeated(words, row, n)
+        out["n_lines"], out["n_dup_lines"] = self.lines(data, bounds, starts, n)
+        return out
+
+    def of_words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The counts that look at one word at a time; hash, row and start of each word."""
+        n = len(bounds) - 1
         starts, ends, first = word_spans(data, bounds, self.word)
         per_word = np.diff(first)
         row = np.repeat(np.arange(n), per_word)
-
         filled = np.flatnonzero(bounds[1:] > bounds[:-1])
 
         def per_row(k: int) -> np.ndarray:
@@ -76,24 +88,35 @@ class Counter:
             total[filled] = np.add.reduceat(self.kind[k][data], bounds[filled], dtype=np.int64)
             return total
 
-        letters = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(self.kind[2][data], out=letters[1:])
-        bare = letters[ends] == letters[starts]
-        at_lane = lanes(data)
-        words = string_hashes(data, at_lane, starts, ends)
-        again = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1]))
+        # a word ends before the next one begins, and what lies between holds no letter
+        has_letter = np.logical_or.reduceat(self.kind[2][data], starts) if len(starts) else np.zeros(0, bool)
+        marked = self.kind[1][data[starts]] | self.kind[1][data[ends - 1]]
         out = {
             "n_words": per_word, "word_chars": per_row(0), "n_symbols": per_row(1),
             "n_letters": per_row(3), "n_capitals": per_row(4), "n_exclaims": per_row(5),
-            "n_bare_words": np.bincount(row[bare], minlength=n),
-            "n_marked_words": np.bincount(row[self.kind[1][data[starts]] | self.kind[1][data[ends - 1]]], minlength=n),
-            "n_stutters": np.bincount(row[again], minlength=n),
-            "n_repeat_words": self.repeated(words, row, first, n),
+            "n_bare_words": np.bincount(row[~has_letter], minlength=n), "n_marked_words": np.bincount(row[marked], minlength=n),
         }
-        out["n_lines"], out["n_dup_lines"] = self.lines(data, bounds, at_lane, starts, n)
-        return out
-
-    def repeated(self, words: np.ndarray, row: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+        return out, string_hashes(data, lanes(data), starts, ends), row, starts
+
+    def long_counts(self, data: np.ndarray) -> dict[str, np.ndarray]:
+        """The counts of one long text, in pieces."""
+        total, hashes, starts, at = dict.fromkeys(COUNTS, 0), [], [], 0
+        for piece in pieces_of_words(data, self.word):
+            out, words, _, begin = self.of_words(piece, np.array([0, len(piece)]))
+            for name, value in out.items():
+                total[name] += int(value[0])
+            hashes.append(words)
+            starts.append(begin + at)
+            at += len(piece)
+        words, begin = np.concatenate(hashes), np.concatenate(starts)
+        del hashes, starts
+        total["n_stutters"] = int((words[1:] == words[:-1]).sum())
+        total["n_repeat_words"] = int(self.repeated(words, np.zeros(len(words), np.int8), 1)[0])
+        lines, again = self.lines(data, np.array([0, len(data)]), begin, 1)
+        total["n_lines"], total["n_dup_lines"] = int(lines[0]), int(again[0])
+        return {name: np.array([total[name]]) for name in COUNTS}
+
+    def repeated(self, words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """Words that lie in a window of 8 words found twice or more in the row."""
         m = len(words) - WINDOW + 1
         if m <= 0:
@@ -109,7 +132,7 @@ class Counter:
         cover = np.bincount(at[twice], minlength=len(words) + 1) - np.bincount(at[twice] + WINDOW, minlength=len(words) + 1)
         return np.bincount(row[np.cumsum(cover)[:-1] > 0], minlength=n)
 
-    def lines(self, data, bounds, at_lane, starts, n):
+    def lines(self, data, bounds, starts, n):
         """Lines with a word, and those of them equal to an earlier line of the row."""
         cuts = np.unique(np.concatenate([bounds, np.flatnonzero(data == 10) + 1]))
         begin, end = cuts[:-1], cuts[1:].copy()
@@ -117,7 +140,7 @@ class Counter:
         used = np.searchsorted(starts, begin) < np.searchsorted(starts, end)
         begin, end = begin[used], end[used]
         row = np.searchsorted(bounds, begin, "right") - 1
-        key = mix(string_hashes(data, at_lane, begin, end) ^ mix(row.astype(np.uint64)))
+        key = mix(string_hashes(data, lanes(data), begin, end) ^ mix(row.astype(np.uint64)))
         _, where = np.unique(key, return_index=True)
         lines = np.bincount(row, minlength=n)
         return lines, lines - np.bincount(row[where], minlength=n)

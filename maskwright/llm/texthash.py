@@ -16,6 +16,8 @@ from xxhash import xxh3_64_intdigest
 U64 = np.uint64
 SPACES = b"\t\n\x0b\x0c\r "
 LONG = 1024  # bytes of a string from which it is hashed by itself
+AT_A_TIME = 1 << 18  # strings
+PIECE = 4 << 20  # bytes of a long text in hand at a time
 #: The first k bytes of a lane.
 FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
@@ -36,6 +38,9 @@ def lanes(data: np.ndarray) -> np.ndarray:
 
 def string_hashes(data: np.ndarray, at_lane: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of the strings between ``starts`` and ``ends``; ``at_lane`` is ``lanes(data)``."""
+    if len(starts) > AT_A_TIME:
+        parts = range(0, len(starts), AT_A_TIME)
+        return np.concatenate([string_hashes(data, at_lane, starts[i : i + AT_A_TIME], ends[i : i + AT_A_TIME], seed) for i in parts])
     size = ends - starts
     out = mix(size.astype(U64) ^ U64(seed))
     for i in np.flatnonzero(size > LONG).tolist():
@@ -106,6 +111,20 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tup
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, bounds)
 
 
+def pieces_of_words(data: np.ndarray, is_word: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces that begin and end between words."""
+    at = 0
+    while at < len(data):
+        to = min(at + PIECE, len(data))
+        while to < len(data):
+            gap = np.flatnonzero(is_word[data[to : to + PIECE]] == 0)
+            to = to + int(gap[0]) if len(gap) else min(to + PIECE, len(data))
+            if len(gap):
+                break
+        yield data[at:to]
+        at = to
+
+
 def without(skipped: bytes) -> np.ndarray:
     """Table of the bytes that are part of a word."""
     out = np.ones(256, np.int8)

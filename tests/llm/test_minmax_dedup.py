@@ -1,10 +1,13 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskwright.llm import minmax_dedup as d
+from maskwright.llm import texthash
 from maskwright.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,3 +134,25 @@ def test_components(spark):
 def test_words_that_collide_under_polynomials_are_not_linked(spark, table, thue_morse):
     found = d.near_duplicates(table([(1, thue_morse[0]), (2, thue_morse[1])]), 3, 85).collect()
     assert {r.component_id for r in found} == {1, 2}
+
+
+def test_a_long_text_in_pieces_has_the_same_set(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["Word", "é", "b" * 50, "x"]) + rng.choice([" ", "\n", "   "]) for _ in range(300))
+    for t in (text, "one", " ", "two words"):
+        for k in (3, 5):
+            shingler = d.Shingler(k)
+            whole, bounds = shingler.sets(pa.array([t]))
+            monkeypatch.setattr(texthash, "PIECE", 11)
+            assert shingler.long_set(np.frombuffer(t.encode(), np.uint8)).tolist() == whole.tolist() and len(whole) == len(shingles(t, k)) == bounds[-1]
+            monkeypatch.undo()
+
+
+def test_memory_of_one_text_of_32_mb():
+    rng = np.random.default_rng(9)
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 99999, 5_000_000))])
+    tracemalloc.start()
+    found, _ = d.Shingler(5).sets(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 4_900_000 and peak < 9 * text.nbytes

@@ -1,5 +1,6 @@
 import collections
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from maskwright.llm import quality_votes as q
+from maskwright.llm import texthash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,3 +91,25 @@ def test_verdicts_equal_a_plain_posterior(spark, table, odd_rows):
                 bad *= on_bad if vote == "b" else 1 - on_bad
         assert abs(r.quality - good / (good + bad)) < 1e-9 and r.kept == (not r.base_failed and r.quality >= 0.5)
     assert {r.kept for r in found if 100 <= (r.doc_id or 0) < 300} == {True} and {r.kept for r in found if (r.doc_id or 0) >= 300} == {False}
+
+
+def test_a_long_text_in_pieces_has_the_same_counts(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = ["a", "bb", "é🎉", "#x", "10", "!", "Long" * 30, "z"]
+    text = "".join(f"{rng.choice(words)}{rng.choice([' ', chr(10), '  ', chr(9)])}" for _ in range(400)) + " ".join(list("abcdefgh") * 3)
+    whole = q.Counter().counts(pa.array([text]))
+    monkeypatch.setattr(q, "LONG_TEXT", 10)
+    monkeypatch.setattr(texthash, "PIECE", 37)
+    cut = q.Counter().counts(pa.array([text]))
+    assert {c: whole[c].tolist() for c in q.COUNTS} == {c: cut[c].tolist() for c in q.COUNTS}
+    assert [cut[c][0] for c in q.COUNTS[:5]] == list(plain(text))
+
+
+def test_memory_of_one_text_of_32_mb():
+    rng = np.random.default_rng(7)
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 99999, 5_000_000))])
+    tracemalloc.start()
+    found = q.Counter().counts(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["n_words"][0] == 5_000_000 and peak < 16 * text.nbytes
