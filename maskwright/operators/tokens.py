@@ -98,10 +98,15 @@ def resolve_text(text: Sql, numbers: Sql) -> Sql:
     return f"if({tx.like(text, MARK)}, {tx.splice_all(text, MARK, new)}, {text})"
 
 
-def resolve(rows: DataFrame, key: str, columns: list[str], tokens: DataFrame) -> DataFrame:
-    """Replace markers by tokens in text columns; ``key`` names a row.  Only marks
-    and row keys are exchanged, one small map per row comes back."""
-    all_text = "concat_ws(' ', " + ", ".join(columns) + ")"
+def resolve(rows: DataFrame, key: str, columns: list[str], tokens: DataFrame, hits: str | None = None) -> DataFrame:
+    """Replace markers by tokens in text columns, and in the values and replacements of
+    an array of hits; ``key`` names a row.  Only marks and row keys are exchanged, one
+    small map per row comes back, which serves all."""
+    texts = list(columns)
+    if hits:
+        both = tx.each(hits, lambda h: f"concat_ws(' ', {h}.value, {h}.after)")
+        texts.append(f"array_join({both}, ' ')")
+    all_text = "concat_ws(' ', " + ", ".join(texts) + ")"
     marks = rows.selectExpr(key, f"explode(array_distinct({tx.extract_all(all_text, MARK, 1)})) as mark")
     numbers = (
         assign_tokens(marks, tokens).where("n is not null").groupBy(key)
@@ -110,6 +115,14 @@ def resolve(rows: DataFrame, key: str, columns: list[str], tokens: DataFrame) ->
     joined = rows.join(numbers, key, "left")
     for column in columns:
         joined = joined.withColumn(column, F.expr(resolve_text(column, "numbers")))
+    if hits:
+        fields = ("line", "stage", "ord", "key", "rule", "category", "value", "after", "changed", "uses")
+
+        def named(h: Sql) -> Sql:
+            field = lambda f: resolve_text(f"{h}.{f}", "numbers") if f in ("value", "after") else f"{h}.{f}"
+            return "named_struct(" + ", ".join(f"'{f}', {field(f)}" for f in fields) + ")"
+
+        joined = joined.withColumn(hits, F.expr(tx.each(hits, named)))
     return joined.drop("numbers")
 
 

@@ -44,25 +44,37 @@ def scan_once(files: DataFrame, ctx: Context, ignores: DataFrame | None = None)
     return materialize(done, "scanned")
 
 
-def sanitized(scanned: DataFrame, tokens: bool) -> Sanitized:
+def sanitized(scanned: DataFrame, tokens: bool, store=lambda df: materialize(df, "resolved")) -> Sanitized:
     """Files and findings of a stored scan.
 
     Token mode numbers the values seen in the files that have findings (usually few) and
-    puts the numbers in; the other files pass through untouched.
+    puts the numbers in, in texts and findings alike; the other files pass through
+    untouched.  What comes of it is stored once.
     """
-    found = scanned.select("path", F.explode("hits").alias("h")).select("path", "h.*")
     part = [c for c in ("part", "parts") if c in scanned.columns]
     as_file = ("path", *part, "kind", "reason", "text", "reason is not null as copied", "content")
     if not tokens:
-        return Sanitized(scanned.selectExpr(*as_file), found)
-    numbers = materialize(tok.number_tokens(tok.token_uses(found)), "token-numbers")
+        return Sanitized(scanned.selectExpr(*as_file), _exploded(scanned))
+    numbers = materialize(tok.number_tokens(tok.token_uses(_exploded(scanned))), "token-numbers")
     own = "concat(path, '\u0001', part)" if part else "path"
-    hit = scanned.where("size(hits) > 0").selectExpr("path", *part, "kind", "text", f"{own} as own")
-    changed = tok.resolve(hit, "own", ["text"], numbers).selectExpr(
-        "path", *part, "kind", "cast(null as string) as reason", "text", "false as copied", "cast(null as binary) as content"
+    hit = scanned.where("size(hits) > 0").selectExpr("path", *part, "kind", "text", "hits", f"{own} as own")
+    changed = tok.resolve(hit, "own", ["text"], numbers, "hits").selectExpr(
+        "path", *part, "kind", "cast(null as string) as reason", "text", "false as copied", "cast(null as binary) as content", "hits"
     )
-    clean = scanned.where("size(hits) = 0").selectExpr(*as_file)
-    return Sanitized(changed.unionByName(clean), _resolved(found, numbers), numbers)
+    clean = scanned.where("size(hits) = 0").selectExpr(*as_file, "hits")
+    done = store(changed.unionByName(clean))
+    return Sanitized(done.drop("hits"), _exploded(done), numbers)
+
+
+def _exploded(table: DataFrame) -> DataFrame:
+    return table.select("path", F.explode("hits").alias("h")).select("path", "h.*")
+
+
+def _without_values(table: DataFrame) -> DataFrame:
+    """Findings with hashes in place of values."""
+    fields = ("line", "stage", "ord", "key", "rule", "category", "after", "changed")
+    safe = tx.each("hits", lambda h: "named_struct(" + ", ".join(f"'{f}', {h}.{f}" for f in fields) + f", 'value_hash', {tx.value_hash(f'{h}.value')})")
+    return table.withColumn("hits", F.expr(safe))
 
 
 def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -> Sanitized:
@@ -74,23 +86,13 @@ def sanitize(files: DataFrame, ctx: Context, ignores: DataFrame | None = None) -
     """
     if ctx.tokens:
         with scratch(files.sparkSession):
-            done = sanitized(scan_once(files, ctx, ignores), True)
-            safe = done.findings.withColumn("value_hash", F.expr(tx.value_hash("value"))).drop("value", "uses")
-            return Sanitized(kept(done.files, "sanitized"), kept(safe, "findings"), kept(done.tokens, "tokens"))
+            done = sanitized(scan_once(files, ctx, ignores), True, lambda df: kept(_without_values(df), "sanitized"))
+            return Sanitized(done.files, done.findings, kept(done.tokens, "tokens"))
     if ignores is not None:
         files, ctx = ign.attach(files, ignores), replace(ctx, ignores="ignores")
     return Sanitized(sanitize_masked(files, ctx), findings(scan(files, ctx), "path"))
 
 
-def _resolved(found: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Findings with tokens in place of markers.  Each finding has at most a few
-    markers, so the map that comes back per finding is small."""
-    named = found.withColumn("fid", F.expr("concat_ws('\\u0001', path, line, stage, ord, coalesce(key, ''), rule, sha2(value, 256))"))
-    unique = named.select("fid", "value", "after").distinct()
-    texts = tok.resolve(unique, "fid", ["value", "after"], numbers)
-    return named.drop("value", "after").join(texts, "fid").drop("fid")
-
-
 @dataclass
 class Stage:
     """A preview: where the output lies until it is applied, and the state it was
