@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 from dataclasses import replace
+from importlib.util import find_spec
 
 from pyspark.sql import functions as F
 
@@ -104,6 +105,53 @@ def custom_rules(spark, folder):
     return scan_findings(as_files(texts), replace(mask_context(), rules=rules)).select("path", "rule", "value")
 
 
+YAML_RULES = r"""# all four sections, as people write them
+key_patterns:
+  - vendor[_-]?ref   # plain
+  - "fax\\.no"
+
+value_patterns:
+  - name: vendor_no
+    # group 1 is compared with the allow-list
+    regex: "(?i)\\bvendor-no ([0-9]{9})\\b"
+  - {name: never, regex: 'it''s never there'}
+
+code_patterns:
+  go:
+  python:
+    - '(?i)ref_\w+\s*=\s*"([^"]*)"'
+
+placeholder_allowlist:
+- Not-Yet
+- "000000012"
+"""
+
+
+def yaml_rules(spark, folder):
+    """A YAML rules file: keys (which dummy words do not shield), values, code and dummy
+    words, each in files of its own."""
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as handle:
+        handle.write(YAML_RULES)
+        handle.flush()
+        rules = load_rules(handle.name)
+    texts = table(spark, folder, "supplier").selectExpr(
+        "concat('s', s_suppkey, if(s_suppkey % 5 in (1, 4), '.properties', '.py')) as path",
+        """case s_suppkey % 5 when 0 then concat('ref_id = "', s_name, '"') when 1 then concat('vendor_ref=', s_name)
+           when 2 then concat('other = 1\nsee vendor-no ', substr(s_name, 10)) when 3 then concat('other_id = "', s_name, '"') else 'vendor_ref=NOT-YET' end as text""",
+    )
+    return scan_findings(as_files(texts), replace(mask_context(), rules=rules)).select("path", "line", "rule", "value")
+
+
+if find_spec("yaml") is not None:  # the one query that needs this package
+    query(
+        "yaml_rules",
+        f"""select 's' || s_suppkey || '.py' as path, 1 as line, '{fv.CODE_RULE}' as rule, s_name as value from supplier where s_suppkey % 5 = 0
+ union all select 's' || s_suppkey || '.properties', 1, 'key_name_match', case s_suppkey % 5 when 1 then s_name else 'NOT-YET' end from supplier where s_suppkey % 5 in (1, 4)
+ union all select 's' || s_suppkey || '.py', 2, 'vendor_no', 'vendor-no ' || substr(s_name, 10) from supplier
+    where s_suppkey % 5 = 2 and substr(s_name, 10) <> '000000012'""",
+    )(yaml_rules)
+
+
 @query("mode_parity_differs", "select distinct concat('n', cast(s_suppkey as varchar), '.ini') as file, 1 as line, 'key_name_match' as rule, 'first' as only_in from supplier where s_suppkey % 2 = 0")
 def mode_parity_differs(spark, folder):
     """Two scans that must not agree: the second is of half of the files."""

@@ -154,39 +154,68 @@ def _compiled(name: str, pattern: str) -> None:
             raise ValueError(f"rule {name}: the pattern can't be used: {pattern}") from error
 
 
+def _read(path: str) -> dict:
+    """The sections of a rules file; empty ones are left out."""
+    with open(path, encoding="utf-8") as handle:
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml  # the only use of this package
+            except ImportError as error:
+                raise ImportError(f"reading {path} needs the package pyyaml; rules can also be JSON") from error
+            try:
+                raw = yaml.safe_load(handle)
+            except yaml.YAMLError as error:
+                raise ValueError(f"{path} is no YAML: {error}") from error
+        else:
+            raw = json.load(handle)
+    if not isinstance(raw or {}, dict):
+        raise ValueError(f"{path} has no sections")
+    return {section: body for section, body in (raw or {}).items() if body is not None}
+
+
+def _texts(section: str, entries) -> list[str]:
+    """A list of texts.  YAML reads words such as null, yes or 1.0 as something else."""
+    if not isinstance(entries, list):
+        raise ValueError(f"{section} must be a list")
+    for entry in entries:
+        if not isinstance(entry, str):
+            raise ValueError(f"{section}: {entry!r} is no text; put it in quotes")
+    return entries
+
+
 def load_rules(path: str) -> RuleSet:
-    """Read a rules file (JSON, or YAML where a YAML reader is installed).
+    """Read a rules file (JSON, or YAML with the package pyyaml).
 
     Keys: ``key_patterns`` (list), ``value_patterns`` (list of name/regex),
     ``code_patterns`` (lists by language), ``placeholder_allowlist`` (list).  Order is
-    kept; a missing section is empty.  Patterns this package knows keep their category,
-    unknown ones get the default.  A pattern that can't be used raises with its name.
+    kept; a missing or empty section has no rules.  Patterns this package knows keep
+    their category, unknown ones get the default.  A pattern that can't be used, and an
+    entry that is no text, raise with their name.
     """
-    with open(path, encoding="utf-8") as handle:
-        if path.endswith((".yaml", ".yml")):
-            import yaml  # optional, only for YAML rule files
-
-            raw = yaml.safe_load(handle)
-        else:
-            raw = json.load(handle)
+    raw = _read(path)
     key_category = dict(fv.KEY_RULES)
     value_category = {name: category for name, _, category in fv.VALUE_RULES}
     known = {p: name for own in fv.CODE_PATTERNS.values() for name, p in own}
     code = literal_rules({
-        lang: [(known.get(p.removeprefix("(?i)"), f"{lang}_{i + 1}"), _java_dialect(p)) for i, p in enumerate(own)]
-        for lang, own in (raw.get("code_patterns") or {}).items()
+        lang: [(known.get(p.removeprefix("(?i)"), f"{lang}_{i + 1}"), _java_dialect(p)) for i, p in enumerate(_texts(f"code_patterns {lang}", own or []))]
+        for lang, own in raw.get("code_patterns", {}).items()
     })
+    values = raw.get("value_patterns", [])
+    for entry in values:
+        if not isinstance(entry, dict) or not {"name", "regex"} <= entry.keys():
+            raise ValueError(f"value_patterns: {entry!r} needs a name and a regex")
+        _texts("value_patterns", [entry["name"], entry["regex"]])
     rules = RuleSet(
         code=code,
         keys=tuple(
             KeyRule(_java_dialect(p), key_category.get(p, fv.DEFAULT_CATEGORY))
-            for p in raw.get("key_patterns", [])
+            for p in _texts("key_patterns", raw.get("key_patterns", []))
         ),
         values=tuple(
             ValueRule(v["name"], _java_dialect(v["regex"]), value_category.get(v["name"], fv.DEFAULT_CATEGORY))
-            for v in raw.get("value_patterns", [])
+            for v in values
         ),
-        allowlist=tuple(word.lower() for word in raw.get("placeholder_allowlist", [])),
+        allowlist=tuple(word.lower() for word in _texts("placeholder_allowlist", raw.get("placeholder_allowlist", []))),
     )
     for i, key in enumerate(rules.keys):
         _compiled(f"key_patterns {i + 1}", CASELESS + key.pattern)

@@ -122,6 +122,39 @@ def test_rule_files(tmp_path):
     assert len(default_rules().keys) == 33 and len(default_rules().values) == 12
 
 
+def test_yaml_rule_files(tmp_path):
+    """The same rules in JSON, in YAML as a program writes it and as people write it."""
+    yaml = pytest.importorskip("yaml")
+    raw = {
+        "key_patterns": ["password", "my[_-]?thing", "db\\.host"],
+        "value_patterns": [{"name": "ticket", "regex": "(?i)TCK-(?P<n>\\d+)[\"']it's a rather long pattern that does not fit into one line of a file of rules " + "x" * 60}],
+        "code_patterns": {"python": ['(?i)ref_\\w+ = "([^"]*)"'], "go": []},
+        "placeholder_allowlist": ["Dummy", "null", "127.0.0.1", "n/a"],
+    }
+    as_json, as_yaml, by_hand = (tmp_path / f"rules.{x}" for x in ("json", "yaml", "yml"))
+    as_json.write_text(json.dumps(raw))
+    as_yaml.write_text(yaml.safe_dump(raw, sort_keys=False))
+    assert load_rules(str(as_yaml)) == load_rules(str(as_json))
+    by_hand.write_text("# keys\nkey_patterns:\n  - password\n  - 'my[_-]?thing'  # two\n  - \"db\\\\.host\"\nvalue_patterns:\ncode_patterns: {}\n")
+    rules = load_rules(str(by_hand))
+    assert [k.pattern for k in rules.keys] == raw["key_patterns"] and rules.keys[0].category == "PASSWORD"
+    assert rules.values == () and rules.code == () and rules.allowlist == ()
+
+
+def test_rule_files_that_cannot_be_read(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "rules.yaml"
+    path.write_text("")
+    assert load_rules(str(path)).keys == ()
+    for text, said in (
+        ("placeholder_allowlist:\n- null\n", "placeholder_allowlist: None"), ("key_patterns:\n- 12\n", "key_patterns: 12"), ("key_patterns: password\n", "must be a list"),
+        ("value_patterns:\n- name: a\n", "needs a name and a regex"), ("code_patterns:\n  go: [1]\n", "code_patterns go: 1"), ("- a\n", "no sections"), ("a: [", "no YAML"),
+    ):
+        path.write_text(text)
+        with pytest.raises(ValueError, match=said):
+            load_rules(str(path))
+
+
 def test_long_lists_give_the_same_and_move_few_files(spark, files, monkeypatch):
     corpus = files({f"d{i % 7}/f{i}.ini": f"password=pw{i}\n" for i in range(120)})
     listed = spark.createDataFrame([("d3",), ("d1/f1.ini",), ("d1/f8.ini",), ("gone",)], "path string")
