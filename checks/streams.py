@@ -20,7 +20,8 @@ _PATH = DOC_TREE.split(" as path, text")[0].removeprefix("select ")
 
 def arriving(spark, folder):
     schema = table(spark, folder, "documents").schema
-    return from_table(read_new(spark, folder, schema, names="documents.parquet"), _PATH, "text")
+    # as a pattern, the name may be that of one file or of a folder of files
+    return from_table(read_new(spark, f"{folder}/{{documents.parquet}}", schema), _PATH, "text")
 
 
 @query("stream_scan", f"select path, line_no as line, rule, sha256(value) as value_hash from ({DOC_FOUND})")
