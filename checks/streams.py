@@ -61,7 +61,7 @@ def stream_published(spark, folder):
     docs = table(spark, folder, "documents")
     arriving_at, checkpoint, store = new_folder(spark, "arriving"), new_folder(spark, "progress"), Store(spark, new_folder(spark, "published"))
     for batch in range(3):
-        docs.where(f"doc_id % 3 = {batch}").coalesce(1).write.mode("append").parquet(arriving_at)
+        docs.where(f"doc_id % 3 = {batch}").write.mode("append").parquet(arriving_at)
         now = listed if batch < 2 else listed.withColumn("value_hash", F.lit("old"))
         files = from_table(read_new(spark, arriving_at, docs.schema), _PATH, "text")
         drain_published(files, store, MASKED, lambda now=now: now, checkpoint)

@@ -1,9 +1,11 @@
 """How the checks read their tables and share out the work."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
-from checks import carriers, registry, streams
+from checks import registry, streams
 from checks.detection import MASKED
 from maskwright.plans.scan import scan_findings
 from maskwright.session import new_folder
@@ -31,3 +33,18 @@ def test_streams_of_a_table_in_many_files(spark, folder, name):
     expected = sorted((r.path, r.line, r.rule) for r in found.collect())
     got = sorted((r.path, r.line, r.rule) for r in entry.queries()[name](spark, folder).collect())
     assert expected and got == expected
+
+
+def test_a_batch_is_written_by_many_tasks(spark, folder, monkeypatch):
+    made = {}
+    monkeypatch.setattr(streams, "new_folder", lambda spark, label: made.setdefault(label, new_folder(spark, label)))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(32 << 20))  # a task for each of the small files
+    try:
+        got = entry.queries()["stream_published"](spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(spark.read.parquet(made["arriving"]).inputFiles()) > 3
+    found = documents(spark, folder).collect()
+    number = lambda r: int(re.search(r"doc_(\d+)", r.path)[1])
+    expected = sorted((r.path, r.line, r.rule, number(r) % 3) for r in found if len(r.path) % 2 or number(r) % 3 == 2)
+    assert sorted((r.path, r.line, r.rule, r.batch) for r in got) == expected
