@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from checks import registry, streams
+from checks import carriers, registry, streams
 from checks.detection import MASKED
 from maskwright.plans.scan import scan_findings
 from maskwright.session import new_folder
@@ -48,3 +48,18 @@ def test_a_batch_is_written_by_many_tasks(spark, folder, monkeypatch):
     number = lambda r: int(re.search(r"doc_(\d+)", r.path)[1])
     expected = sorted((r.path, r.line, r.rule, number(r) % 3) for r in found if len(r.path) % 2 or number(r) % 3 == 2)
     assert sorted((r.path, r.line, r.rule, r.batch) for r in got) == expected
+
+
+def test_derived_rows_are_dealt_by_number(spark, monkeypatch):
+    at = new_folder(spark, "tables")
+    spark.range(1, 41).selectExpr("id as c_custkey", "id % 5 as c_nationkey").coalesce(1).write.parquet(f"{at}/customer.parquet")
+    monkeypatch.setattr(registry, "ROWS_PER_TASK", 1000)
+    whole = registry.cfg_lines(spark, at)
+    monkeypatch.setattr(registry, "ROWS_PER_TASK", 10)
+    dealt = registry.cfg_lines(spark, at)
+    assert carriers.tables(carriers.CFG_LINES) == ["customer"]
+    assert (whole.rdd.getNumPartitions(), dealt.rdd.getNumPartitions()) == (1, 4)
+    assert sorted(whole.collect()) == sorted(dealt.collect())
+    for name in ("mask_config_span", "escape_xml_tokens"):
+        plan = entry.queries()[name](spark, at)._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("aggregate(" in line for line in plan.splitlines() if "Filter" in line)
