@@ -7,7 +7,9 @@ import pytest
 import __spark_entry__ as entry
 from checks import carriers, registry, streams
 from checks.detection import MASKED
-from maskwright.plans.scan import scan_findings
+from maskwright.operators import ignores as ign
+from maskwright.operators import paths
+from maskwright.plans.scan import scan, scan_findings
 from maskwright.session import new_folder
 from maskwright.sources.corpus import from_table
 
@@ -63,3 +65,22 @@ def test_derived_rows_are_dealt_by_number(spark, monkeypatch):
     for name in ("mask_config_span", "escape_xml_tokens"):
         plan = entry.queries()[name](spark, at)._jdf.queryExecution().optimizedPlan().toString()
         assert not any("aggregate(" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_long_lists_of_paths_are_not_sent_by_their_bytes_alone(spark, monkeypatch):
+    texts = spark.range(200).selectExpr("concat('d/f', id, '.ini') as path", "concat('password=pw', id, 'x\\n') as text")
+    corpus = registry.as_files(texts)
+    ignores = scan_findings(corpus, MASKED).where("line = 1").selectExpr("path as file", "key", "rule", "sha2(value, 256) as value_hash").where("octet_length(file) = 9")
+
+    def attached():
+        df = ign.attach(corpus, ignores)
+        plan = scan(df, MASKED)._jdf.queryExecution().optimizedPlan().toString()
+        return sorted((r.path, str(r.ignores), r.text) for r in df.collect()), plan
+
+    short, sent = attached()
+    monkeypatch.setattr(paths, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(paths, "MAP_BITS", 1 << 14)
+    long, kept = attached()
+    assert long == short and sum(r[1] != "None" for r in long) == 90
+    assert "strategy=broadcast" in sent and "strategy=broadcast" not in kept
+    assert len(kept) < 1.5 * len(sent)  # the detectors stand in the plan once, not once a branch
