@@ -25,14 +25,19 @@ def one_per_place(ignores: DataFrame) -> DataFrame:
     return ignores.groupBy(*TRIPLE).agg(latest.alias("value_hash"))
 
 
-def attach(files: DataFrame, ignores: DataFrame) -> DataFrame:
-    """Add to each file the map of its own ignores, for use inside a scan."""
-    per_file = (
-        one_per_place(ignores)
+def per_file(ignores: DataFrame) -> DataFrame:
+    """(path, ignores): the map of each listed file's ignores, by one exchange."""
+    return (
+        one_per_place(ignores.repartition("file"))
         .select(F.col("file").alias("path"), F.struct(F.expr(ignore_entry("rule", "key")).alias("entry"), F.col("value_hash").alias("hash")).alias("e"))
         .groupBy("path").agg(F.map_from_entries(F.collect_list("e")).alias("ignores"))
     )
-    return join_listed(files, per_file, "left", "ignore-maps")
+
+
+def attach(files: DataFrame, ignores: DataFrame, how: str = "left") -> DataFrame:
+    """Add to each file the map of its own ignores, for use inside a scan; with ``inner``
+    only to files that have some, and others drop out."""
+    return join_listed(files, per_file(ignores), how, "ignore-maps")
 
 
 def apply_ignores(findings: DataFrame, ignores: DataFrame) -> DataFrame:
@@ -93,8 +98,9 @@ def lookup_hash(wanted: DataFrame, pending: DataFrame, applied: DataFrame, lates
 
 
 def newly_unredacted(without: DataFrame, with_ignores: DataFrame) -> DataFrame:
-    """Places that are found without ignores but not with them."""
-    return without.select(*TRIPLE).subtract(with_ignores.select(*TRIPLE))
+    """Places that are found without ignores but not with them, by one exchange."""
+    rows = without.select(*TRIPLE, F.lit(False).alias("left")).unionByName(with_ignores.select(*TRIPLE, F.lit(True).alias("left")))
+    return rows.groupBy(*TRIPLE).agg(F.max("left").alias("left")).where("not left").drop("left")
 
 
 def state_fingerprint(*tables: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.hits import Context, findings
 from ..rules import rule_state
 from ..session import kept, materialize, new_folder, scratch
 from ..sources.sinks import check_apart
-from .scan import sanitize_masked, scan
+from .scan import sanitize_masked, scan, scan_both
 
 _OUT = "path string, kind string, reason string, text string, copied boolean, content binary"
 
@@ -110,10 +110,13 @@ def scan_with_ignores(files: DataFrame, ignores: DataFrame, ctx: Context) -> Dat
 
 def unredacted_by_ignores(files: DataFrame, ignores: DataFrame, ctx: Context) -> DataFrame:
     """Places that only the ignore list leaves readable.  Only files that have an
-    ignore can differ, so only those are scanned both ways."""
-    touched = paths.join_listed(files, ignores.select(F.col("file").alias("path")).distinct(), "left_semi", "ignored-files")
-    places = lambda scanned: findings(scanned, "path").withColumnRenamed("path", "file")
-    return ign.newly_unredacted(places(scan(touched, ctx)), places(scan_with_ignores(touched, ignores, ctx)))
+    ignore can differ, so only those are scanned, both ways in one pass; the places that
+    it finds, which hold no values, are stored."""
+    both = scan_both(ign.attach(files, ignores, "inner"), ctx, replace(ctx, ignores="ignores"), "path")
+    found = " , ".join(tx.each(f"{r}.hits", lambda h: f"named_struct('key', {h}.key, 'rule', {h}.rule, 'with_ignores', {w})") for r, w in (("one", "false"), ("other", "true")))
+    places = both.selectExpr("path as file", f"inline_outer(flatten(array({found})))").where("rule is not null")
+    places = materialize(places, "places")
+    return ign.newly_unredacted(places.where("not with_ignores"), places.where("with_ignores"))
 
 
 def state_of(ignores: DataFrame, excluded: DataFrame, ctx: Context) -> DataFrame:
