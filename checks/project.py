@@ -16,7 +16,7 @@ from maskwright.plans.project import scan_project
 from maskwright.plans.publish import WRITTEN, publish_project
 from maskwright.plans.scan import scan_findings
 from maskwright.rules import load_rules
-from maskwright.session import new_folder
+from maskwright.session import materialize, new_folder
 from maskwright.sources import corpus, sinks
 
 from .detection import MASKED
@@ -188,12 +188,14 @@ def _logs(spark, folder):
     """The logs as a tree of files, which are larger than the parts that the scan takes."""
     docs = table(spark, folder, "documents").where("lang is not null")
     key = f"concat('{_BEGIN}\n', repeat('MIIEpAIBAAKCAQEA7Zk1\n', cast(30 + 10 * (doc_id % 9) as int)), '{_END}\n')"
-    rows = docs.selectExpr(
-        "concat(lang, '.log') as path", "row_number() over (partition by lang order by doc_id) - 1 as part", "count(*) over (partition by lang) as parts",
+    texts = docs.selectExpr(
+        "monotonically_increasing_id() as row", "concat(lang, '.log') as path", "doc_id",
         "concat('doc AK', 'IA', upper(substr(md5(cast(doc_id as string)), 1, 16)), ' end\n',"
         f" {_WORDS.format(g='')}, '\n', if(doc_id % 50 = 7, {key}, '')) as text",
-        "false as copied", "cast(null as binary) as content",
     )
+    texts = materialize(texts, "log-texts")  # numbered without their texts, which stay apart
+    numbers = texts.selectExpr("row", "row_number() over (partition by path order by doc_id, row) - 1 as part", "count(*) over (partition by path) as parts")
+    rows = texts.join(numbers, "row").selectExpr("path", "cast(part as bigint) as part", "parts", "text", "false as copied", "cast(null as binary) as content")
     root, out, tree = (new_folder(spark, x) for x in ("in-logs", "out-logs", "tree-logs"))
     sinks.write_tree(rows, root, out)
     return scan_project(spark, root, out, MASKED, tree=tree, part_bytes=100_000)

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from ..operators import paths
 from ..session import materialize
-from .corpus import with_content
+from .corpus import LARGEST_CELL, with_content
 from .listing import file_system, qualified
 
 PART_BYTES = 32 << 20
@@ -137,10 +137,12 @@ def _survey(uri: str, size: int):
     return run
 
 
-def plan_parts(large: DataFrame, root: str, part_bytes: int) -> DataFrame:
+def plan_parts(large: DataFrame, root: str, part_bytes: int, together: int | None = None) -> DataFrame:
     """``large(path, length, kind)`` to its parts: (path, part, parts, begin, stop,
-    lines_before, inside, length, zero).  Only numbers and paths are exchanged."""
+    lines_before, inside, length, zero).  Only numbers and paths are exchanged.  With
+    ``together`` 0 nothing is cut, however many ranges it reaches over."""
     spark = large.sparkSession
+    together = TOGETHER if together is None else together
     ranges = large.selectExpr(
         "path", "length", "case when kind = 'config' then 'config' when kind is null then 'other' else 'code' end as family",
         f"explode(sequence(0L, cast((length - 1) div {part_bytes} as bigint))) as part",
@@ -156,7 +158,8 @@ def plan_parts(large: DataFrame, root: str, part_bytes: int) -> DataFrame:
         "any_zero": F.max("zero").over(Window.partitionBy("path")),
     })
     natural = "case when part = 0 then 0L when is_open then free else first end"
-    cut = known.withColumn("cut", F.expr(f"coalesce({natural}, if(part % {TOGETHER} = 0, coalesce(first, off), null))")).where("cut is not null")
+    forced = f"if(part % {together} = 0, coalesce(first, off), null)" if together else "cast(null as bigint)"
+    cut = known.withColumn("cut", F.expr(f"coalesce({natural}, {forced})")).where("cut is not null")
     return cut.selectExpr(
         "path", "cast(row_number() over (partition by path order by part) - 1 as bigint) as part", "count(*) over (partition by path) as parts",
         "cut as begin", "lead(cut, 1, length) over (partition by path order by part) as stop",
@@ -172,16 +175,35 @@ def _load(uri: str):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                with system.open_input_file(f"{top}/{row.column('path')[0].as_py()}") as file:
-                    begin = row.column("begin")[0].as_py()
-                    file.seek(begin)
-                    body = file.read(row.column("stop")[0].as_py() - begin)
+                begin = row.column("begin")[0].as_py()
+                size, body = row.column("stop")[0].as_py() - begin, None
+                if size <= LARGEST_CELL:
+                    with system.open_input_file(f"{top}/{row.column('path')[0].as_py()}") as file:
+                        file.seek(begin)
+                        body = file.read(size)
                 kept = [c for c in row.schema.names if c not in ("begin", "stop")]
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in kept), pa.array([body], pa.binary())], [*kept, "content"])
 
     return run
 
 
+def read_lines(listed: DataFrame, root: str, part_bytes: int = 0) -> DataFrame:
+    """Every file of a listing with its bytes: (path, length, part, parts, content).  A file
+    larger than ``part_bytes`` comes in parts of whole lines, whatever its bytes are."""
+    part_bytes = part_bytes or PART_BYTES
+    tasks = 4 * listed.sparkSession.sparkContext.defaultParallelism
+    files = listed.select("path", "length")
+    small = with_content(files.where(f"length <= {part_bytes}").repartition(tasks, "path"), root).selectExpr("path", "length", "0L as part", "1L as parts", "content")
+    large = materialize(files.where(f"length > {part_bytes}").withColumn("kind", F.lit("config")), "large-files")  # lines of which nothing goes on
+    if not large.take(1):
+        return small
+    planned = materialize(plan_parts(large, root, part_bytes, together=0), "parts").select("path", "length", "part", "parts", "begin", "stop")
+    loaded = planned.repartition(tasks, "path", "part").mapInArrow(
+        _load(qualified(listed.sparkSession, root)), "path string, length bigint, part bigint, parts bigint, content binary"
+    )
+    return small.unionByName(loaded)
+
+
 def read_files(listed: DataFrame, root: str, limits: paths.Limits = paths.Limits(), part_bytes: int = 0) -> DataFrame:
     """Files of a listing with their bytes: one row per file, or per part of a large
     one, as ``FILES``.  ``lines_before`` counts the lines of the file before a part.  A

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.history import safe_findings
 from ..session import materialize, small_batches
@@ -68,12 +70,77 @@ class _Place:
         self.system.delete_file(self.part)
 
 
+def _write_at_places(cut: DataFrame, target: str) -> DataFrame:
+    """Put parts (path, part, text) of files together in a mounted folder: every part is
+    written at its place in a file under another name, by whatever task has it; then one
+    task a file takes the SHA-256 of it, in pieces, since that needs all bytes in order,
+    and moves it.  Only numbers of parts meet in one place.  Returns ``WRITTEN``."""
+    _, root = file_system(target)
+    run = uuid.uuid4().hex
+
+    def names(path: str) -> tuple[str, str]:
+        place = f"{root}/{path}"
+        return place, f"{place.rpartition('/')[0]}/.{hashlib.md5(path.encode()).hexdigest()}-{run}.part"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, text, begin = (batch.column(c)[i].as_py() for c in ("path", "text", "begin"))
+                _, part = names(path)
+                os.makedirs(os.path.dirname(part), exist_ok=True)
+                file, body = os.open(part, os.O_WRONLY | os.O_CREAT, 0o666), memoryview(text.encode())
+                try:
+                    while body:
+                        done = os.pwrite(file, body, begin)
+                        body, begin = body[done:], begin + done
+                finally:
+                    os.close(file)
+            yield batch.select(["path", "part"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                place, part = names(path)
+                digest, read = hashlib.sha256(), 0
+                with open(part if os.path.exists(part) else place, "rb") as file:  # moved already if a task runs twice
+                    while piece := file.read(16 << 20):
+                        digest.update(piece)
+                        read += len(piece)
+                if read != length:
+                    raise OSError(f"{path} has {read} bytes instead of {length}")
+                if os.path.exists(part):
+                    os.replace(part, place)
+                yield _written([(path, length, digest.hexdigest(), False)])
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                if os.path.exists(names(path)[1]):
+                    os.remove(names(path)[1])
+            yield batch.select(["path"])
+
+    tasks = 4 * cut.sparkSession.sparkContext.defaultParallelism
+    cut = materialize(cut.repartition(tasks, "path", "part"), "cut-files")
+    sizes = cut.selectExpr("path", "part", "cast(octet_length(text) as bigint) as size")
+    order = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    places = materialize(sizes.withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0))), "places")
+    files = places.groupBy("path").agg(F.sum("size").alias("length"))
+    try:
+        placed = cut.join(places.drop("size"), ["path", "part"]).select("path", "part", "text", "begin")
+        materialize(placed.mapInArrow(write, "path string, part bigint"), "written-parts")
+        return materialize(files.repartition("path").mapInArrow(move, WRITTEN), "written-whole")
+    except BaseException:
+        files.select("path").mapInArrow(drop, "path string").count()
+        raise
+
+
 def write_tree(staged: DataFrame, output: str, input_root: str) -> DataFrame:
     """Write every file of (path, text, copied, content) to its place below ``output``.
 
     Copied files keep their bytes; one that was not loaded is copied from the input in
-    pieces.  Files that come in parts (``part`` of ``parts``) are put together by one
-    task each, a part at a time.  Returns (path, length, sha256, copied).
+    pieces.  Parts of a file (``part`` of ``parts``) are written by all tasks at their
+    places where the file system is mounted, else by one task a file, a part at a time.
+    Returns (path, length, sha256, copied).
     """
     spark = staged.sparkSession
     check_apart(spark, output, input_root)
@@ -122,8 +189,11 @@ def write_tree(staged: DataFrame, output: str, input_root: str) -> DataFrame:
     if "parts" not in staged.columns:
         return materialize(staged.select(columns).mapInArrow(whole, WRITTEN), "written-files")
     with small_batches(spark):
-        cut = staged.where("parts > 1").selectExpr("path", "part", "text", "part = parts - 1 as last")
-        cut = cut.repartition("path").sortWithinPartitions("path", "part").mapInArrow(together, WRITTEN)
+        if target.startswith("file://"):
+            cut = _write_at_places(staged.where("parts > 1").select("path", "part", F.coalesce("text", F.lit("")).alias("text")), target)
+        else:
+            cut = staged.where("parts > 1").selectExpr("path", "part", "text", "part = parts - 1 as last")
+            cut = cut.repartition("path").sortWithinPartitions("path", "part").mapInArrow(together, WRITTEN)
         return materialize(staged.where("parts = 1").select(columns).mapInArrow(whole, WRITTEN).unionByName(cut), "written-files")
 
 
