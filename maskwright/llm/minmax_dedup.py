@@ -11,8 +11,10 @@ centre only, which gives candidate clusters without emitting pairs.  A cluster's
 then meet in one task, where a breadth-first search confirms links until all members
 are reached or proven apart.  A cluster over ``cluster_rows`` members or
 ``cluster_shingles`` shingles is not gathered: members confirmed with a hub are one
-class, and those not confirmed with it are compared with all members by joins on equal
-shingles, so no set goes to the driver.
+class, and blocks of those not confirmed with it meet parts of all members, each pair of
+a block and a part in one task.  A task counts common shingles in memory and gives no
+more links than it has members and queries, so neither pairs nor their shingles are ever
+rows, and no set goes to the driver.
 
 Nulls and texts without words have no set and are linked with nothing; fewer words than
 a shingle's length make one shingle of all words.  Repeated rows share a set and so a
@@ -38,8 +40,10 @@ from .texthash import SPACES, U64, chained, chunks, flat, lanes, lower_ascii, mi
 ROWS = 6
 PERMUTATIONS_PER_BAND = ROWS // 2
 PIECE = 1 << 16
-#: Pairs of a member and a query that meet in one round, of all giant clusters together.
-ROUND_PAIRS = 500_000_000
+#: Pairs of a member and a query that meet in one task.
+ROUND_PAIRS = 8_000_000
+#: Shingles of the members, and of the queries, that meet in one task.
+ROUND_SHINGLES = 1 << 20
 
 
 def bands_for(percent: int, miss: float = 1e-7) -> int:
@@ -237,18 +241,101 @@ def _sets(k: int):
     return run
 
 
-def _links(sets: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """(node, query): the links of all members with the queries of their clusters, both
-    (cluster, node, hashes).  Equal shingles meet, whatever the size of a set or of a
-    cluster, and pairs are counted inside tasks first."""
-    members = sets.selectExpr("cluster", "node", "size(hashes) as n", "explode(hashes) as hash")
-    asked = queries.selectExpr("cluster", "node as query", "size(hashes) as n_query", "explode(hashes) as hash")
-    near_sizes = f"node <> query and 100L * least(n, n_query) >= {percent} * greatest(n, n_query)"
-    return (
-        members.join(asked.hint("merge"), ["cluster", "hash"]).where(near_sizes)
-        .groupBy("node", "query", "n", "n_query").agg(F.count("*").alias("common"))
-        .where(linked(F.col("n"), F.col("n_query"), F.col("common"), percent)).select("node", "query")
-    )
+class Queries:
+    """The sets of a block, with which parts of a cluster are compared."""
+
+    def __init__(self, nodes: list[int], sets: list[np.ndarray]):
+        self.nodes, self.sizes = np.array(nodes), [len(x) for x in sets]
+        self.vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids = np.split(ids, np.cumsum(self.sizes)[:-1])
+        self.mark = np.zeros(len(self.vocabulary), bool)
+        self.above = list(range(len(nodes)))
+
+    def root(self, i: int) -> int:
+        while self.above[i] != i:
+            self.above[i] = i = self.above[self.above[i]]
+        return i
+
+    def links(self, nodes: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links that connect what all links do: each member that has one with its first
+        query, and queries that share a member with each other, if they are not yet."""
+        sizes = np.diff(bounds)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == hashes
+        ids, rows = at[known], np.repeat(np.arange(len(nodes)), sizes)[known]
+        first = np.full(len(nodes), -1)
+        a, b = [], []
+        for i, own in enumerate(self.ids):
+            self.mark[own] = True
+            common = np.bincount(rows[self.mark[ids]], minlength=len(nodes))
+            self.mark[own] = False
+            found = np.flatnonzero((common > 0) & linked(sizes, self.sizes[i], common, percent))
+            new = found[first[found] < 0]
+            first[new] = i
+            new = new[nodes[new] != self.nodes[i]]
+            a.append(nodes[new])
+            b.append(np.full(len(new), self.nodes[i]))
+            for j in np.unique(first[found]).tolist():
+                one, two = self.root(i), self.root(j)
+                if one != two:
+                    self.above[one] = two
+                    a.append(self.nodes[[i]])
+                    b.append(self.nodes[[j]])
+        return np.concatenate(a), np.concatenate(b)
+
+
+def _met(percent: int):
+    """(cluster, part, block, asked, node, hashes), the queries of a block before the
+    members that they meet, to links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, queries = None, ([], []), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cluster", "part", "block")], axis=1)
+            is_query, node = batch.column("asked").to_numpy(zero_copy_only=False), batch.column("node").to_numpy()
+            bounds = batch.column("hashes").offsets.to_numpy().astype(np.int64)
+            hashes = batch.column("hashes").values.to_numpy().view(U64)
+            same = (keys[1:] == keys[:-1]).all(axis=1) & (is_query[1:] == is_query[:-1])
+            edges = [0, *(np.flatnonzero(~same) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(edges, edges[1:]):
+                if group != tuple(keys[begin]):
+                    group, asked, queries = tuple(keys[begin]), ([], []), None
+                if is_query[begin]:
+                    asked[0].extend(node[begin:end].tolist())
+                    asked[1].extend(hashes[bounds[i] : bounds[i + 1]].copy() for i in range(begin, end))
+                    continue
+                if asked[0]:
+                    queries, asked = Queries(*asked), ([], [])
+                if queries is not None:
+                    own = hashes[bounds[begin] : bounds[end]]
+                    a, b = queries.links(node[begin:end], own, bounds[begin : end + 1] - bounds[begin], percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _links(sets: DataFrame, queries: DataFrame, percent: int, block: int = 1) -> DataFrame:
+    """Links (a, b) that connect each query with the members of its cluster that it is
+    linked with, both (cluster, node, hashes).  Queries come in blocks of about
+    ``ROUND_PAIRS`` pairs, not of fewer than ``block``, and neither a block nor a part of
+    the members has much more than ``ROUND_SHINGLES`` shingles."""
+    amount = [F.count("*").alias("n"), F.sum(F.size("hashes")).alias("s")]
+    members = sets.groupBy("cluster").agg(*amount).selectExpr("cluster", "n", f"ceil(s / {ROUND_SHINGLES}) as parts")
+    asked = queries.groupBy("cluster").agg(*amount).withColumnsRenamed({"n": "q", "s": "q_s"})
+    pairs = f"cast(q as double) * n / parts / {ROUND_PAIRS}"
+    # one row per giant cluster
+    cut = F.broadcast(members.join(asked, "cluster").selectExpr(
+        "cluster", "parts", f"greatest(1L, ceil(q_s / {ROUND_SHINGLES}), least(ceil(q / {block}), ceil({pairs}))) as blocks"
+    ))
+    rows = sets.join(cut, "cluster").selectExpr(
+        "cluster", "pmod(xxhash64(node), parts) as part", "explode(sequence(0L, blocks - 1)) as block", "false as asked", "node", "hashes"
+    ).unionByName(queries.join(cut, "cluster").selectExpr(
+        "cluster", "explode(sequence(0L, parts - 1)) as part", "pmod(xxhash64(node, 1), blocks) as block", "true as asked", "node", "hashes"
+    ))
+    group = ["cluster", "part", "block"]
+    return rows.repartition(*group).sortWithinPartitions(*group, F.desc("asked")).mapInArrow(_met(percent), "a bigint, b bigint")
 
 
 def _giant_classes(texts: DataFrame, hubs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
@@ -256,28 +343,17 @@ def _giant_classes(texts: DataFrame, hubs: DataFrame, k: int, percent: int, bloc
 
     Two members that are both confirmed with the hub are one class, so the only pairs
     left have a member that is not.  Those members are the queries against all members
-    of the giant clusters, in rounds of about ``ROUND_PAIRS`` pairs but never of fewer
-    than ``block`` queries.  No set leaves the executors.
+    of the giant clusters.  No set leaves the executors.
     """
     sets = storage.stored(texts.mapInArrow(_sets(k), "cluster bigint, node bigint, hashes array<bigint>"), "giant-sets")
     if sets.groupBy("node").count().where("count > 1").take(1):  # repeated rows
         sets = storage.stored(sets.dropDuplicates(["node"]), "giant-sets-once")
+    hubs = F.broadcast(hubs)  # one row per giant cluster
     links = storage.stored(_links(sets, sets.join(hubs, ["cluster", "node"], "left_semi"), percent), "hub-links")
-    apart = storage.stored(
-        sets.select("cluster", "node").join(links, "node", "left_anti").join(hubs, ["cluster", "node"], "left_anti"), "apart"
-    )
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"))
-    asked = apart.groupBy("cluster").agg(F.count("*").alias("q"))
-    total = asked.join(sizes, "cluster").agg(F.sum("q").alias("q"), F.sum(F.col("q").cast("double") * F.col("n")).alias("pairs")).first()
-    n_rounds = min(math.ceil((total.q or 0) / block), math.ceil((total.pairs or 0) / ROUND_PAIRS))
-    own = links.selectExpr("node", "query as class")  # a member's class so far: its hub, or itself
-    edges = links.selectExpr("node as a", "query as b")
-    for i in range(n_rounds):
-        part = sets.join(apart.where(f"pmod(xxhash64(node), {n_rounds}) = {i}"), ["cluster", "node"], "left_semi")
-        near = _links(sets, part, percent).join(own, "node", "left").selectExpr("query as a", "coalesce(class, node) as b").distinct()
-        edges = edges.unionByName(storage.stored(near, "apart-links"))
-    every = sets.select("node")
-    return every.join(components(edges), "node", "left").selectExpr("node", "coalesce(component, node) as class")
+    reached = links.selectExpr("a as node").unionByName(hubs.select("node")).distinct()
+    apart = sets.join(reached, "node", "left_anti")
+    near = storage.stored(_links(sets, apart, percent, block), "apart-links")
+    return sets.select("node").join(components(links.unionByName(near)), "node", "left").selectExpr("node", "coalesce(component, node) as class")
 
 
 def near_duplicates(

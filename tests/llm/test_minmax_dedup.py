@@ -85,6 +85,32 @@ def test_sets_of_giant_clusters_never_reach_the_driver(spark, table, near_rows,
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(s), lowest[c]) for (i, _), s, c in zip(rows, sets, label)}
 
 
+def test_giant_clusters_give_no_row_per_pair(spark, monkeypatch):
+    """All members linked with all: a task gives a link per member and per query at most,
+    in however many blocks and parts they meet, and together they connect all."""
+    n = 60
+    sets = spark.createDataFrame([(1 + i // n, i, [*range(100), 1000 + i]) for i in range(2 * n)], "cluster bigint, node bigint, hashes array<bigint>")
+    assert d._links(sets, sets, 85).count() < 2 * 2 * n  # two clusters, a block and a part each
+    monkeypatch.setattr(d, "ROUND_SHINGLES", 30 * 101, raising=False)  # two parts and blocks
+    links = d._links(sets, sets, 85, block=1).collect()
+    assert len(links) < 2 * 2 * 2 * 2 * n
+    assert {(a // n, b // n) for a, b in links} == {(0, 0), (1, 1)}
+    found = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert {r.node: r.component for r in found} == {i: i // n * n for i in range(2 * n)}
+
+
+@pytest.mark.parametrize("shingles, pairs", [(1 << 20, 1), (90, 1 << 20), (90, 200)])
+def test_giant_clusters_in_blocks_and_parts_equal_brute_force(spark, table, near_rows, monkeypatch, shingles, pairs):
+    monkeypatch.setattr(d, "ROUND_SHINGLES", shingles, raising=False)
+    monkeypatch.setattr(d, "ROUND_PAIRS", pairs)
+    sets, label = brute(near_rows, 3, 85)
+    lowest = {}
+    for (i, _), c in zip(near_rows, label):
+        lowest[c] = min(lowest.get(c, i), i)
+    found = d.near_duplicates(table(near_rows), 3, 85, cluster_rows=1, block=1).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: lowest[c] for (i, _), c in zip(near_rows, label)}
+
+
 def test_one_of_each_keeps_columns_and_rows(spark, table, near_rows):
     docs = table(near_rows)
     kept = d.one_of_each(docs, words_per_shingle=3, percent=85)
