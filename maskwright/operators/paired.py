@@ -258,15 +258,17 @@ def median_law(deltas: list[int], upto: list[int]) -> list[tuple[int, float]]:
     n, share = upto[-1], [0.0, *(u / upto[-1] for u in upto)]
     k, m = (n + 1) // 2, len(deltas)
     tails = [_tail(n, k, x) for x in share]
+    # powers for themselves are out of a double's range from some thousand pairs on, so only their logarithms meet
+    power = lambda x: k * math.log(x) if x > 0 else -math.inf
+    below, above = [power(x) for x in share], [power(1 - x) for x in share]
+    ways = math.lgamma(n + 1) - 2 * math.lgamma(k + 1)
     law, total = [], 0.0
     for i in range(m):
         apart = []
         if n % 2 == 0:
-            ways = math.lgamma(n + 1) - 2 * math.lgamma(k + 1)
             # the k-th number in step i, the next one in step j
-            first = lambda x: math.exp(ways / 2 + k * math.log(x)) if x > 0 else 0.0
-            here = first(share[i + 1]) - first(share[i])
-            apart = [here * (first(1 - share[j]) - first(1 - share[j + 1])) for j in range(i + 1, m)]
+            here = -math.expm1(below[i] - below[i + 1])
+            apart = [math.exp(ways + below[i + 1] + above[j]) * here * -math.expm1(above[j + 1] - above[j]) for j in range(i + 1, m)]
         same = max(0.0, tails[i + 1] - tails[i] - math.fsum(apart))
         for j, p in zip(range(i, m), [same, *apart]):
             total += p
