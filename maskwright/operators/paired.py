@@ -249,9 +249,11 @@ def _tail(n: int, k: int, share: float) -> float:
     return min(1.0, math.fsum(math.exp(whole - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * a + (n - i) * b) for i in range(low, high + 1)))
 
 
-def median_law(deltas: list[int], upto: list[int]) -> list[tuple[int, float]]:
+def median_law(deltas: list[int | None], upto: list[int]) -> list[tuple[float | None, int]]:
     """The medians that a resample of the pairs can have, each with the number that a
-    draw must not exceed.  ``upto`` counts the pairs at or below each delta.
+    draw must not exceed.  ``upto`` counts the pairs at or below each delta.  Pairs
+    without a delta come last, as one that is larger than all others; a draw between it
+    and another takes the next median.
 
     The median of n resampled pairs is the delta at the middle order statistic of n
     uniform numbers (for even n, the mean of two), so its law is a binomial one."""
@@ -272,7 +274,10 @@ def median_law(deltas: list[int], upto: list[int]) -> list[tuple[int, float]]:
         same = max(0.0, tails[i + 1] - tails[i] - math.fsum(apart))
         for j, p in zip(range(i, m), [same, *apart]):
             total += p
-            law.append(((deltas[i] + deltas[j]) / 2, math.floor(total * DRAWS)))
+            if deltas[j] is not None:
+                law.append(((deltas[i] + deltas[j]) / 2, math.floor(total * DRAWS)))
+    if deltas[-1] is None:
+        law.append((None, DRAWS))
     law[-1] = (law[-1][0], DRAWS)
     return law
 
@@ -280,7 +285,7 @@ def median_law(deltas: list[int], upto: list[int]) -> list[tuple[int, float]]:
 @F.pandas_udf(ArrayType(StructType([StructField("median", DoubleType()), StructField("upto", LongType())])))
 def _median_laws(steps: pd.Series) -> pd.Series:
     """One row per dimension."""
-    laws = [median_law([int(x["delta"]) for x in s], [int(x["upto"]) for x in s]) for s in steps]
+    laws = [median_law([None if x["delta"] is None else int(x["delta"]) for x in s], [int(x["upto"]) for x in s]) for s in steps]
     return pd.Series([[{"median": m, "upto": t} for m, t in law] for law in laws])
 
 
@@ -290,7 +295,7 @@ def bootstrap_medians(counts: DataFrame, resamples: int = fv.BOOTSTRAP_RESAMPLES
     A resample of n pairs need not be drawn pair by pair: a draw picks one of the few
     medians that are possible, with its exact probability, whatever n is.
     """
-    upto = Window.partitionBy("dimension").orderBy("delta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("dimension").orderBy(F.asc_nulls_last("delta")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row per dimension with its few values and their cumulated counts
     table = (
         counts.withColumn("upto", F.sum("n").over(upto)).groupBy("dimension")
@@ -307,12 +312,13 @@ def bootstrap_medians(counts: DataFrame, resamples: int = fv.BOOTSTRAP_RESAMPLES
 def bootstrap_median(
     counts: DataFrame, resamples: int = fv.BOOTSTRAP_RESAMPLES, seed: int = fv.BOOTSTRAP_SEED, alpha: float = fv.ALPHA
 ) -> DataFrame:
-    """Percentile interval of the median over seeded resamples."""
-    return bootstrap_medians(counts, resamples, seed).groupBy("dimension").agg(
-        F.max("n_pairs").alias("n_pairs"),
+    """Percentile interval of the median over seeded resamples of the pairs that have a
+    delta; those without one count in ``n_pairs`` only."""
+    intervals = bootstrap_medians(counts.where("delta is not null"), resamples, seed).groupBy("dimension").agg(
         F.expr(f"percentile(median, {alpha / 2})").alias("ci_lower"),
         F.expr(f"percentile(median, {1 - alpha / 2})").alias("ci_upper"),
     )
+    return counts.groupBy("dimension").agg(F.sum("n").alias("n_pairs")).join(intervals, "dimension", "left")
 
 
 # ---- the whole analysis ----------------------------------------------------
@@ -322,10 +328,10 @@ def inference(deltas: DataFrame) -> DataFrame:
     """Confirmatory table: test, adjusted p, effect, interval per dimension."""
     counts = delta_counts(deltas)
     tests = holm(wilcoxon(counts))
-    shape = _describe(counts, ["dimension"], "delta").select("dimension", "median", "mean")
+    shape = _describe(counts.where("delta is not null"), ["dimension"], "delta").select("dimension", "median", "mean")
     interval = bootstrap_median(counts).drop("n_pairs")
     return (
-        tests.join(F.broadcast(shape), "dimension").join(F.broadcast(interval), "dimension")
+        tests.join(F.broadcast(shape), "dimension", "left").join(F.broadcast(interval), "dimension")
         .withColumn("significant", F.col("holm_p") < fv.ALPHA)
     )
 
